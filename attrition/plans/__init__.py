@@ -2,7 +2,7 @@
 
 import importlib
 
-PLAN_MODULES = ("q_profile",)
+PLAN_MODULES = ("q_profile", "q_clean")
 
 
 def load_all():
