@@ -2,7 +2,7 @@
 
 import importlib
 
-PLAN_MODULES = ("q_profile", "q_clean")
+PLAN_MODULES = ("q_profile", "q_clean", "q_prep", "q_metrics")
 
 
 def load_all():
