@@ -100,11 +100,11 @@ def score_table(df: DataFrame, score: str | Column, label: str) -> DataFrame:
             .groupBy("s").agg(F.count_if(_pos()).alias("pos"), F.count_if(~_pos()).alias("neg")))
 
 
-def sums_above(tbl: DataFrame, order: str, cols: list[str], bins: int = 256) -> DataFrame:
+def sums_above(tbl: DataFrame, order: str, cols: list[str], bins: int = 256) -> tuple[DataFrame, dict]:
     """For each row, the sums of ``cols`` over rows with a strictly
     larger ``order`` value (``order`` distinct per row).  Bucket-wise:
     per-bucket totals go to the driver (≤ bins rows), the rest is a window
-    inside each bucket."""
+    inside each bucket.  Also returns the grand totals."""
     probs = [i / bins for i in range(1, bins)]
     edges = tbl.agg(F.percentile_approx(order, probs, 8 * bins)).first()[0] or []
     splits = [-math.inf] + sorted(set(edges)) + [math.inf]
@@ -123,28 +123,28 @@ def sums_above(tbl: DataFrame, order: str, cols: list[str], bins: int = 256) ->
         off = F.create_map(*[x for bk, vals in above.items() for x in (F.lit(bk), F.lit(vals[c]))])
         out = out.withColumn(f"{c}_above", F.coalesce(off[F.col("__b")], F.lit(0))
                              + F.coalesce(F.sum(c).over(w), F.lit(0)))
-    return out.drop("__b")
+    return out.drop("__b"), acc
 
 
 def auc(df: DataFrame, score: str | Column, label: str) -> DataFrame:
     """ROC AUC as the rank statistic with tied scores counted half."""
-    t = sums_above(score_table(df, score, label), "s", ["pos", "neg"])
-    tot = t.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    neg_below = F.col("N") - F.col("neg_above") - F.col("neg")
-    tot_row = tot.select(F.struct("P", "N")).scalar()
-    t2 = t.withColumn("P", tot_row["P"]).withColumn("N", tot_row["N"])
-    return t2.agg((F.sum(F.col("pos") * (neg_below + 0.5 * F.col("neg")))
-                   / (F.first("P") * F.first("N"))).alias("auc"))
+    t, tot = sums_above(score_table(df, score, label), "s", ["pos", "neg"])
+    P, N = tot["pos"], tot["neg"]
+    neg_below = F.lit(N) - F.col("neg_above") - F.col("neg")
+    denom = float(P) * float(N)
+    val = F.sum(F.col("pos") * (neg_below + 0.5 * F.col("neg"))) / F.lit(denom) if denom else F.lit(None)
+    return t.agg(val.cast("double").alias("auc"))
 
 
 def average_precision(df: DataFrame, score: str | Column, label: str) -> DataFrame:
     """V5: Σ ΔR · P over distinct scores from the top (step sum, not the
     trapezoid)."""
-    t = sums_above(score_table(df, score, label), "s", ["pos", "neg"])
-    P = t.select(F.sum("pos")).scalar()
+    t, tot = sums_above(score_table(df, score, label), "s", ["pos", "neg"])
+    P = tot["pos"]
     tp = F.col("pos_above") + F.col("pos")
     fp = F.col("neg_above") + F.col("neg")
-    return t.agg(F.sum((F.col("pos") / P) * (tp / (tp + fp))).alias("ap"))
+    val = F.sum((F.col("pos") / F.lit(float(P))) * (tp / (tp + fp))) if P else F.lit(None)
+    return t.agg(val.cast("double").alias("ap"))
 
 
 # --- threshold sweeps ---------------------------------------------------------
