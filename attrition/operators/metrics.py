@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attrition.functions.buckets import bucketize
 from attrition.functions.grid import grid_delta, grid_index_at_most, grid_size, safe_div
 
 def _pos() -> Column:
@@ -107,8 +107,7 @@ def sums_above(tbl: DataFrame, order: str, cols: list[str], bins: int = 256) ->
     inside each bucket.  Also returns the grand totals."""
     probs = [i / bins for i in range(1, bins)]
     edges = tbl.agg(F.percentile_approx(order, probs, 8 * bins)).first()[0] or []
-    splits = [-math.inf] + sorted(set(edges)) + [math.inf]
-    b = Bucketizer(splits=splits, inputCol=order, outputCol="__b").transform(tbl)
+    b = bucketize(tbl, order, edges, "__b")
     tot = sorted(b.groupBy("__b").agg(*[F.sum(c).alias(c) for c in cols]).collect(),
                  key=lambda r: -r["__b"])
     above, acc = {}, {c: 0 for c in cols}

@@ -31,10 +31,10 @@ from __future__ import annotations
 import math
 from itertools import product
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attrition.functions.buckets import bucketize
 from attrition.session import cut_lineage
 
 SALTS = 16
@@ -76,9 +76,7 @@ def _edges(dv: DataFrame, dims: list[str], g: int) -> dict[str, list[float]]:
 def _cells(df: DataFrame, dims: list[str], edges: dict, prefix: str = "") -> DataFrame:
     out = df
     for d in dims:
-        splits = [-math.inf] + edges[d] + [math.inf]
-        out = Bucketizer(splits=splits, inputCol=f"{prefix}{d}", outputCol=f"__c_{d}",
-                         handleInvalid="keep").transform(out)
+        out = bucketize(out, f"{prefix}{d}", edges[d], f"__c_{d}")
         out = out.withColumn(f"__c_{d}", F.col(f"__c_{d}").cast("int"))
     return out
 

@@ -20,10 +20,11 @@ from __future__ import annotations
 import math
 
 from pyspark import StorageLevel
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attrition.functions.buckets import bucketize
+
 SMALL_BUCKET = 2_000_000
 MAX_DEPTH = 3
 
@@ -31,8 +32,7 @@ MAX_DEPTH = 3
 def _bucketize(x: DataFrame, bins: int) -> DataFrame:
     probs = [i / bins for i in range(1, bins)]
     approx = x.agg(F.percentile_approx("x", probs, 8 * bins).alias("e")).first()["e"]
-    splits = [-math.inf] + sorted(set(approx or [])) + [math.inf]
-    return Bucketizer(splits=splits, inputCol="x", outputCol="b").transform(x)
+    return bucketize(x, "x", approx or [], "b")
 
 
 def _pair_filter(pairs) -> Column:
