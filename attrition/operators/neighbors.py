@@ -128,10 +128,11 @@ def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, features: list[s
     refs = ref.select(F.col(rkey).alias("__id"), *[F.col(c).cast("double").alias(c) for c in features],
                       *[F.col(c) for c in nominal])
     dv = cut_lineage(_compress(refs, "__id", cols, k + 1))
-    n_dv = dv.count()
-    # projection dims: the features with most distinct vectors
-    distinct = dv.agg(*[F.approx_count_distinct(f).alias(f) for f in features]).first()
-    dims = sorted(features, key=lambda f: -(distinct[f] or 0))[:max(1, min(grid_dims, len(features)))]
+    stats = dv.agg(F.count(F.lit(1)).alias("__n"),
+                   *[F.approx_count_distinct(f).alias(f) for f in features]).first()
+    n_dv = stats["__n"]
+    # projection dims: the features with the most distinct values
+    dims = sorted(features, key=lambda f: -(stats[f] or 0))[:max(1, min(grid_dims, len(features)))]
     g = max(1, int(round((max(n_dv, 1) / per_cell) ** (1.0 / len(dims)))))
     edges = _edges(dv, dims, g)
     sizes = {d: len(edges[d]) + 1 for d in dims}
@@ -141,18 +142,20 @@ def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, features: list[s
     ref_cells = dvc.select(_cell_id(dims, sizes).alias("__cell"), "vid", "ids",
                            *[F.col(c).alias(f"r_{c}") for c in cols])
 
-    # distinct query vectors
+    # distinct query vectors, materialised once and reused by every ring
     qrows = query.select(F.col(qkey).alias("__qid"), *[F.col(c).cast("double").alias(c) for c in features],
                          *[F.col(c) for c in nominal])
     qv = qrows.groupBy(*cols).agg(F.min("__qid").alias("qvid"))
-    qvc = _cells(qv, dims, edges).select("qvid", *[F.col(c).alias(f"q_{c}") for c in cols],
-                                         *[f"__c_{d}" for d in dims])
+    qvc = cut_lineage(_cells(qv, dims, edges).select(
+        "qvid", *[F.col(c).alias(f"q_{c}") for c in cols], *[f"__c_{d}" for d in dims]))
+    carry = ["qvid", "vid", "ids", "__rank", *[f"q_{d}" for d in dims], *[f"__c_{d}" for d in dims]]
 
     w = Window.partitionBy("qvid").orderBy("__rank", "vid")
+    wq = Window.partitionBy("qvid")
     pending = qvc
     best = None
     done_parts = []
-    r_prev, r = -1, 0
+    r_prev, r = -1, 1
     while True:
         offsets = _shell(len(dims), r_prev, r)
         off_arr = F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])
@@ -163,28 +166,22 @@ def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, features: list[s
             c = F.col(f"__c_{d}") + offs[i]
             inside = inside & (c >= 0) & (c < sizes[d])
         ex = ex.where(inside).withColumn("__cell", _cell_id(dims, sizes, offs)).drop("__off")
-        cand = ex.join(ref_cells, "__cell").withColumn("__rank", _dist(features, nominal, metric, nominal_penalty))
-        cand = cand.select("qvid", "vid", "ids", "__rank")
+        cand = (ex.join(ref_cells, "__cell")
+                .withColumn("__rank", _dist(features, nominal, metric, nominal_penalty)).select(*carry))
         if best is not None:
-            cand = cand.unionByName(best.join(pending.select("qvid"), "qvid"))
-        top = (cand.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= kk).drop("__rn"))
-        bound = _bound(dims, edges, sizes, r, metric)
-        status = (top.groupBy("qvid").agg(F.count(F.lit(1)).alias("__n"), F.max("__rank").alias("__kth"))
-                  .join(pending.select("qvid", *[f"__c_{d}" for d in dims], *[f"q_{d}" for d in dims]), "qvid",
-                        "right")
-                  .withColumn("__ok", F.coalesce((F.col("__n") == kk) & (F.col("__kth") < bound), F.lit(False))
-                              | F.lit(r >= max_r))
-                  .select("qvid", "__ok"))
-        top = cut_lineage(top.join(status, "qvid"))
-        done_parts.append(top.where("__ok").drop("__ok"))
-        still = top.where(~F.col("__ok")).select("qvid").distinct()
-        no_cand = status.where(~F.col("__ok")).select("qvid").join(top.select("qvid").distinct(), "qvid", "left_anti")
-        pending_ids = still.unionByName(no_cand).distinct()
-        pending = cut_lineage(qvc.join(pending_ids, "qvid"))
+            cand = cand.unionByName(best)
+        top = cand.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= kk).drop("__rn")
+        ok = (F.coalesce((F.count(F.lit(1)).over(wq) == kk)
+                         & (F.max("__rank").over(wq) < _bound(dims, edges, sizes, r, metric)), F.lit(False))
+              | F.lit(r >= max_r))
+        top = cut_lineage(top.withColumn("__ok", ok))
+        done_parts.append(top.where("__ok").select("qvid", "vid", "ids", "__rank"))
+        # still open: queries whose list is not final, and queries without any candidate yet
+        pending = pending.join(top.where("__ok").select("qvid").distinct(), "qvid", "left_anti")
         if pending.isEmpty():
             break
-        best = top.where(~F.col("__ok")).drop("__ok")
-        r_prev, r = r, (1 if r == 0 else 2 * r)
+        best = top.where(~F.col("__ok")).select(*carry)
+        r_prev, r = r, 2 * r
     vec_nn = done_parts[0]
     for part in done_parts[1:]:
         vec_nn = vec_nn.unionByName(part)

@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
@@ -60,9 +61,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder (reliable, survives
-    executor loss) and return a DataFrame reading from it."""
+    executor loss) and return a DataFrame reading from it.
+
+    The input is persisted for the duration of the call: a reliable
+    checkpoint otherwise computes the plan twice (once for the eager count,
+    once for the write)."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
 
 
 def scratch_table_path(spark: SparkSession, name: str) -> str:
