@@ -123,7 +123,7 @@ def nominal_boosting_pipeline(numeric: list[str], nominal: list[str], n_estimato
     return Pipeline(stages=[*idx, va, gbt])
 
 
-def linear_svc(C: float = 1.0, n: int = 1, label: str = "label", max_iter: int = 200) -> LinearSVC:
+def linear_svc(C: float = 1.0, n: int = 1, label: str = "label", max_iter: int = 50) -> LinearSVC:
     """M8 (linear kernel)."""
     return LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=max_iter, labelCol=label, standardization=False)
 

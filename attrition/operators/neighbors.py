@@ -125,8 +125,15 @@ def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, features: list[s
     nominal = list(nominal)
     cols = list(features) + nominal
     kk = k + 1 if self_join else k
-    refs = ref.select(F.col(rkey).alias("__id"), *[F.col(c).cast("double").alias(c) for c in features],
-                      *[F.col(c) for c in nominal])
+    # the query rows are read once (they are needed again to expand the result)
+    qrows = cut_lineage(query.select(F.col(qkey).alias("__qid"),
+                                     *[F.col(c).cast("double").alias(c) for c in features],
+                                     *[F.col(c) for c in nominal]))
+    if self_join:
+        refs = qrows.withColumnRenamed("__qid", "__id")
+    else:
+        refs = ref.select(F.col(rkey).alias("__id"), *[F.col(c).cast("double").alias(c) for c in features],
+                          *[F.col(c) for c in nominal])
     dv = cut_lineage(_compress(refs, "__id", cols, k + 1))
     stats = dv.agg(F.count(F.lit(1)).alias("__n"),
                    *[F.approx_count_distinct(f).alias(f) for f in features]).first()
@@ -143,8 +150,6 @@ def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, features: list[s
                            *[F.col(c).alias(f"r_{c}") for c in cols])
 
     # distinct query vectors, materialised once and reused by every ring
-    qrows = query.select(F.col(qkey).alias("__qid"), *[F.col(c).cast("double").alias(c) for c in features],
-                         *[F.col(c) for c in nominal])
     qv = qrows.groupBy(*cols).agg(F.min("__qid").alias("qvid"))
     qvc = cut_lineage(_cells(qv, dims, edges).select(
         "qvid", *[F.col(c).alias(f"q_{c}") for c in cols], *[f"__c_{d}" for d in dims]))

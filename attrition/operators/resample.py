@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from attrition.functions.hashing import hash_uniform
 from attrition.operators.neighbors import knn
 from attrition.operators.ordinal import dense_index
+from attrition.session import cut_lineage
 
 
 def smote_need(n_minority: int, n_majority: int, ratio: float | None = None) -> int:
@@ -45,7 +46,7 @@ def smote(df: DataFrame, key: str, label: str, features: list[str], k: int = 5,
     """
     nominal = list(nominal)
     cols = list(features) + nominal
-    base = df.select(key, *cols, label)
+    base = cut_lineage(df.select(key, *cols, label))      # read the input once
     minor = base.where(F.col(label) == minority)
     counts = {r[0]: r[1] for r in base.groupBy(label).count().collect()}
     m = counts.get(minority, 0)

@@ -75,13 +75,26 @@ def trials(space: dict[str, Draw], n: int, seed: int = 42) -> list[dict]:
 
 
 def trial_columns(df: DataFrame, space: dict[str, Draw], seed: int = 42, trial: str = "trial") -> DataFrame:
-    """Adds one column per parameter, drawn for the trial index in ``trial``."""
+    """Adds one column per parameter, drawn for the trial index in ``trial``
+    (an md5 per row; use :func:`explode_trials` when rows × trials is big)."""
     out = df
     for name, d in space.items():
         out = out.withColumn(name, draw_col(d, hash_uniform(seed, trial, F.lit(name))))
     return out
 
 
+def explode_trials(df: DataFrame, space: dict[str, Draw], n: int, seed: int = 42,
+                   trial: str = "trial") -> DataFrame:
+    """Every row once per trial, with the trial's parameters.  The n trial
+    draws (the search budget) are computed once on the driver – the same
+    bits as the column form – and inlined, so rows × trials costs no hash
+    and no join."""
+    ps = trials(space, n, seed)
+    structs = [F.struct(F.lit(i).alias(trial), *[F.lit(p[k]).alias(k) for k in space]) for i, p in enumerate(ps)]
+    return df.select("*", F.explode(F.array(*structs)).alias("__t")).select(
+        *df.columns, *[F.col(f"__t.{c}").alias(c) for c in [trial, *space]])
+
+
 # --- T2 random search ---------------------------------------------------------
 
 def sweep_objective(metric: str = "f1", min_precision: float | None = 0.5, min_recall: float | None = None,

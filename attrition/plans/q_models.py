@@ -15,6 +15,7 @@ from attrition.functions.hashing import duckdb_uniform, hash_uniform
 from attrition.operators import explain, metrics, models, resample, split, tune
 from attrition.plans.q_neighbors import FEAT_SQL, FEATS, features
 from attrition.plans.registry import query
+from attrition.session import cut_lineage
 from attrition.sources.views import CHURN_SQL, LINE_SQL, doc_view, line_view, with_views
 
 # --- seeded search over the two-score ensemble (SQL-checkable) --------------------
@@ -25,8 +26,7 @@ N_TRIALS = 20
 
 def _trial_curve(spark, sf_dir):
     li = line_view(spark, sf_dir).select("s_qty", "s_price", "label")
-    rows = li.select("*", F.explode(F.sequence(F.lit(0), F.lit(N_TRIALS - 1))).alias("trial"))
-    rows = tune.trial_columns(rows, SPACE, seed=42)
+    rows = tune.explode_trials(li, SPACE, N_TRIALS, seed=42)
     p = metrics.ensemble_prob(F.col("s_qty"), F.col("s_price"), F.col("w"), 1.0 - F.col("w"))
     m = metrics.prf(rows, "label", (p >= F.col("t")).cast("int"), by=["trial", "w", "t"])
     return m.select("trial", "w", "t", "precision", "recall", "f1")
@@ -122,7 +122,8 @@ DOC_FEATS = ["log_len", "non_letter_share", "n_words", "digit_share", "distinct_
 
 
 def _doc_split(spark, sf_dir):
-    d = doc_view(spark, sf_dir).withColumn("label", F.col("quality").cast("int"))
+    # text features are computed once per query (whole texts), then reused by fit and scoring
+    d = cut_lineage(doc_view(spark, sf_dir).withColumn("label", F.col("quality").cast("int")))
     u = hash_uniform(42, "doc_id")
     return d.where(u >= 0.3), d.where(u < 0.3)
 
@@ -229,7 +230,7 @@ def cv_scores(spark, sf_dir):
         s = resample.smote(tr.drop("r_name", "c_mktsegment"), "c_custkey", "exited", FEATS, k=5)
         return s.withColumn("label", F.col("exited"))
 
-    per_fold = tune.cv_scores(lambda: models.pipeline(FEATS, models.logistic(1.0, n, 100)), f,
+    per_fold = tune.cv_scores(lambda: models.pipeline(FEATS, models.logistic(1.0, n, 50)), f,
                               "c_custkey", "label", 5, resample=resample_fold)
     from attrition.operators.profile import fold_summary
     long = per_fold.unpivot(["fold"], ["accuracy", "average_precision", "roc_auc", "macro_f1"], "metric", "value")
