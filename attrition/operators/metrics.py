@@ -100,11 +100,19 @@ def score_table(df: DataFrame, score: str | Column, label: str) -> DataFrame:
             .groupBy("s").agg(F.count_if(_pos()).alias("pos"), F.count_if(~_pos()).alias("neg")))
 
 
-def sums_above(tbl: DataFrame, order: str, cols: list[str], bins: int = 256) -> tuple[DataFrame, dict]:
+ROWS_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 65_536
+
+
+def sums_above(tbl: DataFrame, order: str, cols: list[str], bins: int | None = None) -> tuple[DataFrame, dict]:
     """For each row, the sums of ``cols`` over rows with a strictly
     larger ``order`` value (``order`` distinct per row).  Bucket-wise:
     per-bucket totals go to the driver (≤ bins rows), the rest is a window
-    inside each bucket.  Also returns the grand totals."""
+    inside each bucket; the bucket count grows with the table so a bucket
+    holds about ``ROWS_PER_BUCKET`` rows.  Also returns the grand totals."""
+    if bins is None:
+        n = tbl.count()
+        bins = int(min(MAX_BUCKETS, max(256, math.ceil(n / ROWS_PER_BUCKET))))
     probs = [i / bins for i in range(1, bins)]
     edges = tbl.agg(F.percentile_approx(order, probs, 8 * bins)).first()[0] or []
     b = bucketize(tbl, order, edges, "__b")
