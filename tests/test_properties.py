@@ -222,3 +222,37 @@ def test_nearest_centre_ties_lowest(spark):
     df = spark.createDataFrame([(0.5,), (0.0,)], "x double")
     out = segment.assign_nearest(df, ["x"], [[0.0], [1.0]]).collect()
     assert [r["cluster"] for r in out] == [0, 0]
+
+
+def test_csv_scan_and_sinks(spark):
+    from pyspark.ml import PipelineModel
+
+    from attrition.operators import models
+    from attrition.session import scratch_table_path
+    from attrition.sources import tables
+    src = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+    csv_dir = scratch_table_path(spark, "csv")
+    src.select("c_custkey", "c_acctbal", "c_mktsegment").write.option("header", True).csv(csv_dir)
+    schema = "c_custkey long, c_acctbal double, c_mktsegment string"
+    back = tables.read_csv(spark, csv_dir, schema=schema)
+    assert back.count() == 150
+    assert back.dtypes == [("c_custkey", "bigint"), ("c_acctbal", "double"), ("c_mktsegment", "string")]
+    inferred = tables.read_csv(spark, csv_dir, key="row_key")
+    assert inferred.columns[0] == "row_key" and dict(inferred.dtypes)["row_key"] in ("int", "bigint")
+    rep = scratch_table_path(spark, "report")
+    tables.write_report(back.groupBy("c_mktsegment").count(), rep)
+    assert spark.read.parquet(rep).count() == 5
+    df = src.withColumn("label", (F.col("c_acctbal") > 0).cast("int"))
+    model = models.pipeline(["c_acctbal"], models.tree(2)).fit(df)
+    path = scratch_table_path(spark, "model")
+    tables.save_model(model, path)
+    again = PipelineModel.load(path)
+    assert again.transform(df).select("prediction").collect() == model.transform(df).select("prediction").collect()
+
+
+def test_paired_scan_rejects_mismatch(spark):
+    from attrition.sources import tables
+    a = spark.createDataFrame([(1, 2.0, 1)], "k long, x double, y int")
+    b = spark.createDataFrame([(1, "z")], "k long, x string")
+    with pytest.raises(ValueError):
+        tables.paired_scan(a, b, "y")
