@@ -171,7 +171,8 @@ def threshold_curve(df: DataFrame, score: str | Column, label: str, lo: float =
     base = df.select(*by, _c(score).cast("double").alias("__s"), F.col(label).alias("__y"))
     per = (base.groupBy(*by, grid_index_at_most(F.col("__s"), lo, step, n).alias("i"))
            .agg(F.count_if(_pos()).alias("pos"), F.count_if(~_pos()).alias("neg")))
-    tot = base.groupBy(*by).agg(F.count_if(_pos()).alias("P"), F.count_if(~_pos()).alias("N"))
+    # class totals from the (small) per-bucket table: no second scan of the rows
+    tot = per.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     grid = tot.select(*by, "P", "N", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
     j = grid.join(per, [*by, "i"], "left").fillna(0, ["pos", "neg"])
     w = Window.partitionBy(*by).orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, 0)

@@ -35,22 +35,26 @@ def histograms(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
     """A1: equal-width histograms over [min, max] with the last bin closed.
 
     Output ``column, bin, lo, hi, n``; empty bins are present with n = 0.
-    """
-    vals = _long(df, cols).where(F.col("value").isNotNull())
-    rng = column_ranges(df, cols).select("column", "mn", "mx")
-    width = (F.col("mx") - F.col("mn"))
-    b = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("value") - F.col("mn")) * bins / width), F.lit(bins - 1))).cast("int")
-    counts = (vals.join(rng, "column")
+    Two passes: one aggregation for the ranges (one row per column to the
+    driver), one for the counts of all columns together."""
+    rng = {r["column"]: (r["mn"], r["mx"]) for r in column_ranges(df, cols).collect()}
+    cols = [c for c in cols if c in rng]
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, bin int, lo double, hi double, n bigint")
+    mn = F.element_at(F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(rng[c][0]))]), F.col("column"))
+    mx = F.element_at(F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(rng[c][1]))]), F.col("column"))
+    b = F.when(mx == mn, F.lit(0)).otherwise(
+        F.least(F.floor((F.col("value") - mn) * bins / (mx - mn)), F.lit(bins - 1))).cast("int")
+    counts = (_long(df, cols).where(F.col("value").isNotNull())
               .groupBy("column", b.alias("bin")).agg(F.count(F.lit(1)).alias("n")))
-    grid = rng.select("column", "mn", "mx",
-                      F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    step = (F.col("mx") - F.col("mn")) / bins
-    return (grid.join(counts, ["column", "bin"], "left")
-            .select("column", "bin",
-                    (F.col("mn") + F.col("bin") * step).alias("lo"),
-                    (F.col("mn") + (F.col("bin") + 1) * step).alias("hi"),
-                    F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
+    # the full grid (columns × bins, fixed by the arguments) keeps empty bins
+    grid = [F.struct(F.lit(c).alias("column"), F.lit(i).alias("bin"),
+                     F.lit(rng[c][0] + i * ((rng[c][1] - rng[c][0]) / bins)).alias("lo"),
+                     F.lit(rng[c][0] + (i + 1) * ((rng[c][1] - rng[c][0]) / bins)).alias("hi"))
+            for c in cols for i in range(bins)]
+    cells = counts.groupBy().agg(F.lit(1).alias("__one")).select(F.explode(F.array(*grid)).alias("g")).select("g.*")
+    return (cells.join(counts, ["column", "bin"], "left")
+            .select("column", "bin", "lo", "hi", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
 
 
 def kde_grid(df: DataFrame, col: str, grid: int = 200, scale_bins: int | None = None) -> DataFrame:

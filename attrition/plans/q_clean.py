@@ -61,8 +61,10 @@ SELECT doc_id, lang, source, n_chars FROM (
   SELECT doc_id, lang, source, n_chars, min(doc_id) OVER (PARTITION BY text) AS first_id
   FROM documents) WHERE doc_id <> first_id""", ops="C3 W1")
 def dup_rows(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    return clean.duplicate_rows(docs, ["text"], "doc_id").drop("text")
+    # whole texts are hashed where they are read; only 32-byte digests are shuffled
+    docs = read_table(spark, sf_dir, "documents").select(
+        "doc_id", F.sha2("text", 256).alias("text_sha"), "lang", "source", "n_chars")
+    return clean.duplicate_rows(docs, ["text_sha"], "doc_id").drop("text_sha")
 
 
 @query("dup_flags", with_views(f"""
@@ -91,9 +93,9 @@ SELECT text_min_id AS doc_id, n_copies FROM (
     ops="C4")
 def dedup_text(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    return (docs.groupBy("text").agg(F.min("doc_id").alias("doc_id"),
-                                     F.count(F.lit(1)).alias("n_copies"))
-            .drop("text"))
+    return (docs.groupBy(F.sha2("text", 256).alias("text_sha"))
+            .agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"))
+            .drop("text_sha"))
 
 
 @query("preview", "SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_custkey LIMIT 5",

@@ -96,7 +96,7 @@ def kmeans_fit(spark, sf_dir):
 
 @query("kmeans_elbow", ops="V12 M10 W2 W3")
 def kmeans_elbow(spark, sf_dir):
-    """SSE for k = 1..6 on the churned customers only, and the chosen k."""
+    """SSE for k = 1..10 on the churned customers only, and the chosen k."""
     f = features(spark, sf_dir).where(F.col("exited") == 1)
-    curve = segment.elbow_curve(f, FEATS, 6, seed=42)
+    curve = segment.elbow_curve(f, FEATS, 10, seed=42)
     return curve.join(segment.choose_k(curve).withColumn("k", F.lit(1)), "k", "left")
