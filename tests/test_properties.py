@@ -256,3 +256,11 @@ def test_paired_scan_rejects_mismatch(spark):
     b = spark.createDataFrame([(1, "z")], "k long, x string")
     with pytest.raises(ValueError):
         tables.paired_scan(a, b, "y")
+
+
+def test_kde_binned_close_to_exact(spark):
+    rnd = random.Random(9)
+    df = spark.createDataFrame([(rnd.gauss(0, 1),) for _ in range(5000)], "x double")
+    ex = {r["i"]: r["density"] for r in profile.kde_grid(df, "x", 50).collect()}
+    bn = {r["i"]: r["density"] for r in profile.kde_grid(df, "x", 50, method="binned").collect()}
+    assert max(abs(ex[i] - bn[i]) for i in ex) < 1e-3 * max(ex.values())
