@@ -7,17 +7,16 @@ Plan
    smallest ids (salted two-stage top-k, so a vector shared by a third of
    all rows never lands in one task).  Identical query rows share one
    neighbour search.
-2. **Grid rings.**  Distinct reference vectors are placed in an equi-depth
-   grid over ``p`` projected dimensions (quantile edges, so dense regions
-   get narrow cells).  A query first looks at its own cell, then at rings
-   of cells around it (radius 1, 2, 4, …).  After each ring the k-th best
-   distance is compared with the distance from the query to the edge of the
-   searched block: every point outside the block is at least that far, so
-   once the k-th distance is strictly below it the answer is final.
-   Candidates are found by an **equi-join on the cell id**; unresolved
-   queries carry their current best ``k`` into the next ring, so each cell
-   pair is visited once.  A block that covers the whole grid always
-   resolves, so the result is exact.
+2. **Grid, two phases.**  Distinct reference vectors are placed in an
+   equi-depth grid over ``p`` projected dimensions (quantile edges, so
+   dense regions get narrow cells).  Phase 1 searches rings of cells around
+   each query (radius 1, 2, 4, …) only until the query holds ``k``
+   candidates; their worst distance ``D`` bounds the true k-th distance.
+   Phase 2 searches exactly the cells that meet the box ``[q − D, q + D]``
+   of the projected dimensions: any point outside it differs by more than
+   ``D`` in one coordinate, so it cannot be among the k nearest.  Both
+   phases find candidates by an **equi-join on the cell id**; a ring that
+   covers the whole grid is complete by itself, so the result is exact.
 3. **Expansion.**  Vector-level neighbours are expanded into ids, the query
    itself is dropped (self-join), and ties are broken by ``(distance, id)``.
 
@@ -91,29 +90,13 @@ def _cell_id(dims: list[str], sizes: dict, offs: list[Column] | None = None) ->
     return cid
 
 
-def _bound(dims: list[str], edges: dict, sizes: dict, r: int, metric: str) -> Column:
-    """Distance from the query to the edge of its radius-r block (in the
-    ranking unit: squared for euclidean)."""
-    b = F.lit(math.inf)
-    for d in dims:
-        e = F.array(*[F.lit(x) for x in edges[d]]) if edges[d] else F.array().cast("array<double>")
-        c = F.col(f"__c_{d}")
-        lo_idx = c - r          # block starts at cell lo_idx, whose lower edge is e[lo_idx - 1]
-        hi_idx = c + r          # block ends at cell hi_idx, whose upper edge is e[hi_idx]
-        q = F.col(f"q_{d}")
-        lo_gap = F.when(lo_idx <= 0, F.lit(math.inf)).otherwise(q - F.element_at(e, lo_idx))
-        hi_gap = F.when(hi_idx >= sizes[d] - 1, F.lit(math.inf)).otherwise(F.element_at(e, hi_idx + 1) - q)
-        b = F.least(b, lo_gap, hi_gap)
-    return b * b if metric == "euclidean" else b
-
-
 def _shell(p: int, r_prev: int, r: int) -> list[tuple[int, ...]]:
     return [o for o in product(range(-r, r + 1), repeat=p) if max(abs(x) for x in o) > r_prev]
 
 
 def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, features: list[str], k: int,
         metric: str = "euclidean", nominal: list[str] = (), nominal_penalty: float = 0.0,
-        self_join: bool = False, grid_dims: int = 4, per_cell: int = 8) -> DataFrame:
+        self_join: bool = False, grid_dims: int = 2, per_cell: int = 8) -> DataFrame:
     """k nearest reference rows for every query row.
 
     Returns ``qkey, rank (1..k), nkey, dist`` where ``dist`` is the metric
@@ -157,9 +140,15 @@ def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, features: list[s
 
     w = Window.partitionBy("qvid").orderBy("__rank", "vid")
     wq = Window.partitionBy("qvid")
+
+    def top_of(cand: DataFrame) -> DataFrame:
+        return cand.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= kk).drop("__rn")
+
+    # phase 1: rings (radius 1, 2, 4, …) until every query holds kk candidates,
+    # which bounds its k-th distance; a ring covering the grid is complete
     pending = qvc
     best = None
-    done_parts = []
+    seeded = []
     r_prev, r = -1, 1
     while True:
         offsets = _shell(len(dims), r_prev, r)
@@ -175,21 +164,37 @@ def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, features: list[s
                 .withColumn("__rank", _dist(features, nominal, metric, nominal_penalty)).select(*carry))
         if best is not None:
             cand = cand.unionByName(best)
-        top = cand.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= kk).drop("__rn")
-        ok = (F.coalesce((F.count(F.lit(1)).over(wq) == kk)
-                         & (F.max("__rank").over(wq) < _bound(dims, edges, sizes, r, metric)), F.lit(False))
-              | F.lit(r >= max_r))
-        top = cut_lineage(top.withColumn("__ok", ok))
-        done_parts.append(top.where("__ok").select("qvid", "vid", "ids", "__rank"))
-        # still open: queries whose list is not final, and queries without any candidate yet
+        full = (F.count(F.lit(1)).over(wq) == kk) | F.lit(r >= max_r)
+        top = cut_lineage(top_of(cand).withColumn("__ok", full).withColumn("__complete", F.lit(r >= max_r)))
+        seeded.append(top.where("__ok").drop("__ok"))
         pending = pending.join(top.where("__ok").select("qvid").distinct(), "qvid", "left_anti")
         if pending.isEmpty():
             break
         best = top.where(~F.col("__ok")).select(*carry)
         r_prev, r = r, 2 * r
-    vec_nn = done_parts[0]
-    for part in done_parts[1:]:
-        vec_nn = vec_nn.unionByName(part)
+    seed = seeded[0]
+    for part in seeded[1:]:
+        seed = seed.unionByName(part)
+
+    # phase 2: every reference vector within the k-th candidate distance D lies
+    # in the box [q - D, q + D] of the projected dims; search exactly those cells
+    done = seed.where("__complete").select("qvid", "vid", "ids", "__rank")
+    radius = (F.sqrt(F.max("__rank")) if metric == "euclidean" else F.max("__rank"))
+    box = (seed.where(~F.col("__complete")).groupBy("qvid")
+           .agg((radius * (1 + 1e-9) + 1e-300).alias("__D"))
+           .join(qvc.select("qvid", *[f"q_{c}" for c in cols]), "qvid"))
+    for d in dims:
+        box = box.withColumn(f"__lo_{d}", F.col(f"q_{d}") - F.col("__D")) \
+                 .withColumn(f"__hi_{d}", F.col(f"q_{d}") + F.col("__D"))
+        box = bucketize(box, f"__lo_{d}", edges[d], f"__blo_{d}")
+        box = bucketize(box, f"__hi_{d}", edges[d], f"__bhi_{d}")
+    for d in dims:
+        box = box.select("*", F.explode(F.sequence(F.col(f"__blo_{d}").cast("int"),
+                                                  F.col(f"__bhi_{d}").cast("int"))).alias(f"__c_{d}"))
+    cand = (box.withColumn("__cell", _cell_id(dims, sizes)).join(ref_cells, "__cell")
+            .withColumn("__rank", _dist(features, nominal, metric, nominal_penalty))
+            .select("qvid", "vid", "ids", "__rank"))
+    vec_nn = done.unionByName(top_of(cand))
     # expand to ids and attach to every query row
     qmap = qrows.join(qv, cols).select("__qid", "qvid")
     ids = vec_nn.select("qvid", "__rank", F.explode("ids").alias("nkey"))
