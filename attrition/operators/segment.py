@@ -30,7 +30,7 @@ def assign_nearest(df: DataFrame, features: list[str], centres: list[list[float]
     return df.withColumn(out, F.array_min(pairs)["i"])
 
 
-def fit_kmeans(df: DataFrame, features: list[str], k: int, seed: int = 42, max_iter: int = 50):
+def fit_kmeans(df: DataFrame, features: list[str], k: int, seed: int = 42, max_iter: int = 20):
     """MLlib k-means (k-means|| init).  Returns (model, assembled df)."""
     va = VectorAssembler(inputCols=features, outputCol="__features", handleInvalid="skip")
     x = va.transform(df)
