@@ -3,12 +3,16 @@ W2, W3, J5, A7–A9, G1)."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attrition.session import cut_lineage
+
 MAX_CENTRES = 10_000
 
 
@@ -46,13 +50,20 @@ def total_ss(df: DataFrame, features: list[str]) -> float:
     return float(sum((row[f] or 0.0) * row["n"] for f in features))
 
 
-def elbow_curve(df: DataFrame, features: list[str], k_max: int = 10, seed: int = 42) -> DataFrame:
-    """SSE (inertia) for k = 1..k_max; one MLlib fit per k ≥ 2."""
-    clean = df.select(*features).na.drop()
-    rows = [(1, total_ss(clean, features))]
-    for k in range(2, k_max + 1):
+def elbow_curve(df: DataFrame, features: list[str], k_max: int = 10, seed: int = 42,
+                parallelism: int = 4) -> DataFrame:
+    """SSE (inertia) for k = 1..k_max; one MLlib fit per k ≥ 2, fitted
+    concurrently over a materialised copy of the input."""
+    clean = cut_lineage(df.select(*features).na.drop())
+
+    def sse(k: int) -> tuple[int, float]:
+        if k == 1:
+            return 1, total_ss(clean, features)
         model, _ = fit_kmeans(clean, features, k, seed)
-        rows.append((k, float(model.summary.trainingCost)))
+        return k, float(model.summary.trainingCost)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        rows = sorted(pool.map(sse, range(1, k_max + 1)))
     return df.sparkSession.createDataFrame(rows, "k int, sse double")
 
 
