@@ -27,13 +27,20 @@ def split_hash(df: DataFrame, key, test_frac: float = 0.3, seed: int = 42,
     return df.withColumn(out, F.when(u < test_frac, F.lit("test")).otherwise(F.lit("train")))
 
 
-def class_rank(df: DataFrame, key, label: str, seed: int = 42, out: str = "class_rank") -> DataFrame:
+def _u(seed: int, keys: list[str], tag: str | None) -> Column:
+    """The row's uniform draw; ``tag`` makes folds and samples independent
+    of a split drawn with the same seed."""
+    return hash_uniform(seed, *keys) if not tag else hash_uniform(seed, *keys, F.lit(tag))
+
+
+def class_rank(df: DataFrame, key, label: str, seed: int = 42, out: str = "class_rank",
+               tag: str | None = None) -> DataFrame:
     """0-based rank of each row inside its class, ordered by (hash, key).
 
     One distributed global order over (label, hash, key); the class offset
     is subtracted using the class counts (one row per class)."""
     keys = _keys(key)
-    with_u = df.withColumn("__u", hash_uniform(seed, *keys))
+    with_u = df.withColumn("__u", _u(seed, keys, tag))
     idx = dense_index(with_u, [label, "__u", *keys], "__idx")
     counts = sorted((r[0], r[1]) for r in df.groupBy(label).count().collect()
                     if r[0] is not None)
@@ -64,20 +71,21 @@ def split_exact(df: DataFrame, key, label: str, test_frac: float = 0.3, seed: in
 def sample_n(df: DataFrame, key, n: int = 500, seed: int = 42) -> DataFrame:
     """N rows with the smallest hash (a top-n, bounded per partition)."""
     keys = _keys(key)
-    return (df.withColumn("__u", hash_uniform(seed, *keys))
+    return (df.withColumn("__u", _u(seed, keys, "sample"))
             .orderBy("__u", *keys).limit(n).drop("__u"))
 
 
 def kfold_hash(df: DataFrame, key, k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
-    """D3 (default): fold = floor(k · hash-uniform)."""
-    return df.withColumn(out, F.floor(hash_uniform(seed, *_keys(key)) * k).cast("int"))
+    """D3 (default): fold = floor(k · hash-uniform) (tagged draw, independent
+    of a hash split with the same seed)."""
+    return df.withColumn(out, F.floor(_u(seed, _keys(key), "fold") * k).cast("int"))
 
 
 def kfold_exact(df: DataFrame, key, label: str, k: int = 5, seed: int = 42,
                 out: str = "fold") -> DataFrame:
     """D3 (exact, stratified): fold = class rank mod k, so every fold holds
     each class within one row of its share."""
-    r = class_rank(df, key, label, seed)
+    r = class_rank(df, key, label, seed, tag="fold")
     return r.withColumn(out, (F.col("class_rank") % k).cast("int")).drop("class_rank", "__class_n", "__u")
 
 

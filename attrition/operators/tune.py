@@ -135,7 +135,7 @@ def random_search(make_estimator: Callable[[dict], object], space: dict[str, Dra
 # --- T1 grid search with k-fold CV ----------------------------------------------
 
 def grid_search(pipeline, grid: dict, train: DataFrame, label: str = "label", fold_col: str = "fold",
-                parallelism: int = 4, metric: str = "accuracy"):
+                parallelism: int = 4, metric: str = "accuracy", num_folds: int = 5):
     """Exhaustive grid scored by k-fold CV over an existing fold
     column; the best setting is refit on all training rows."""
     est = pipeline.getStages()[-1]
@@ -146,7 +146,7 @@ def grid_search(pipeline, grid: dict, train: DataFrame, label: str = "label", fo
     maps = builder.build()
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName=metric)
     cv = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
-                        parallelism=parallelism, seed=42)
+                        numFolds=num_folds, parallelism=parallelism, seed=42)
     model = cv.fit(train)
     rows = [({p.name: str(v) for p, v in m.items()}, float(a), float(s))
             for m, a, s in zip(maps, model.avgMetrics, model.stdMetrics)]

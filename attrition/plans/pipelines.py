@@ -71,7 +71,7 @@ def ensemble(spark, sf_dir, seed: int = 42) -> DataFrame:
     def make(p):
         return models.pipeline(feats, models.forest(p["n_estimators"], p["max_depth"], p["min_samples_leaf"],
                                                     p["max_features"]))
-    _, best = tune.random_search(make, space, 3, tr_a, va_a, "c_custkey", "label",
+    _, best = tune.random_search(make, space, 10, tr_a, va_a, "c_custkey", "label",
                                  tune.sweep_objective("f1", min_precision=0.5, min_recall=0.8), seed=seed)
     rf = make(best["params"]).fit(tr_a)
 

@@ -237,7 +237,7 @@ def ensemble_best(spark, sf_dir):
 @query("fold_summary", with_views(f"""
 SELECT round(avg(acc), 6) AS mean, round(stddev_pop(acc), 6) AS std, count(*) AS n_folds,
        round(avg(acc) - 2 * stddev_pop(acc), 6) AS lo, round(avg(acc) + 2 * stddev_pop(acc), 6) AS hi
-FROM (SELECT CAST(floor({duckdb_uniform(42, *LINE_KEY)} * 5) AS INTEGER) AS fold,
+FROM (SELECT CAST(floor({duckdb_uniform(42, *LINE_KEY, "'fold'")} * 5) AS INTEGER) AS fold,
              avg(CAST((s_qty >= 0.5) = (label = 1) AS INTEGER)) AS acc FROM line GROUP BY 1)""",
     LINE_SQL), ops="A16 D3")
 def fold_summary_q(spark, sf_dir):

@@ -240,10 +240,10 @@ def cv_scores(spark, sf_dir):
 @query("grid_search", ops="T1 T3")
 def grid_search(spark, sf_dir):
     tr, _ = _doc_split(spark, sf_dir)
-    tr = split.kfold_hash(tr, "doc_id", 3)
+    tr = split.kfold_hash(tr, "doc_id", 5)
     pipe = models.pipeline(DOC_FEATS, models.forest(10, 4))
     _, table = tune.grid_search(pipe, {"maxDepth": [3, 5], "numTrees": [10, 20], "minInstancesPerNode": []},
-                                tr, "label", "fold", parallelism=4)
+                                tr, "label", "fold", parallelism=4, num_folds=5)
     return table
 
 
@@ -256,8 +256,9 @@ def random_search(spark, sf_dir):
     def make(p):
         return models.pipeline(DOC_FEATS, models.forest(p["n_estimators"], p["max_depth"], 1, p["max_features"]))
 
-    table, _ = tune.random_search(make, space, 4, tr, te, "doc_id", "label",
-                                  tune.sweep_objective("f1", min_precision=0.5), seed=42, parallelism=4)
+    table, _ = tune.random_search(make, space, 20, tr, te, "doc_id", "label",
+                                  tune.sweep_objective("f1", min_precision=0.5, min_recall=0.8),
+                                  seed=42, parallelism=4)
     return table
 
 
@@ -276,6 +277,6 @@ def leaderboard(spark, sf_dir):
 def shapley_sampled(spark, sf_dir):
     tr, te = _doc_split(spark, sf_dir)
     model = models.pipeline(DOC_FEATS, models.forest(20, 6)).fit(tr)
-    sample = split.sample_n(te, "doc_id", 50)
+    sample = split.sample_n(te, "doc_id", 500)
     phi = explain.sampled_shapley(model, sample, tr, "doc_id", DOC_FEATS, n_perm=8)
     return explain.mean_abs_attribution(phi)

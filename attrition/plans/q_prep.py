@@ -107,21 +107,25 @@ def split_exact(spark, sf_dir):
                              "c_custkey", "exited", 0.3)
 
 
+U_SAMPLE = duckdb_uniform(42, "c_custkey", "'sample'")
+U_FOLD = duckdb_uniform(42, "c_custkey", "'fold'")
+
+
 @query("sample_n", with_views(f"""
-SELECT c_custkey, exited FROM churn ORDER BY {U}, c_custkey LIMIT 500""", CHURN_SQL), ops="D2")
+SELECT c_custkey, exited FROM churn ORDER BY {U_SAMPLE}, c_custkey LIMIT 500""", CHURN_SQL), ops="D2")
 def sample_n(spark, sf_dir):
     return split.sample_n(churn_view(spark, sf_dir).select("c_custkey", "exited"), "c_custkey", 500)
 
 
 @query("kfold", with_views(f"""
-SELECT c_custkey, CAST(floor({U} * 5) AS INTEGER) AS fold FROM churn""", CHURN_SQL), ops="D3")
+SELECT c_custkey, CAST(floor({U_FOLD} * 5) AS INTEGER) AS fold FROM churn""", CHURN_SQL), ops="D3")
 def kfold(spark, sf_dir):
     return split.kfold_hash(churn_view(spark, sf_dir).select("c_custkey"), "c_custkey", 5)
 
 
 @query("kfold_exact", with_views(f"""
 SELECT c_custkey, exited,
-       CAST((row_number() OVER (PARTITION BY exited ORDER BY {U}, c_custkey) - 1) % 5 AS INTEGER) AS fold
+       CAST((row_number() OVER (PARTITION BY exited ORDER BY {U_FOLD}, c_custkey) - 1) % 5 AS INTEGER) AS fold
 FROM churn""", CHURN_SQL), ops="D3")
 def kfold_exact(spark, sf_dir):
     return split.kfold_exact(churn_view(spark, sf_dir).select("c_custkey", "exited"),
