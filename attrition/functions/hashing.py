@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 TWO_32 = 4294967296.0
 
 
-def _as_col(c) -> Column:
-    return c if isinstance(c, Column) else F.col(c)
-
-
 def hash_text(seed: int, *parts) -> Column:
     """``'seed|p1|p2…'``; parts are column names, Columns or literals."""
     cols = [F.lit(str(seed))]

@@ -156,10 +156,6 @@ def average_precision(df: DataFrame, score: str | Column, label: str) -> DataFra
 
 # --- threshold sweeps ---------------------------------------------------------
 
-def _totals(df: DataFrame) -> DataFrame:
-    return df.agg(F.count_if(_pos()).alias("P"), F.count_if(~_pos()).alias("N"))
-
-
 def threshold_curve(df: DataFrame, score: str | Column, label: str, lo: float = 0.1,
                     hi: float = 0.9, step: float = 0.01, by: list[str] = ()) -> DataFrame:
     """V6 data: confusion counts and rates at every grid threshold

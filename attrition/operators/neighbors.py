@@ -27,7 +27,6 @@ per mismatch (the SMOTE-NC distance).
 
 from __future__ import annotations
 
-import math
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
