@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attrition.llm.common import arrow_map, stored
-from attrition.llm.tokenization import END_ID, VOCABULARY, ByteLevelTokenizer
+from attrition.llm.tokenization import END_ID, VOCABULARY, load_tokenizer
 
 CAPACITY = 2048
 SHARD_PIECES = 4096
@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: i
            vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
     """(key, row, piece, start, length, ids_crc32) of every document, end token included."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, tok, number = TaskContext.get().partitionId(), ByteLevelTokenizer(vocabulary), count()
+        part, tok, number = TaskContext.get().partitionId(), load_tokenizer(vocabulary), count()
         for batch in batches:
             rows, out = [], ([], [], [], [], [])
             for i, t in enumerate(batch.column(1).to_pylist()):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrition.llm import bin_packing, decontam, line_spread, quality_rules, simhash_dups
+from attrition.llm import bin_packing, decontam, line_spread, quality_rules, secret_scan, simhash_dups, token_counts, warc_index
 from attrition.plans.registry import Query
 from attrition.sources.tables import read_table as load
 
@@ -45,6 +45,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 """
 
 
+def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to archives and read back through the index."""
+    return warc_index.archive_table(load(spark, sf_dir, "pages"))
+
+
+OP4_SQL = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+r AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS response FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> response THEN response END AS refers_to FROM r
+"""
+
+
 def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents after boilerplate lines are gone, as counts and a digest."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -71,12 +84,22 @@ SELECT doc_id, n_removed, length(t) AS n_chars_left, md5(t) AS text_md5 FROM r
 """
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.count_table(load(spark, sf_dir, "documents"))
+
+
 def op3_simhash_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     docs = load(spark, sf_dir, "documents")
     return simhash_dups.near_duplicates(docs).withColumnRenamed("key", "doc_id")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    return secret_scan.secret_table(load(spark, sf_dir, "documents"))
+
+
 def op8_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in the packed sequences."""
     return bin_packing.packed_table(load(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
@@ -111,8 +134,11 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
 
 QUERIES = [
     Query("op1_quality_rules", op1_quality_rules, OP1_SQL),
+    Query("op2_token_counts", op2_token_counts, None),
     Query("op3_simhash_dups", op3_simhash_dups, None),
+    Query("op4_warc_index", op4_warc_index, OP4_SQL),
     Query("op5_line_spread", op5_line_spread, OP5_SQL),
+    Query("op6_secret_scan", op6_secret_scan, None),
     Query("op8_bin_packing", op8_bin_packing, None),
     Query("op10_decontam", op10_decontam, OP10_SQL),
 ]

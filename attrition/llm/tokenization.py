@@ -9,11 +9,13 @@ every code point in several contexts."""
 from __future__ import annotations
 
 import base64
+import json
 import os
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import sentencepiece
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -61,3 +63,35 @@ class ByteLevelTokenizer:
         if self.fast is not None and not any(s in text for s in self.special):
             return self.fast.encode_to_numpy(text, disallowed_special=())
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+
+class WholeTextTokenizer:
+    """Ids by the file's own library, for vocabularies that aren't byte-level."""
+
+    lengths = None
+
+    def __init__(self, vocabulary: str) -> None:
+        if vocabulary.endswith(".model"):
+            model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(vocabulary))
+            self._encode = lambda text: model.encode(text, num_threads=1)
+        else:
+            table = load_json(vocabulary)
+            self._encode = lambda text: table.encode(text, add_special_tokens=False).ids
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self._encode(text), dtype=np.uint32)
+
+
+@lru_cache(maxsize=4)
+def load_tokenizer(vocabulary: str = VOCABULARY) -> ByteLevelTokenizer | WholeTextTokenizer:
+    """The tokenizer of a vocabulary file; loaded once per worker."""
+    if vocabulary.endswith(".json") and _byte_level(vocabulary):
+        return ByteLevelTokenizer(vocabulary)
+    return WholeTextTokenizer(vocabulary)
+
+
+def _byte_level(vocabulary: str) -> bool:
+    """A byte-level pre-tokenizer with the usual pattern, and nothing before it."""
+    spec = json.loads(load_json(vocabulary).to_str())
+    pre = spec.get("pre_tokenizer") or {}
+    return pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
