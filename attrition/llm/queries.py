@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrition.llm import bin_packing, decontam, line_spread, quality_rules, secret_scan, simhash_dups, token_counts, warc_index
+from attrition.llm import bin_packing, decontam, html_layout, line_spread, lm_score, quality_rules, secret_scan, simhash_dups, token_counts, warc_index
 from attrition.plans.registry import Query
 from attrition.sources.tables import read_table as load
 
@@ -100,11 +100,21 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_table(load(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document."""
+    return lm_score.lm_scores(load(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
 def op8_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in the packed sequences."""
     return bin_packing.packed_table(load(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
+def op9_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    return html_layout.text_table(load(spark, sf_dir, "pages"))
+
+
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     return decontam.contamination_table(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
@@ -139,6 +149,8 @@ QUERIES = [
     Query("op4_warc_index", op4_warc_index, OP4_SQL),
     Query("op5_line_spread", op5_line_spread, OP5_SQL),
     Query("op6_secret_scan", op6_secret_scan, None),
+    Query("op7_lm_score", op7_lm_score, None),
     Query("op8_bin_packing", op8_bin_packing, None),
+    Query("op9_html_layout", op9_html_layout, None),
     Query("op10_decontam", op10_decontam, OP10_SQL),
 ]

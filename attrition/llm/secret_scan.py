@@ -3,12 +3,13 @@
 Three patterns give the base spans.  Further spans come from two first-order
 character Markov models, one of random strings and one of ordinary identifiers:
 a run of ``MIN_RUN`` or more key characters that overlaps no base span is a
-secret if its log-likelihood ratio (random over ordinary) exceeds ``MARGIN``.
+secret if its log-likelihood ratio (random over ordinary) exceeds ``MARGIN``, and
+``MARGIN_EACH`` for each character.
 
 Training samples are labelled by the patterns: their values are random strings,
 the other words of the same documents are ordinary identifiers.  They come from
 about ``SAMPLE_DOCS`` documents, chosen by the hash of id and text (all, where
-there are fewer); the models have at most 2 × 67 × 66 numbers, which is all that
+there are fewer); the models have at most 2 × 68 × 67 numbers, which is all that
 reaches the driver.  Scanning then covers every whole text, row by row, without
 a shuffle.
 
@@ -47,8 +48,9 @@ RUN = rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}"
 SAMPLE_DOCS = 4000
 #: Added to every count.
 SMOOTHING = 0.5
-#: Natural logarithm of the odds that a run must reach.
+#: Natural logarithm of the odds that a run must reach, in all and for each character.
 MARGIN = 12.0
+MARGIN_EACH = 1.0
 
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 _BLOCK = 256
@@ -150,12 +152,12 @@ def score(token: Column, ratios: Column) -> Column:
     return F.aggregate(_steps(token), F.lit(0.0), lambda total, x: total + F.get(ratios, x["a"] * len(ALPHABET) + x["b"]))
 
 
-def markov_spans(text: Column, base: Column, model: list[float], margin: float = MARGIN) -> Column:
-    """Runs that overlap no base span and score above the margin."""
+def markov_spans(text: Column, base: Column, model: list[float], margin: float = MARGIN, each: float = MARGIN_EACH) -> Column:
+    """Runs that overlap no base span and score above the margins."""
     ratios = F.from_json(F.lit(json.dumps(model)), "array<double>")
     runs = spans(text, MARKOV, len(PATTERNS), RUN, 0, MIN_RUN, RUN)
     return F.filter(runs, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & (
-        score(F.substring(text, x["start"] + 1, x["end"] - x["start"]), ratios) > margin))
+        score(F.substring(text, x["start"] + 1, x["end"] - x["start"]), ratios) > F.greatest(F.lit(margin), each * (x["end"] - x["start"]))))
 
 
 def with_spans(docs: DataFrame, out: str, text: str = "text", key: str = "doc_id", model: list[float] | None = None) -> DataFrame:
