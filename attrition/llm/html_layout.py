@@ -23,6 +23,7 @@ result; a page may be of any length."""
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -93,8 +94,22 @@ def build_tree(html: str) -> Node:
     root = Node("html")
     stack = [root]
 
-    def close_through(names: tuple[str, ...] | frozenset[str], stop: tuple[str, ...] | frozenset[str]) -> None:
+    opened: Counter[str] = Counter()
+
+    def push(node: Node) -> None:
+        if len(stack) >= MAX_DEPTH:
+            cut(len(stack) - 1)
+        stack.append(node)
+        opened[node.name] += 1
+
+    def cut(n: int) -> None:
+        opened.subtract(x.name for x in stack[n:])
+        del stack[n:]
+
+    def close_through(names: tuple[str, ...], stop: tuple[str, ...] | frozenset[str]) -> None:
         """Close open elements up to the outermost of ``names`` inside ``stop``."""
+        if not any(opened[x] for x in names):
+            return
         found = None
         for n in range(len(stack) - 1, 0, -1):
             if stack[n].name in names:
@@ -102,13 +117,15 @@ def build_tree(html: str) -> Node:
             elif stack[n].name in stop:
                 break
         if found is not None:
-            del stack[found:]
+            cut(found)
 
     def end(name: str) -> None:
         """Close the innermost open element of that name, if the scope allows."""
+        if not opened[name]:
+            return
         for n in range(len(stack) - 1, 0, -1):
             if stack[n].name == name:
-                del stack[n:]
+                cut(n)
                 return
             if stack[n].name in SCOPE and name not in SCOPE and name not in ("tr", "tbody", "thead", "tfoot"):
                 return
@@ -129,7 +146,7 @@ def build_tree(html: str) -> Node:
             continue
         name = m[2].lower()
         if m[1]:
-            if name == "p" and all(x.name != "p" for x in stack):
+            if name == "p" and not opened["p"]:
                 stack[-1].children.append(Node("p"))  # a lone </p> is an empty paragraph
             elif name == "br":
                 stack[-1].children.append(Node("br"))
@@ -143,7 +160,7 @@ def build_tree(html: str) -> Node:
         if name in IMPLIED:
             close_through(*IMPLIED[name])
         if name[0] == "h" and name[1:].isdigit() and stack[-1].name[0] == "h" and stack[-1].name[1:].isdigit():
-            stack.pop()
+            cut(len(stack) - 1)
         node = Node(name, m[3])
         stack[-1].children.append(node)
         if name in RAW:
@@ -153,9 +170,7 @@ def build_tree(html: str) -> Node:
             at = html.find(">", stop) + 1 if close else stop
             at = at or len(html)
         elif name not in VOID and not (m[3].endswith("/") and name in ("path", "circle", "rect", "use")):
-            if len(stack) >= MAX_DEPTH:
-                stack.pop()
-            stack.append(node)
+            push(node)
     return root
 
 

@@ -45,8 +45,8 @@ def boilerplate_lines(hashes: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
         F.hll_sketch_agg("site", lg_k).alias("sketch"), F.min("key").alias("first_key"))
         .select("h1", "h2", "first_key", F.hll_sketch_estimate("sketch").alias("sites"))
         # an estimate below the band can't reach the threshold: it plays no further part
-        .where(F.col("sites") >= min_sites / (1 + error) - 1), "line-spread")
-    near = F.col("sites") <= min_sites / (1 - error) + 1
+        .where(F.col("sites") >= min_sites * (1 - error) - 1), "line-spread")
+    near = F.col("sites") <= min_sites * (1 + error) + 1
     close = sketched.where(near).select("h1", "h2", "first_key")
     exact = (hashes.join(close, ["h1", "h2"]).groupBy("h1", "h2", "first_key", "site").agg(F.lit(1).alias("one"))
              .groupBy("h1", "h2", "first_key").agg(F.count("site").alias("sites"))
