@@ -103,7 +103,9 @@ def with_ledger(docs: DataFrame, out: str, text: str = "text", rules: tuple[Rule
         F.filter(s, twin), lambda x: x.bitwiseAND(F.col(low))).alias(d))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
     covered = F.array_union(F.array_union(F.col(d), F.transform(d, lambda x: x + 1)), F.transform(d, lambda x: x + 2))
-    step = step.select(*keep, F.struct(
+    # exploding one struct keeps a filter on the ledger from being pushed, and its
+    # expressions copied, into the steps above
+    step = step.select(*keep, F.explode(F.array(F.struct(
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         _kept_chars(F.col(t), r"[^#*$%&|<>]+").alias("n_symbols"),
@@ -115,7 +117,7 @@ def with_ledger(docs: DataFrame, out: str, text: str = "text", rules: tuple[Rule
         _kept_chars(F.col(t), r"[^A-Z]+").alias("n_capitals"),
         _kept_chars(F.col(t), r"[^A-Za-z]+").alias("n_letters"),
         _kept_chars(F.col(t), r"[^0-9]+").alias("n_digits"),
-    ).alias(m))
+    ))).alias(m))
 
     def got(name: str) -> Column:
         return F.col(m)[name]
