@@ -36,7 +36,7 @@ from attrition.llm.common import arrow_map, stored
 from attrition.llm.tokenization import END_ID, VOCABULARY, load_tokenizer
 
 CAPACITY = 2048
-SHARD_PIECES = 4096
+SHARD_PIECES = 16384
 ISLANDS = 2
 POPULATION = 6
 GENERATIONS = 4
@@ -74,12 +74,13 @@ def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: i
 Packing = list[list[int]]  # bins of piece numbers
 
 
-def best_fit(lengths: list[int], bins: Packing, loose: list[int], capacity: int) -> Packing:
-    """``bins`` with the loose pieces added, longest first, each into the fullest
-    bin that has room."""
+def best_fit(lengths: list[int], bins: Packing, loose: list[int], capacity: int, rng: np.random.Generator | None = None) -> Packing:
+    """``bins`` with the loose pieces added, longest first (with ``rng``: roughly so),
+    each into the fullest bin that has room."""
+    order = [lengths[i] for i in loose] if rng is None else (np.array([lengths[i] for i in loose]) * rng.uniform(0.5, 1.0, len(loose))).tolist()
     out = [list(b) for b in bins]
     room = sorted((capacity - sum(lengths[i] for i in b), n) for n, b in enumerate(out))
-    for i in sorted(loose, key=lambda x: (-lengths[x], x)):
+    for _, i in sorted(zip(order, loose, strict=True), key=lambda x: (-x[0], x[1])):
         at = bisect_left(room, (lengths[i], -1))
         if at < len(room):
             left, n = room.pop(at)
@@ -111,10 +112,11 @@ def crossover(lengths: list[int], giver: Packing, taker: Packing, capacity: int,
 
 
 def mutate(lengths: list[int], bins: Packing, capacity: int, rng: np.random.Generator) -> Packing:
-    """Empty the worst-filled bins and a few others, and fit their pieces again."""
+    """Empty the worst-filled bins and a few others, and fit their pieces again in a
+    slightly different order."""
     by_fill = sorted(range(len(bins)), key=lambda n: sum(lengths[i] for i in bins[n]))
     gone = set(by_fill[:2]) | set(rng.integers(0, len(bins), 3).tolist())
-    return best_fit(lengths, [b for n, b in enumerate(bins) if n not in gone], [i for n in gone for i in bins[n]], capacity)
+    return best_fit(lengths, [b for n, b in enumerate(bins) if n not in gone], [i for n in gone for i in bins[n]], capacity, rng)
 
 
 def evolve(lengths: list[int], population: list[Packing], capacity: int, generations: int, rng: np.random.Generator) -> list[Packing]:

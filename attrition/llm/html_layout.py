@@ -135,7 +135,7 @@ def build_tree(html: str) -> Node:
         # behind the last bracket no tag ends, and the search need not look for one
         m = _TOKEN.search(html, at, last)
         if m is None:
-            stack[-1].children.append(html[at:])
+            stack[-1].children.append(html[at:].partition("<!--")[0])
             break
         if m.start() > at:
             stack[-1].children.append(html[at:m.start()])
