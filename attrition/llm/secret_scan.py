@@ -7,7 +7,8 @@ secret if its log-likelihood ratio (random over ordinary) exceeds ``MARGIN``, an
 ``MARGIN_EACH`` for each character.
 
 Training samples are labelled by the patterns: their values are random strings,
-the other words of the same documents are ordinary identifiers.  They come from
+the other words of the same documents are ordinary identifiers (but those long
+enough to be judged themselves, which stay unlabelled).  They come from
 about ``SAMPLE_DOCS`` documents, chosen by the hash of id and text (all, where
 there are fewer); the models have at most 2 × 68 × 67 numbers, which is all that
 reaches the driver.  Scanning then covers every whole text, row by row, without
@@ -46,8 +47,10 @@ MARKOV = "markov"
 MIN_RUN = 20
 RUN = rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}"
 SAMPLE_DOCS = 4000
-#: Added to every count.
-SMOOTHING = 0.5
+#: Weight of a character's chance anywhere in its chance after another, in observations.
+WEIGHT = 10.0
+#: Share of the uniform distribution in the chance anywhere.
+FLOOR = 0.01
 #: Natural logarithm of the odds that a run must reach, in all and for each character.
 MARGIN = 12.0
 MARGIN_EACH = 1.0
@@ -132,19 +135,28 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs:
     for _, p, _, _ in PATTERNS[:2]:
         bare = F.regexp_replace(bare, p, " ")
     bare = F.regexp_replace(bare, r"[0-9a-f]{24,}", " ")
-    plain = F.filter(words(F.regexp_replace(bare, r"[^A-Za-z0-9+/_=-]", " ")), lambda w: w.rlike("^[A-Za-z_]") & (F.length(w) >= 4))
+    plain = F.filter(words(F.regexp_replace(bare, r"[^A-Za-z0-9+/_=-]", " ")), lambda w: w.rlike("^[A-Za-z_]") & F.length(w).between(4, MIN_RUN - 1))
     labelled = chosen.select(F.lit(1).alias("random"), F.explode(F.concat(*found)).alias("s")).unionByName(
         chosen.select(F.lit(0).alias("random"), F.explode(F.array_distinct(plain)).alias("s"))).distinct()
     steps = labelled.select("random", F.explode(_steps(F.col("s"))).alias("x")).where("x.a >= 0 and x.b >= 0")
     counts = {(r.random, r.a, r.b): r.n for r in steps.groupBy("random", "x.a", "x.b").agg(F.count("*").alias("n")).collect()}
+    return log_ratios(counts)
+
+
+def log_ratios(counts: dict[tuple[int, int, int], int]) -> list[float]:
+    """The ratios from counts by (model, previous, this).  A character's chance after
+    another is drawn towards its chance anywhere, and that towards a uniform one,
+    by the same shares in both models, so what neither has seen decides nothing."""
     size = len(ALPHABET)
-    out = []
-    for a in range(size + 1):
-        totals = [sum(counts.get((m, a, b), 0) for b in range(size)) + SMOOTHING * size for m in (0, 1)]
-        for b in range(size):
-            p = [(counts.get((m, a, b), 0) + SMOOTHING) / totals[m] for m in (0, 1)]
-            out.append(round(math.log(p[1]) - math.log(p[0]), 6))
-    return out
+
+    def chances(model: int) -> list[list[float]]:
+        own = [[counts.get((model, a, b), 0) for b in range(size)] for a in range(size + 1)]
+        total = sum(map(sum, own))
+        anywhere = [(1 - FLOOR) * sum(row[b] for row in own) / total + FLOOR / size if total else 1 / size for b in range(size)]
+        return [[(n + WEIGHT * p) / (sum(row) + WEIGHT) for n, p in zip(row, anywhere, strict=True)] for row in own]
+
+    ordinary, random = chances(0), chances(1)
+    return [round(math.log(r) - math.log(o), 6) for x, y in zip(random, ordinary, strict=True) for r, o in zip(x, y, strict=True)]
 
 
 def score(token: Column, ratios: Column) -> Column:
