@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from attrition.functions.buckets import bucketize
 from attrition.functions.grid import grid_delta, grid_index_at_most, grid_size, safe_div
+from attrition.session import cut_lineage
+
 
 def _pos() -> Column:
     return F.col("__y") == 1
@@ -101,57 +103,58 @@ def score_table(df: DataFrame, score: str | Column, label: str) -> DataFrame:
 
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 65_536
 
 
-def sums_above(tbl: DataFrame, order: str, cols: list[str], bins: int | None = None) -> tuple[DataFrame, dict]:
+def sums_above(tbl: DataFrame, order: str, cols: list[str], bins: int | None = None) -> DataFrame:
     """For each row, the sums of ``cols`` over rows with a strictly
-    larger ``order`` value (``order`` distinct per row).  Bucket-wise:
-    per-bucket totals go to the driver (≤ bins rows), the rest is a window
-    inside each bucket; the bucket count grows with the table so a bucket
-    holds about ``ROWS_PER_BUCKET`` rows.  Also returns the grand totals."""
+    larger ``order`` value (``order`` distinct per row, neither null nor NaN).
+    Bucket-wise: a window runs inside each bucket of about
+    ``ROWS_PER_BUCKET`` rows and another over the bucket totals (one row per
+    bucket, so a millionth of the table), which are joined back."""
     if bins is None:
-        n = tbl.count()
-        bins = int(min(MAX_BUCKETS, max(256, math.ceil(n / ROWS_PER_BUCKET))))
+        bins = max(256, math.ceil(tbl.count() / ROWS_PER_BUCKET))
     probs = [i / bins for i in range(1, bins)]
     edges = tbl.agg(F.percentile_approx(order, probs, 8 * bins)).first()[0] or []
     b = bucketize(tbl, order, edges, "__b")
-    tot = sorted(b.groupBy("__b").agg(*[F.sum(c).alias(c) for c in cols]).collect(),
-                 key=lambda r: -r["__b"])
-    above, acc = {}, {c: 0 for c in cols}
-    for r in tot:
-        above[r["__b"]] = dict(acc)
-        for c in cols:
-            acc[c] += r[c] or 0
+    higher = Window.orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    tot = (b.groupBy("__b").agg(*[F.sum(c).alias(c) for c in cols])
+           .select("__b", *[F.coalesce(F.sum(c).over(higher), F.lit(0)).alias(f"__{c}") for c in cols]))
     w = (Window.partitionBy("__b").orderBy(F.col(order).desc())
          .rowsBetween(Window.unboundedPreceding, -1))
-    out = b
-    for c in cols:
-        off = F.create_map(*[x for bk, vals in above.items() for x in (F.lit(bk), F.lit(vals[c]))])
-        out = out.withColumn(f"{c}_above", F.coalesce(off[F.col("__b")], F.lit(0))
-                             + F.coalesce(F.sum(c).over(w), F.lit(0)))
-    return out.drop("__b"), acc
+    out = b.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_above") for c in cols]).join(tot, "__b")
+    return out.select(*tbl.columns, *[(F.col(f"{c}_above") + F.col(f"__{c}")).alias(f"{c}_above") for c in cols])
+
+
+def rank_metrics(df: DataFrame, score: str | Column, label: str) -> DataFrame:
+    """V4, V5/W5 in one pass: ``auc``, ROC AUC as the rank statistic with tied
+    scores counted half, and ``ap``, Σ ΔR · P over distinct scores from the top
+    (step sum, not the trapezoid).  The scores are reduced to one row per
+    distinct value and stored once.  Rows with a null or NaN score tie below all
+    others; a metric without positives (or, for AUC, negatives) is null."""
+    scores = cut_lineage(score_table(df, score, label))
+    known = F.col("s").isNotNull() & ~F.isnan("s")
+    t = scores.agg(*[F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0)).alias(a)
+                     for n in ("pos", "neg") for c, a in ((known, n), (~known, f"last_{n}"))]).first()
+    P, N = t["pos"] + t["last_pos"], t["neg"] + t["last_neg"]
+    rows = sums_above(scores.where(known), "s", ["pos", "neg"]).select("pos", "neg", "pos_above", "neg_above")
+    if t["last_pos"] + t["last_neg"]:
+        rows = rows.unionByName(df.sparkSession.createDataFrame(
+            [(t["last_pos"], t["last_neg"], t["pos"], t["neg"])], "pos bigint, neg bigint, pos_above bigint, neg_above bigint"))
+    neg_below = F.lit(N) - F.col("neg_above") - F.col("neg")
+    tp, fp = F.col("pos_above") + F.col("pos"), F.col("neg_above") + F.col("neg")
+    auc_value = F.sum(F.col("pos") * (neg_below + 0.5 * F.col("neg"))) / F.lit(float(P) * float(N)) if P and N else F.lit(None)
+    ap_value = F.sum((F.col("pos") / F.lit(float(P))) * (tp / (tp + fp))) if P else F.lit(None)
+    return rows.agg(auc_value.cast("double").alias("auc"), ap_value.cast("double").alias("ap"))
 
 
 def auc(df: DataFrame, score: str | Column, label: str) -> DataFrame:
-    """ROC AUC as the rank statistic with tied scores counted half."""
-    t, tot = sums_above(score_table(df, score, label), "s", ["pos", "neg"])
-    P, N = tot["pos"], tot["neg"]
-    neg_below = F.lit(N) - F.col("neg_above") - F.col("neg")
-    denom = float(P) * float(N)
-    val = F.sum(F.col("pos") * (neg_below + 0.5 * F.col("neg"))) / F.lit(denom) if denom else F.lit(None)
-    return t.agg(val.cast("double").alias("auc"))
+    """V4 alone."""
+    return rank_metrics(df, score, label).select("auc")
 
 
 def average_precision(df: DataFrame, score: str | Column, label: str) -> DataFrame:
-    """V5: Σ ΔR · P over distinct scores from the top (step sum, not the
-    trapezoid)."""
-    t, tot = sums_above(score_table(df, score, label), "s", ["pos", "neg"])
-    P = tot["pos"]
-    tp = F.col("pos_above") + F.col("pos")
-    fp = F.col("neg_above") + F.col("neg")
-    val = F.sum((F.col("pos") / F.lit(float(P))) * (tp / (tp + fp))) if P else F.lit(None)
-    return t.agg(val.cast("double").alias("ap"))
+    """V5 alone."""
+    return rank_metrics(df, score, label).select("ap")
 
 
 # --- threshold sweeps ---------------------------------------------------------

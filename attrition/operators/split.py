@@ -35,37 +35,42 @@ def _u(seed: int, keys: list[str], tag: str | None) -> Column:
 
 def class_rank(df: DataFrame, key, label: str, seed: int = 42, out: str = "class_rank",
                tag: str | None = None) -> DataFrame:
-    """0-based rank of each row inside its class, ordered by (hash, key).
+    """keys, ``__label``, ``__u``, 0-based rank of each row inside its class
+    by (hash, key), and the class size.  Null labels are a class of their own.
 
-    One distributed global order over (label, hash, key); the class offset
+    One distributed global order over these narrow columns; the class offset
     is subtracted using the class counts (one row per class)."""
     keys = _keys(key)
-    with_u = df.withColumn("__u", _u(seed, keys, tag))
-    idx = dense_index(with_u, [label, "__u", *keys], "__idx")
-    counts = sorted((r[0], r[1]) for r in df.groupBy(label).count().collect()
-                    if r[0] is not None)
-    start, acc = {}, 0
+    narrow = df.select(*keys, F.col(label).alias("__label"), _u(seed, keys, tag).alias("__u"))
+    idx = dense_index(narrow, ["__label", "__u", *keys], "__idx")
+    # nulls sort first, as in the global order
+    counts = sorted(((r[0], r[1]) for r in idx.groupBy("__label").count().collect()),
+                    key=lambda c: (c[0] is not None, 0 if c[0] is None else c[0]))
+    offset, total, acc = F.lit(None).cast("bigint"), F.lit(None).cast("bigint"), 0
     for lab, n in counts:
-        start[lab] = acc
+        same = F.col("__label").eqNullSafe(F.lit(lab))
+        offset, total = F.when(same, F.lit(acc)).otherwise(offset), F.when(same, F.lit(n)).otherwise(total)
         acc += n
-    offset = F.lit(0).cast("bigint")
-    for lab, s in start.items():
-        offset = F.when(F.col(label) == F.lit(lab), F.lit(s)).otherwise(offset)
-    total = F.lit(0).cast("bigint")
-    for lab, n in counts:
-        total = F.when(F.col(label) == F.lit(lab), F.lit(n)).otherwise(total)
-    return (idx.withColumn(out, F.col("__idx") - offset)
-            .withColumn("__class_n", total).drop("__idx"))
+    return idx.withColumn(out, F.col("__idx") - offset).withColumn("__class_n", total).drop("__idx")
 
 
 def split_exact(df: DataFrame, key, label: str, test_frac: float = 0.3, seed: int = 42,
                 out: str = "split") -> DataFrame:
     """D1 (exact, stratified): the first ceil(test_frac · n_class) rows of
-    each class in (hash, key) order are ``test``."""
+    each class in (hash, key) order are ``test``; null labels are a class.
+
+    Only the last test row of each class is looked up; the split itself is a
+    comparison with it, so the table is neither copied nor joined."""
+    keys = _keys(key)
     r = class_rank(df, key, label, seed)
-    quota = F.ceil(F.lit(test_frac) * F.col("__class_n"))
-    return (r.withColumn(out, F.when(F.col("class_rank") < quota, F.lit("test")).otherwise(F.lit("train")))
-            .drop("class_rank", "__class_n", "__u"))
+    last = r.where(F.col("class_rank") == F.ceil(F.lit(test_frac) * F.col("__class_n")) - 1).collect()
+    place = F.struct(_u(seed, keys, None).alias("u"), *[F.col(k) for k in keys])
+    types = dict(df.dtypes)
+    test = F.lit(False)
+    for row in last:
+        bound = F.struct(F.lit(row["__u"]).alias("u"), *[F.lit(row[k]).cast(types[k]).alias(k) for k in keys])
+        test = test | (F.col(label).eqNullSafe(F.lit(row["__label"])) & (place <= bound))
+    return df.withColumn(out, F.when(test, F.lit("test")).otherwise(F.lit("train")))
 
 
 def sample_n(df: DataFrame, key, n: int = 500, seed: int = 42) -> DataFrame:
@@ -85,8 +90,13 @@ def kfold_exact(df: DataFrame, key, label: str, k: int = 5, seed: int = 42,
                 out: str = "fold") -> DataFrame:
     """D3 (exact, stratified): fold = class rank mod k, so every fold holds
     each class within one row of its share."""
+    keys = _keys(key)
     r = class_rank(df, key, label, seed, tag="fold")
-    return r.withColumn(out, (F.col("class_rank") % k).cast("int")).drop("class_rank", "__class_n", "__u")
+    fold = r.select(*keys, F.col("__label").alias(label), (F.col("class_rank") % k).cast("int").alias(out))
+    same = F.lit(True)
+    for c in [*keys, label]:
+        same = same & df[c].eqNullSafe(fold[c])
+    return df.join(fold, same).select(*[df[c] for c in df.columns], fold[out])
 
 
 def in_split(split: str, col: str = "split") -> Column:

@@ -173,9 +173,8 @@ def cv_scores(make_pipeline: Callable[[], object], df: DataFrame, key, label: st
         pred = score(model, te, key, label).persist()
         try:
             hard = (F.col("p") >= threshold).cast("int")
-            row = (metrics.prf(pred, label, hard).first()["accuracy"],
-                   metrics.average_precision(pred, "p", label).first()[0],
-                   metrics.auc(pred, "p", label).first()[0],
+            ranked = metrics.rank_metrics(pred, "p", label).first()
+            row = (metrics.prf(pred, label, hard).first()["accuracy"], ranked["ap"], ranked["auc"],
                    metrics.macro_f1(pred, label, hard).first()[0])
         finally:
             pred.unpersist()
@@ -191,14 +190,13 @@ METRIC_COLS = ["tn", "fp", "fn", "tp", "accuracy", "precision", "recall", "f1",
 
 
 def evaluate_row(pred: DataFrame, label: str, threshold: float = 0.5) -> dict:
-    """T3 report: hold-out metrics of a score table, as one dict (three
-    aggregate jobs, one row back each)."""
+    """T3 report: hold-out metrics of a score table, as one dict (one row
+    back per aggregate)."""
     hard = (F.col("p") >= threshold).cast("int")
     pred = pred.persist()
     try:
         m = metrics.prf(pred, label, hard).first().asDict()
-        m["roc_auc"] = metrics.auc(pred, "p", label).first()[0]
-        m["ap"] = metrics.average_precision(pred, "p", label).first()[0]
+        m["roc_auc"], m["ap"] = metrics.rank_metrics(pred, "p", label).first()
     finally:
         pred.unpersist()
     return {c: m[c] for c in METRIC_COLS}

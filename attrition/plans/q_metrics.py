@@ -124,6 +124,19 @@ def auc_hard(spark, sf_dir):
     return _per_score(lambda s: metrics.auc(li, (F.col(s) >= 0.5).cast("int"), "label"))
 
 
+MISSING = "CASE WHEN s_qty < 0.2 THEN NULL WHEN s_qty > 0.9 THEN CAST('NaN' AS DOUBLE) ELSE s_price END"
+
+
+@query("rank_missing_scores", with_views(f"""
+SELECT a.auc, p.ap FROM ({_auc_sql("coalesce(CASE WHEN isnan(x) THEN -1.0 ELSE x END, -1.0)", "x").replace("FROM line", "FROM miss")}) a,
+({_ap_sql("coalesce(CASE WHEN isnan(x) THEN -1.0 ELSE x END, -1.0)", "x").replace("FROM line", "FROM miss")}) p""",
+    LINE_SQL + f", miss AS (SELECT label, {MISSING} AS x FROM line)"), ops="V4 V5 W4 W5")
+def rank_missing_scores(spark, sf_dir):
+    """Null and NaN scores tie below all others."""
+    x = line_view(spark, sf_dir).select("label", F.expr(MISSING).alias("x"))
+    return metrics.rank_metrics(x, "x", "label")
+
+
 @query("ap_prob", with_views(" UNION ALL ".join(_ap_sql(s, s) for s in SCORES), LINE_SQL), ops="V5 W4")
 def ap_prob(spark, sf_dir):
     li = line_view(spark, sf_dir)

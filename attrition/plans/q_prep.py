@@ -107,6 +107,20 @@ def split_exact(spark, sf_dir):
                              "c_custkey", "exited", 0.3)
 
 
+SOME_LABELS = "CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE exited END"
+
+
+@query("split_exact_null_label", with_views(f"""
+SELECT c_custkey, exited,
+       CASE WHEN row_number() OVER (PARTITION BY exited ORDER BY {U}, c_custkey) - 1
+                 < ceil(0.3 * count(*) OVER (PARTITION BY exited)) THEN 'test' ELSE 'train' END AS split
+FROM (SELECT c_custkey, {SOME_LABELS} AS exited FROM churn)""", CHURN_SQL), ops="D1")
+def split_exact_null_label(spark, sf_dir):
+    """Null labels keep the quotas of the others exact and get one themselves."""
+    some = churn_view(spark, sf_dir).select("c_custkey", F.expr(SOME_LABELS).alias("exited"))
+    return split.split_exact(some, "c_custkey", "exited", 0.3)
+
+
 U_SAMPLE = duckdb_uniform(42, "c_custkey", "'sample'")
 U_FOLD = duckdb_uniform(42, "c_custkey", "'fold'")
 
@@ -132,6 +146,15 @@ def kfold_exact(spark, sf_dir):
                              "c_custkey", "exited", 5)
 
 
+@query("kfold_exact_null_label", with_views(f"""
+SELECT c_custkey, exited,
+       CAST((row_number() OVER (PARTITION BY exited ORDER BY {U_FOLD}, c_custkey) - 1) % 5 AS INTEGER) AS fold
+FROM (SELECT c_custkey, {SOME_LABELS} AS exited FROM churn)""", CHURN_SQL), ops="D3")
+def kfold_exact_null_label(spark, sf_dir):
+    some = churn_view(spark, sf_dir).select("c_custkey", F.expr(SOME_LABELS).alias("exited"))
+    return split.kfold_exact(some, "c_custkey", "exited", 5)
+
+
 @query("split_class_counts", with_views(f"""
 SELECT CASE WHEN {U} < 0.3 THEN 'test' ELSE 'train' END AS split, exited, count(*) AS n
 FROM churn GROUP BY ALL""", CHURN_SQL), ops="D1 A6")

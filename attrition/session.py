@@ -50,11 +50,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
-    Reads ``spark.checkpoint.dir`` from the session.  Only when it is unset
-    (local tests) is a fresh scratch folder created and registered.
+    Reads ``spark.checkpoint.dir`` from the session.  Where it is unset, a fresh
+    scratch folder is registered if the driver and the tasks are one process
+    (local tests); a cluster must name a folder that all its machines share.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="attrition-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
