@@ -34,6 +34,14 @@ from pyspark.sql import functions as F
 MAX_DEPTH = 30
 
 
+def checked_depth(depth: int) -> int:
+    """MLlib builds trees of at most 30 levels; a deeper request is an error
+    rather than another model."""
+    if depth > MAX_DEPTH:
+        raise ValueError(f"max_depth {depth} exceeds the {MAX_DEPTH} levels that MLlib builds")
+    return depth
+
+
 def assembler(features: list[str], out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep")
 
@@ -52,7 +60,7 @@ def tree(max_depth: int = 5, min_samples_leaf: int = 1, max_features: str | None
          weight_col: str | None = None, label: str = "label", seed: int = 42):
     """M2: a single CART tree; with ``max_features`` a one-tree forest
     without bootstrap (feature subsampling per split)."""
-    depth = min(max_depth, MAX_DEPTH)
+    depth = checked_depth(max_depth)
     if max_features:
         est = RandomForestClassifier(numTrees=1, bootstrap=False, featureSubsetStrategy=max_features,
                                      maxDepth=depth, minInstancesPerNode=min_samples_leaf,
@@ -69,7 +77,7 @@ def forest(n_estimators: int = 100, max_depth: int = 10, min_samples_leaf: int =
            max_features: str = "sqrt", weight_col: str | None = None, label: str = "label",
            seed: int = 42) -> RandomForestClassifier:
     """M3."""
-    est = RandomForestClassifier(numTrees=n_estimators, maxDepth=min(max_depth, MAX_DEPTH),
+    est = RandomForestClassifier(numTrees=n_estimators, maxDepth=checked_depth(max_depth),
                                  minInstancesPerNode=min_samples_leaf,
                                  featureSubsetStrategy=str(max_features), seed=seed, labelCol=label)
     if weight_col:
@@ -82,7 +90,7 @@ def boosting(n_estimators: int = 100, learning_rate: float = 0.1, max_depth: int
              weight_col: str | None = None, label: str = "label", seed: int = 42,
              max_bins: int = 32) -> GBTClassifier:
     """M4 (and the base of M5–M7)."""
-    est = GBTClassifier(maxIter=n_estimators, stepSize=learning_rate, maxDepth=min(max_depth, MAX_DEPTH),
+    est = GBTClassifier(maxIter=n_estimators, stepSize=learning_rate, maxDepth=checked_depth(max_depth),
                         minInstancesPerNode=min_samples_leaf, subsamplingRate=subsample,
                         featureSubsetStrategy=str(max_features), seed=seed, labelCol=label,
                         maxBins=max_bins)
@@ -112,22 +120,42 @@ def boosting_leafwise_style(n_estimators: int = 100, learning_rate: float = 0.1,
 
 def nominal_boosting_pipeline(numeric: list[str], nominal: list[str], n_estimators: int = 100,
                               learning_rate: float = 0.03, depth: int = 6, weight_col: str | None = None,
-                              label: str = "label", seed: int = 42) -> Pipeline:
+                              label: str = "label", seed: int = 42, max_levels: int = 63) -> Pipeline:
     """M7: boosting directly on nominal columns: string indexes enter the
     vector as categorical features (``VectorAssembler`` keeps the nominal
-    attribute metadata), so trees split on category sets."""
+    attribute metadata), so trees split on category sets.  ``max_levels`` is
+    the largest number of levels (:func:`most_levels` of the training rows)."""
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep") for c in nominal]
     va = assembler(list(numeric) + [f"{c}__idx" for c in nominal])
     gbt = boosting(n_estimators, learning_rate, depth, 1, 1.0, "all", weight_col, label=label, seed=seed,
-                   max_bins=64)
+                   max_bins=max(32, max_levels + 1))
     return Pipeline(stages=[*idx, va, gbt])
 
 
+def most_levels(df: DataFrame, nominal: list[str]) -> int:
+    """The largest number of distinct values among nominal columns."""
+    row = df.agg(*[F.count_distinct(F.col(c)) for c in nominal]).first()
+    return max([*row, 1])
+
+
 def linear_svc(C: float = 1.0, n: int = 1, label: str = "label", max_iter: int = 50) -> LinearSVC:
     """M8 (linear kernel)."""
     return LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=max_iter, labelCol=label, standardization=False)
 
 
+def standard_constants(df: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
+    """Mean and population standard deviation of each feature, fitted on ``df``
+    (a constant feature gets deviation 1)."""
+    row = df.agg(*[e for f in features for e in (F.avg(F.col(f).cast("double")), F.stddev_pop(F.col(f).cast("double")))]).first()
+    return {f: (row[2 * i] or 0.0, row[2 * i + 1] or 1.0) for i, f in enumerate(features)}
+
+
+def standardised(features: list[str], constants: dict[str, tuple[float, float]]) -> SQLTransformer:
+    """Stage that adds each feature, standardised, as ``__z_<feature>``."""
+    cols = [f"(CAST(`{f}` AS DOUBLE) - ({constants[f][0]!r}D)) / {constants[f][1]!r}D AS `__z_{f}`" for f in features]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(cols)} FROM __THIS__")
+
+
 def rff_stage(features: list[str], gamma: float, n_components: int = 100, seed: int = 42,
               out: str = "features") -> Transformer:
     """Random Fourier features for an rbf kernel exp(-γ‖x−y‖²) (Rahimi &
@@ -146,23 +174,23 @@ def rff_stage(features: list[str], gamma: float, n_components: int = 100, seed:
         VectorAssembler(inputCols=[f"__rff{j}" for j in range(n_components)], outputCol=out)])
 
 
-def gamma_scale(df: DataFrame, features: list[str]) -> float:
-    """``gamma='scale'``: 1 / (n_features · variance of all feature values)."""
-    long = df.select(F.explode(F.array(*[F.col(f).cast("double") for f in features])).alias("v"))
-    var = long.agg(F.var_pop("v")).first()[0] or 1.0
-    return 1.0 / (len(features) * var) if var > 0 else 1.0
-
-
 def svc_pipeline(features: list[str], kernel: str = "rbf", C: float = 1.0, n: int = 1,
                  gamma: float | None = None, degree: int = 3, label: str = "label",
-                 n_components: int = 100, seed: int = 42) -> Pipeline:
-    """M8: linear, rbf (random features) or polynomial kernel + LinearSVC."""
+                 n_components: int = 100, seed: int = 42,
+                 scaling: dict[str, tuple[float, float]] | None = None) -> Pipeline:
+    """M8: linear, rbf (random features) or polynomial kernel + LinearSVC.
+    ``scaling`` (:func:`standard_constants` of the training rows) standardises the
+    features first; ``gamma`` then refers to them, and its default 1 / features
+    is what ``gamma='scale'`` gives on standardised features."""
+    stages = []
+    if scaling is not None:
+        stages, features = [standardised(features, scaling)], [f"__z_{f}" for f in features]
     if kernel == "linear":
-        stages = [assembler(features)]
+        stages += [assembler(features)]
     elif kernel == "rbf":
-        stages = [rff_stage(features, gamma if gamma else 1.0 / len(features), n_components, seed)]
+        stages += [rff_stage(features, gamma if gamma else 1.0 / len(features), n_components, seed)]
     elif kernel == "poly":
-        stages = [assembler(features, "__raw"),
+        stages += [assembler(features, "__raw"),
                   PolynomialExpansion(degree=degree, inputCol="__raw", outputCol="features")]
     else:
         raise ValueError(f"unsupported kernel {kernel!r}")

@@ -202,6 +202,43 @@ def evaluate_row(pred: DataFrame, label: str, threshold: float = 0.5) -> dict:
     return {c: m[c] for c in METRIC_COLS}
 
 
+@dataclass(frozen=True)
+class Candidate:
+    """A model of the comparison: its settings, and a function from training and
+    test rows to scored test rows (key, label, ``p``, ``pred``)."""
+    params: dict
+    predict: Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def estimator(params: dict, make: Callable[[DataFrame], object], key, label: str) -> Candidate:
+    """Candidate of an MLlib pipeline; ``make`` builds it for the training rows."""
+    from attrition.operators.models import score
+    return Candidate(params, lambda tr, te: score(make(tr).fit(tr), te, key, label))
+
+
+def compare(candidates: dict[str, Candidate], train: DataFrame, test: DataFrame, label: str, fold_col: str = "fold",
+            folds: int = 5, threshold: float = 0.5, parallelism: int = 4) -> DataFrame:
+    """One row per model with its settings, the mean and population std
+    of its cross-validated accuracy on the training rows, and all hold-out metrics.
+    Fits run concurrently."""
+    def accuracy(c: Candidate, f: int) -> float:
+        pred = c.predict(train.where(F.col(fold_col) != f), train.where(F.col(fold_col) == f))
+        return pred.agg(F.avg((F.col(label) == (F.col("p") >= threshold).cast("int")).cast("double"))).first()[0]
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        cv = {(n, f): pool.submit(accuracy, c, f) for n, c in candidates.items() for f in range(folds)}
+        held = {n: pool.submit(lambda c=c: evaluate_row(c.predict(train, test), label, threshold)) for n, c in candidates.items()}
+        rows = []
+        for n, c in sorted(candidates.items()):
+            scores = [x for f in range(folds) if (x := cv[n, f].result()) is not None]
+            mean = sum(scores) / len(scores) if scores else None
+            std = math.sqrt(sum((x - mean) ** 2 for x in scores) / len(scores)) if scores else None
+            rows.append((n, {k: str(v) for k, v in c.params.items()}, mean, std, *[held[n].result()[m] for m in METRIC_COLS]))
+    return train.sparkSession.createDataFrame(
+        rows, "model string, params map<string,string>, cv_mean double, cv_std double, tn bigint, fp bigint, fn bigint, tp bigint, "
+        + ", ".join(f"{c} double" for c in METRIC_COLS[4:]))
+
+
 def leaderboard(models: dict[str, Callable[[], object]], train: DataFrame, test: DataFrame, key,
                 label: str, threshold: float = 0.5, parallelism: int = 4) -> DataFrame:
     """Fit every model (concurrently), one metrics row each."""

@@ -129,10 +129,11 @@ def _doc_split(spark, sf_dir):
 
 
 def _fit_eval(spark, sf_dir, name: str, make, weighted: dict | str | None = None):
+    """``make`` gets the training rows' number and the training rows."""
     tr, te = _doc_split(spark, sf_dir)
     if weighted is not None:
         tr = metrics.with_weights(tr, "label", weighted, "weight")
-    model = make(tr.count()).fit(tr)
+    model = make(tr.count(), tr).fit(tr)
     r = tune.evaluate_row(models.score(model, te, "doc_id", "label"), "label", 0.5)
     cols = tune.METRIC_COLS
     schema = "model string, tn bigint, fp bigint, fn bigint, tp bigint, " + \
@@ -143,73 +144,72 @@ def _fit_eval(spark, sf_dir, name: str, make, weighted: dict | str | None = None
 @query("fit_logreg", ops="M1 M11 T3 V2 V4 V5")
 def fit_logreg(spark, sf_dir):
     return _fit_eval(spark, sf_dir, "logreg",
-                     lambda n: models.pipeline(DOC_FEATS, models.logistic(C=1.0, n=n, max_iter=100)))
+                     lambda n, tr: models.pipeline(DOC_FEATS, models.logistic(C=1.0, n=n, max_iter=100)))
 
 
 @query("fit_tree", ops="M2 M11")
 def fit_tree(spark, sf_dir):
     return _fit_eval(spark, sf_dir, "tree",
-                     lambda n: models.pipeline(DOC_FEATS, models.tree(max_depth=5, min_samples_leaf=2,
+                     lambda n, tr: models.pipeline(DOC_FEATS, models.tree(max_depth=5, min_samples_leaf=2,
                                                                       weight_col="weight")), "balanced")
 
 
 @query("fit_tree_log2", ops="M2")
 def fit_tree_log2(spark, sf_dir):
     return _fit_eval(spark, sf_dir, "tree_log2",
-                     lambda n: models.pipeline(DOC_FEATS, models.tree(max_depth=6, max_features="log2")))
+                     lambda n, tr: models.pipeline(DOC_FEATS, models.tree(max_depth=6, max_features="log2")))
 
 
 @query("fit_forest", ops="M3 M11")
 def fit_forest(spark, sf_dir):
     return _fit_eval(spark, sf_dir, "forest",
-                     lambda n: models.pipeline(DOC_FEATS, models.forest(20, 6, 1, "sqrt")))
+                     lambda n, tr: models.pipeline(DOC_FEATS, models.forest(20, 6, 1, "sqrt")))
 
 
 @query("fit_gbt", ops="M4 M11")
 def fit_gbt(spark, sf_dir):
     return _fit_eval(spark, sf_dir, "gbt",
-                     lambda n: models.pipeline(DOC_FEATS, models.boosting(10, 0.1, 3, 1, 0.8)))
+                     lambda n, tr: models.pipeline(DOC_FEATS, models.boosting(10, 0.1, 3, 1, 0.8)))
 
 
 @query("fit_gbt_weighted", ops="M5 P7")
 def fit_gbt_weighted(spark, sf_dir):
     return _fit_eval(spark, sf_dir, "gbt_xgb_style",
-                     lambda n: models.pipeline(DOC_FEATS, models.boosting_xgb_style(
+                     lambda n, tr: models.pipeline(DOC_FEATS, models.boosting_xgb_style(
                          10, 0.1, 4, 0.8, 0.8, weight_col="weight")), {0: 1.0, 1: 2.0})
 
 
 @query("fit_gbt_leafwise", ops="M6")
 def fit_gbt_leafwise(spark, sf_dir):
     return _fit_eval(spark, sf_dir, "gbt_leafwise_style",
-                     lambda n: models.pipeline(DOC_FEATS, models.boosting_leafwise_style(
+                     lambda n, tr: models.pipeline(DOC_FEATS, models.boosting_leafwise_style(
                          10, 0.1, num_leaves=15, min_child_samples=5)))
 
 
 @query("fit_gbt_nominal", ops="M7 P7")
 def fit_gbt_nominal(spark, sf_dir):
     return _fit_eval(spark, sf_dir, "gbt_nominal",
-                     lambda n: models.nominal_boosting_pipeline(DOC_FEATS, ["lang", "source"], 10, 0.05, 4,
-                                                                weight_col="weight"), {0: 0.32, 1: 0.68})
+                     lambda n, tr: models.nominal_boosting_pipeline(DOC_FEATS, ["lang", "source"], 10, 0.05, 4, weight_col="weight",
+                                                                    max_levels=models.most_levels(tr, ["lang", "source"])), {0: 0.32, 1: 0.68})
+
+
+def _svc(kernel: str, **options):
+    return lambda n, tr: models.svc_pipeline(DOC_FEATS, kernel, C=1.0, n=n, scaling=models.standard_constants(tr, DOC_FEATS), **options)
 
 
 @query("fit_linear_svc", ops="M8")
 def fit_linear_svc(spark, sf_dir):
-    return _fit_eval(spark, sf_dir, "linear_svc",
-                     lambda n: models.svc_pipeline(DOC_FEATS, "linear", C=1.0, n=n))
+    return _fit_eval(spark, sf_dir, "linear_svc", _svc("linear"))
 
 
 @query("fit_rff_svc", ops="M8")
 def fit_rff_svc(spark, sf_dir):
-    tr, _ = _doc_split(spark, sf_dir)
-    gamma = models.gamma_scale(tr, DOC_FEATS)
-    return _fit_eval(spark, sf_dir, "rbf_svc",
-                     lambda n: models.svc_pipeline(DOC_FEATS, "rbf", C=1.0, n=n, gamma=gamma, n_components=50))
+    return _fit_eval(spark, sf_dir, "rbf_svc", _svc("rbf"))
 
 
 @query("fit_poly_svc", ops="M8")
 def fit_poly_svc(spark, sf_dir):
-    return _fit_eval(spark, sf_dir, "poly_svc",
-                     lambda n: models.svc_pipeline(DOC_FEATS, "poly", C=1.0, n=n, degree=3))
+    return _fit_eval(spark, sf_dir, "poly_svc", _svc("poly", degree=3))
 
 
 @query("importances", ops="M12 O1")
