@@ -48,10 +48,10 @@ def class_weights(df: DataFrame, label: str, weights: dict | str = "balanced") -
 
 
 def with_weights(df: DataFrame, label: str, weights: dict | str = "balanced", out: str = "weight") -> DataFrame:
-    """Adds a weight column.  The class table has one row per class
-    (bounded by construction) and is broadcast."""
+    """Adds a weight column.  The class table has one row per class;
+    the planner broadcasts it where it is small."""
     tbl = class_weights(df, label, weights).select(F.col(label).alias("__lab"), F.col("weight").alias(out))
-    return df.join(F.broadcast(tbl), F.col(label) == F.col("__lab"), "left").drop("__lab")
+    return df.join(tbl, F.col(label) == F.col("__lab"), "left").drop("__lab")
 
 
 def confusion(df: DataFrame, label: str, pred: str | Column, by: list[str] = ()) -> DataFrame:

@@ -63,9 +63,9 @@ def kde_grid(df: DataFrame, col: str, grid: int = 200, scale_bins: int | None =
     Scott bandwidth ``n^(-1/5) · std`` (sample std).  With ``scale_bins`` the
     density is scaled by ``n · binwidth`` as in a histogram overlay.
 
-    ``exact``: each row contributes to every grid point; the per-point sums
-    are combined map-side, so the shuffle is ``grid`` rows per partition but
-    the work is rows × grid.  ``binned``: rows are first counted into
+    ``exact``: rows are counted by value, and each distinct value contributes to
+    every grid point (values × grid; the sums are combined map-side).
+    ``binned``, for continuous columns: rows are first counted into
     ``prebins`` fine bins (one aggregation), then each bin contributes at its
     mean, so the kernel work is prebins × grid whatever the row count (error
     bounded by the fine-bin width relative to the bandwidth).
@@ -83,7 +83,7 @@ def kde_grid(df: DataFrame, col: str, grid: int = 200, scale_bins: int | None =
             F.least(F.floor((F.col("x") - mn) * prebins / (mx - mn)), F.lit(prebins - 1)))
         pts = x.groupBy(fb.alias("fb")).agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("w"))
     else:
-        pts = x.withColumn("w", F.lit(1))
+        pts = x.groupBy("x").agg(F.count(F.lit(1)).alias("w"))
     contrib = F.col("w") * F.exp(-0.5 * F.pow((point - F.col("x")) / h, 2))
     dens = (pts.select("x", "w", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
             .groupBy("i").agg(F.sum(contrib).alias("s")))
@@ -173,8 +173,7 @@ def box_stats(df: DataFrame, group: str, col: str) -> DataFrame:
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     x = F.col(col).cast("double")
     inside = (x >= lo_f) & (x <= hi_f)
-    # quart has one row per group (bounded by construction): broadcast it
-    return (df.where(x.isNotNull()).join(F.broadcast(quart), F.col(group) == F.col("g"))
+    return (df.where(x.isNotNull()).join(quart, F.col(group) == F.col("g"))
             .groupBy(group, "q1", "median", "q3")
             .agg(F.min(F.when(inside, x)).alias("whisker_lo"),
                  F.max(F.when(inside, x)).alias("whisker_hi"),

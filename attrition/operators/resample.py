@@ -46,8 +46,9 @@ def smote(df: DataFrame, key: str, label: str, features: list[str], k: int = 5,
     """
     nominal = list(nominal)
     cols = list(features) + nominal
-    base = cut_lineage(df.select(key, *cols, label))      # read the input once
-    minor = base.where(F.col(label) == minority)
+    base = df.select(key, *cols, label)
+    # the search reads the minority several times; the other rows only pass through
+    minor = cut_lineage(base.where(F.col(label) == minority))
     counts = {r[0]: r[1] for r in base.groupBy(label).count().collect()}
     m = counts.get(minority, 0)
     n_major = max((n for lab, n in counts.items() if lab != minority), default=0)
@@ -60,8 +61,8 @@ def smote(df: DataFrame, key: str, label: str, features: list[str], k: int = 5,
         raise ValueError(f"minority class has {m} rows; at least k + 1 = {k + 1} are needed")
     penalty = nominal_penalty(minor, list(features)) if nominal else 0.0
     per, extra = divmod(need, m)
-    ordered = dense_index(minor.withColumn("__u", hash_uniform(seed, key, F.lit("order"))),
-                          ["__u", key], "__ord")
+    order = dense_index(minor.select(key, hash_uniform(seed, key, F.lit("order")).alias("__u")), ["__u", key], "__ord")
+    ordered = minor.join(order.drop("__u"), key)
     reps = F.lit(per) + (F.col("__ord") < extra).cast("int")
     copies = (ordered.where(reps > 0)
               .select(key, *[F.col(c).alias(f"x_{c}") for c in cols],

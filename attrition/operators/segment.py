@@ -35,8 +35,9 @@ def assign_nearest(df: DataFrame, features: list[str], centres: list[list[float]
 
 
 def fit_kmeans(df: DataFrame, features: list[str], k: int, seed: int = 42, max_iter: int = 20):
-    """MLlib k-means (k-means|| init).  Returns (model, assembled df)."""
-    va = VectorAssembler(inputCols=features, outputCol="__features", handleInvalid="skip")
+    """MLlib k-means (k-means|| init).  Returns (model, assembled df).  A null
+    or NaN feature is an error: clean or impute first."""
+    va = VectorAssembler(inputCols=features, outputCol="__features", handleInvalid="error")
     x = va.transform(df)
     model = KMeans(k=k, seed=seed, featuresCol="__features", predictionCol="cluster",
                    maxIter=max_iter).fit(x)

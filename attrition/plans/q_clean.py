@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from attrition.functions.hashing import duckdb_uniform, hash_uniform
 from attrition.operators import clean
 from attrition.plans.registry import query
-from attrition.sources.tables import paired_scan, read_table
+from attrition.session import scratch_table_path
+from attrition.sources.tables import paired_scan, read_csv, read_table, write_report
 from attrition.sources.views import (CHURN_SQL, LINE_KEY, LINE_KEY_SQL, LINE_SQL, NULL_SQL,
                                      churn_view, line_view, null_view, with_views)
 
@@ -159,3 +160,33 @@ def paired(spark, sf_dir):
     score = ch.where(u >= 0.7).drop("exited")
     _, scored = paired_scan(train, score, "exited")
     return scored
+
+
+CSV_TYPES = "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int"
+
+
+@query("csv_scan", "SELECT p_partkey AS row_id, p_name, p_brand, p_type, p_size FROM part", ops="S1 S5")
+def csv_scan(spark, sf_dir):
+    """The part table, written as CSV and scanned back with a schema and a renamed key."""
+    part = read_table(spark, sf_dir, "part")
+    cols = [c.split()[0] for c in CSV_TYPES.split(", ")]
+    path = scratch_table_path(spark, "csv")
+    part.select(*cols).write.option("header", True).csv(path)
+    return read_csv(spark, path, CSV_TYPES, key="row_id")
+
+
+@query("csv_scan_inferred", """
+SELECT CASE WHEN o_orderkey % 50 = 0 THEN o_orderkey + 0.5 ELSE o_orderkey END::DOUBLE AS v, count(*) AS n FROM orders GROUP BY 1""", ops="S1")
+def csv_scan_inferred(spark, sf_dir):
+    """Types inferred from all rows: a fraction in every fiftieth row makes the column a double."""
+    path = scratch_table_path(spark, "csv")
+    v = F.expr("CASE WHEN o_orderkey % 50 = 0 THEN concat(o_orderkey, '.5') ELSE cast(o_orderkey AS string) END")
+    read_table(spark, sf_dir, "orders").select(v.alias("v")).write.option("header", True).csv(path)
+    return read_csv(spark, path).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("report_roundtrip", with_views("SELECT c_mktsegment, exited, count(*) AS n FROM churn GROUP BY ALL", CHURN_SQL), ops="S5")
+def report_roundtrip(spark, sf_dir):
+    path = scratch_table_path(spark, "report")
+    write_report(churn_view(spark, sf_dir).groupBy("c_mktsegment", "exited").agg(F.count(F.lit(1)).alias("n")), path)
+    return spark.read.parquet(path)

@@ -21,7 +21,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     """CSV scan with a header row.
 
     Pass ``schema`` in production (no inference pass over the data).  Without
-    it, types are inferred with one sampling pass.  When the file's first
+    it, types are inferred from all rows in one more pass.  When the file's first
     column is a bare row number (pandas ``index_col=0``), ``key`` renames it
     so it is carried as an explicit key rather than an implicit index.
     """
@@ -29,7 +29,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     if schema is not None:
         reader = reader.schema(schema)
     else:
-        reader = reader.option("inferSchema", True).option("samplingRatio", 0.1)
+        reader = reader.option("inferSchema", True)
     df = reader.csv(path)
     if key is not None and key not in df.columns:
         df = df.withColumnRenamed(df.columns[0], key)
@@ -50,17 +50,6 @@ def paired_scan(train: DataFrame, score: DataFrame, label: str) -> tuple[DataFra
     return train, score.select(*[f.name for f in want])
 
 
-def paired_schema(train: DataFrame, score: DataFrame) -> DataFrame:
-    """Column-by-column schema comparison of a pair of tables as a small
-    DataFrame ``(column, train_type, score_type, in_both)``."""
-    spark = train.sparkSession
-    t = {f.name: f.dataType.simpleString() for f in train.schema.fields}
-    s = {f.name: f.dataType.simpleString() for f in score.schema.fields}
-    rows = [(c, t.get(c), s.get(c), int(c in t and c in s)) for c in sorted(set(t) | set(s))]
-    return spark.createDataFrame(
-        rows, "column string, train_type string, score_type string, in_both int")
-
-
 def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Persist a metrics / predictions table as Parquet."""
     df.write.mode(mode).parquet(path)
