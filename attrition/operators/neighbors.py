@@ -17,6 +17,12 @@ Plan
    ``D`` in one coordinate, so it cannot be among the k nearest.  Both
    phases find candidates by an **equi-join on the cell id**; a ring that
    covers the whole grid is complete by itself, so the result is exact.
+   **Columns of few values** (nominal ones, codes, one-hots) get a search of
+   their own first: only among vectors that agree in all of them, in a grid
+   over the others.  Whatever differs in such a column is at least the
+   smallest step between its values (or the nominal penalty) away; a query
+   whose k-th distance is below that is finished, the others are searched as
+   above.  Distances that come from such columns so don't widen the box.
 3. **Expansion.**  Vector-level neighbours are expanded into ids, the query
    itself is dropped (self-join), and ties are broken by ``(distance, id)``.
 
@@ -36,6 +42,8 @@ from attrition.functions.buckets import bucketize
 from attrition.session import cut_lineage
 
 SALTS = 16
+#: Numeric columns of at most so many values (codes, one-hots) are searched like nominal ones.
+FEW_VALUES = 32
 
 
 def _dist(features: list[str], nominal: list[str], metric: str, penalty: float,
@@ -93,6 +101,98 @@ def _shell(p: int, r_prev: int, r: int) -> list[tuple[int, ...]]:
     return [o for o in product(range(-r, r + 1), repeat=p) if max(abs(x) for x in o) > r_prev]
 
 
+def _least_step(dv: DataFrame, feature: str, metric: str) -> float:
+    """What two different values of a column of few values add to the rank at least."""
+    w = Window.orderBy(feature)  # at most a few dozen distinct values
+    gap = dv.select(feature).distinct().select((F.col(feature) - F.lag(feature).over(w)).alias("g")).agg(F.min("g")).first()[0]
+    return gap * gap if metric == "euclidean" else gap
+
+
+class _Grid:
+    """An equi-depth grid over the reference vectors; with ``same``, vectors meet
+    only where they agree in those columns."""
+
+    def __init__(self, dv: DataFrame, qv: DataFrame, features: list[str], cols: list[str], stats, n: float,
+                 grid_dims: int, per_cell: int, same: list[str]) -> None:
+        # projection dims: the features with the most distinct values
+        self.dims = sorted(features, key=lambda f: -(stats[f] or 0))[:max(1, min(grid_dims, len(features)))]
+        g = max(1, int(round((max(n, 1) / per_cell) ** (1.0 / len(self.dims)))))
+        self.edges = _edges(dv, self.dims, g)
+        self.sizes = {d: len(self.edges[d]) + 1 for d in self.dims}
+        self.max_r = max(self.sizes.values())
+        self.same, self.cols = same, cols
+        combo = [F.xxhash64(*same).alias("__same")] if same else []
+        self.by = ["__cell"] + (["__same"] if same else [])
+        self.ref_cells = _cells(dv, self.dims, self.edges).select(
+            self._id().alias("__cell"), *combo, "vid", "ids", *[F.col(c).alias(f"r_{c}") for c in cols])
+        self.queries = cut_lineage(_cells(qv, self.dims, self.edges).select(
+            "qvid", *combo, *[F.col(c).alias(f"q_{c}") for c in cols], *[f"__c_{d}" for d in self.dims]))
+
+    def _id(self, offs: list[Column] | None = None) -> Column:
+        return _cell_id(self.dims, self.sizes, offs)
+
+    def _agree(self) -> Column:
+        """Equal hashes are checked against the columns themselves."""
+        out = F.lit(True)
+        for c in self.same:
+            out = out & F.col(f"q_{c}").eqNullSafe(F.col(f"r_{c}"))
+        return out
+
+    @staticmethod
+    def _top(cand: DataFrame, kk: int) -> DataFrame:
+        w = Window.partitionBy("qvid").orderBy("__rank", "vid")
+        return cand.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= kk).drop("__rn")
+
+    def rings(self, kk: int, dist: Column) -> DataFrame:
+        """Phase 1: rings (radius 1, 2, 4, …) until every query holds kk candidates,
+        which bounds its k-th distance; a ring covering the grid is complete."""
+        carry = ["qvid", "vid", "ids", "__rank"]
+        pending, best, seeded = self.queries, None, []
+        r_prev, r = -1, 1
+        while True:
+            offsets = _shell(len(self.dims), r_prev, r)
+            off_arr = F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])
+            ex = pending.select("*", F.explode(off_arr).alias("__off"))
+            offs = [F.col("__off")[i] for i in range(len(self.dims))]
+            inside = F.lit(True)
+            for i, d in enumerate(self.dims):
+                c = F.col(f"__c_{d}") + offs[i]
+                inside = inside & (c >= 0) & (c < self.sizes[d])
+            ex = ex.where(inside).withColumn("__cell", self._id(offs)).drop("__off")
+            cand = ex.join(self.ref_cells, self.by).where(self._agree()).withColumn("__rank", dist).select(*carry)
+            if best is not None:
+                cand = cand.unionByName(best)
+            full = (F.count(F.lit(1)).over(Window.partitionBy("qvid")) == kk) | F.lit(r >= self.max_r)
+            top = cut_lineage(self._top(cand, kk).withColumn("__ok", full).withColumn("__complete", F.lit(r >= self.max_r)))
+            seeded.append(top.where("__ok").drop("__ok"))
+            pending = pending.join(top.where("__ok").select("qvid").distinct(), "qvid", "left_anti")
+            if r >= self.max_r or pending.isEmpty():
+                break
+            best = top.where(~F.col("__ok")).select(*carry)
+            r_prev, r = r, 2 * r
+        seed = seeded[0]
+        for part in seeded[1:]:
+            seed = seed.unionByName(part)
+        return seed
+
+    def boxes(self, seed: DataFrame, kk: int, dist: Column, metric: str) -> DataFrame:
+        """Phase 2: every reference vector within the k-th candidate distance D lies
+        in the box [q - D, q + D] of the projected dims; search exactly those cells."""
+        done = seed.where("__complete").select("qvid", "vid", "ids", "__rank")
+        radius = F.sqrt(F.max("__rank")) if metric == "euclidean" else F.max("__rank")
+        box = (seed.where(~F.col("__complete")).groupBy("qvid").agg((radius * (1 + 1e-9) + 1e-300).alias("__D"))
+               .join(self.queries.drop(*[f"__c_{d}" for d in self.dims]), "qvid"))
+        for d in self.dims:
+            box = box.withColumn(f"__lo_{d}", F.col(f"q_{d}") - F.col("__D")).withColumn(f"__hi_{d}", F.col(f"q_{d}") + F.col("__D"))
+            box = bucketize(box, f"__lo_{d}", self.edges[d], f"__blo_{d}")
+            box = bucketize(box, f"__hi_{d}", self.edges[d], f"__bhi_{d}")
+        for d in self.dims:
+            box = box.select("*", F.explode(F.sequence(F.col(f"__blo_{d}").cast("int"), F.col(f"__bhi_{d}").cast("int"))).alias(f"__c_{d}"))
+        cand = (box.withColumn("__cell", self._id()).join(self.ref_cells, self.by).where(self._agree())
+                .withColumn("__rank", dist).select("qvid", "vid", "ids", "__rank"))
+        return done.unionByName(self._top(cand, kk))
+
+
 def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, features: list[str], k: int,
         metric: str = "euclidean", nominal: list[str] = (), nominal_penalty: float = 0.0,
         self_join: bool = False, grid_dims: int = 2, per_cell: int = 8) -> DataFrame:
@@ -120,91 +220,42 @@ def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, features: list[s
     stats = dv.agg(F.count(F.lit(1)).alias("__n"),
                    *[F.approx_count_distinct(f).alias(f) for f in features]).first()
     n_dv = stats["__n"]
-    # projection dims: the features with the most distinct values
-    dims = sorted(features, key=lambda f: -(stats[f] or 0))[:max(1, min(grid_dims, len(features)))]
-    g = max(1, int(round((max(n_dv, 1) / per_cell) ** (1.0 / len(dims)))))
-    edges = _edges(dv, dims, g)
-    sizes = {d: len(edges[d]) + 1 for d in dims}
-    max_r = max(sizes.values())
-
-    dvc = _cells(dv, dims, edges)
-    ref_cells = dvc.select(_cell_id(dims, sizes).alias("__cell"), "vid", "ids",
-                           *[F.col(c).alias(f"r_{c}") for c in cols])
-
-    # distinct query vectors, materialised once and reused by every ring
-    qv = qrows.groupBy(*cols).agg(F.min("__qid").alias("qvid"))
-    qvc = cut_lineage(_cells(qv, dims, edges).select(
-        "qvid", *[F.col(c).alias(f"q_{c}") for c in cols], *[f"__c_{d}" for d in dims]))
-    carry = ["qvid", "vid", "ids", "__rank", *[f"q_{d}" for d in dims], *[f"__c_{d}" for d in dims]]
-
-    w = Window.partitionBy("qvid").orderBy("__rank", "vid")
-    wq = Window.partitionBy("qvid")
-
-    def top_of(cand: DataFrame) -> DataFrame:
-        return cand.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= kk).drop("__rn")
-
-    # phase 1: rings (radius 1, 2, 4, …) until every query holds kk candidates,
-    # which bounds its k-th distance; a ring covering the grid is complete
-    pending = qvc
-    best = None
-    seeded = []
-    r_prev, r = -1, 1
-    while True:
-        offsets = _shell(len(dims), r_prev, r)
-        off_arr = F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])
-        ex = pending.select("*", F.explode(off_arr).alias("__off"))
-        offs = [F.col("__off")[i] for i in range(len(dims))]
-        inside = F.lit(True)
-        for i, d in enumerate(dims):
-            c = F.col(f"__c_{d}") + offs[i]
-            inside = inside & (c >= 0) & (c < sizes[d])
-        ex = ex.where(inside).withColumn("__cell", _cell_id(dims, sizes, offs)).drop("__off")
-        cand = (ex.join(ref_cells, "__cell")
-                .withColumn("__rank", _dist(features, nominal, metric, nominal_penalty)).select(*carry))
-        if best is not None:
-            cand = cand.unionByName(best)
-        full = (F.count(F.lit(1)).over(wq) == kk) | F.lit(r >= max_r)
-        top = cut_lineage(top_of(cand).withColumn("__ok", full).withColumn("__complete", F.lit(r >= max_r)))
-        seeded.append(top.where("__ok").drop("__ok"))
-        pending = pending.join(top.where("__ok").select("qvid").distinct(), "qvid", "left_anti")
-        if pending.isEmpty():
-            break
-        best = top.where(~F.col("__ok")).select(*carry)
-        r_prev, r = r, 2 * r
-    seed = seeded[0]
-    for part in seeded[1:]:
-        seed = seed.unionByName(part)
-
-    # phase 2: every reference vector within the k-th candidate distance D lies
-    # in the box [q - D, q + D] of the projected dims; search exactly those cells
-    done = seed.where("__complete").select("qvid", "vid", "ids", "__rank")
-    radius = (F.sqrt(F.max("__rank")) if metric == "euclidean" else F.max("__rank"))
-    box = (seed.where(~F.col("__complete")).groupBy("qvid")
-           .agg((radius * (1 + 1e-9) + 1e-300).alias("__D"))
-           .join(qvc.select("qvid", *[f"q_{c}" for c in cols]), "qvid"))
-    for d in dims:
-        box = box.withColumn(f"__lo_{d}", F.col(f"q_{d}") - F.col("__D")) \
-                 .withColumn(f"__hi_{d}", F.col(f"q_{d}") + F.col("__D"))
-        box = bucketize(box, f"__lo_{d}", edges[d], f"__blo_{d}")
-        box = bucketize(box, f"__hi_{d}", edges[d], f"__bhi_{d}")
-    for d in dims:
-        box = box.select("*", F.explode(F.sequence(F.col(f"__blo_{d}").cast("int"),
-                                                  F.col(f"__bhi_{d}").cast("int"))).alias(f"__c_{d}"))
-    cand = (box.withColumn("__cell", _cell_id(dims, sizes)).join(ref_cells, "__cell")
-            .withColumn("__rank", _dist(features, nominal, metric, nominal_penalty))
-            .select("qvid", "vid", "ids", "__rank"))
-    vec_nn = done.unionByName(top_of(cand))
-    # expand to ids and attach to every query row
+    dist = _dist(features, nominal, metric, nominal_penalty)
+    # distinct query vectors, materialised once and reused by every search
+    qv = cut_lineage(qrows.groupBy(*cols).agg(F.min("__qid").alias("qvid")))
+    found, left = [], qv
+    few = [f for f in features if 1 < (stats[f] or 0) <= FEW_VALUES]
+    if (few or nominal) and len(few) < len(features):
+        # first among vectors that agree in every column of few values: whatever
+        # differs there is at least ``step`` away
+        step = min([_least_step(dv, f, metric) for f in few] + ([nominal_penalty] if nominal else []))
+        combos = dv.agg(F.approx_count_distinct(F.struct(*few, *nominal))).first()[0] or 1
+        own = _Grid(dv, qv, [f for f in features if f not in few], cols, stats, n_dv / combos, grid_dims, per_cell, [*few, *nominal])
+        seed = own.rings(kk, dist)
+        near = (seed.groupBy("qvid").agg(F.count(F.lit(1)).alias("__n"), F.max("__rank").alias("__worst"))
+                .where((F.col("__n") == kk) & (F.col("__worst") < step)).select("qvid"))
+        near = cut_lineage(near)
+        found.append(own.boxes(seed.join(near, "qvid", "left_semi"), kk, dist, metric))
+        left = cut_lineage(qv.join(near, "qvid", "left_anti"))
+    if not left.isEmpty():
+        grid = _Grid(dv, left, features, cols, stats, n_dv, grid_dims, per_cell, [])
+        found.append(grid.boxes(grid.rings(kk, dist), kk, dist, metric))
+    vec_nn = found[0]
+    for more in found[1:]:
+        vec_nn = vec_nn.unionByName(more)
+    # k + 1 ids per distinct vector are enough for every row that has it
+    first = Window.partitionBy("qvid").orderBy("__rank", "nkey")
+    ids = (vec_nn.select("qvid", "__rank", F.explode("ids").alias("nkey"))
+           .withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= k + 1).drop("__n"))
     qmap = qrows.join(qv, cols).select("__qid", "qvid")
-    ids = vec_nn.select("qvid", "__rank", F.explode("ids").alias("nkey"))
     j = qmap.join(ids, "qvid")
     if self_join:
         j = j.where(F.col("nkey") != F.col("__qid"))
     wr = Window.partitionBy("__qid").orderBy("__rank", "nkey")
-    dist = F.sqrt("__rank") if metric == "euclidean" else F.col("__rank")
+    out = F.sqrt("__rank") if metric == "euclidean" else F.col("__rank")
     return (j.withColumn("rank", F.row_number().over(wr)).where(F.col("rank") <= k)
             .select(F.col("__qid").alias(qkey), F.col("rank").cast("int").alias("rank"),
-                    "nkey", dist.alias("dist")))
+                    "nkey", out.alias("dist")))
 
 
 def knn_classify(train: DataFrame, test: DataFrame, key: str, label: str, features: list[str],
