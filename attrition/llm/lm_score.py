@@ -189,7 +189,8 @@ def _ask(blocks: DataFrame, buckets: int) -> DataFrame:
                 words, order = block.words()
                 sides = [(words, block.word_counts()[order], _bounds(words, buckets)), (block.keys, block.pair_counts(), _bounds(block.keys, buckets))]
                 out: list[list] = [[] for _ in names]
-                for b in range(buckets):
+                # only buckets that the block has n-grams for: never more rows than n-grams
+                for b in np.nonzero(sum(np.diff(at) for _, _, at in sides))[0].tolist():
                     blobs = []
                     for keys, n, at in sides:
                         cut = slice(at[b], at[b + 1])
