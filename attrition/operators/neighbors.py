@@ -195,7 +195,7 @@ class _Grid:
 
 def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, features: list[str], k: int,
         metric: str = "euclidean", nominal: list[str] = (), nominal_penalty: float = 0.0,
-        self_join: bool = False, grid_dims: int = 2, per_cell: int = 8) -> DataFrame:
+        self_join: bool = False, grid_dims: int = 4, per_cell: int = 2) -> DataFrame:
     """k nearest reference rows for every query row.
 
     Returns ``qkey, rank (1..k), nkey, dist`` where ``dist`` is the metric

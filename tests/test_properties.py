@@ -264,3 +264,30 @@ def test_kde_binned_close_to_exact(spark):
     ex = {r["i"]: r["density"] for r in profile.kde_grid(df, "x", 50).collect()}
     bn = {r["i"]: r["density"] for r in profile.kde_grid(df, "x", 50, method="binned").collect()}
     assert max(abs(ex[i] - bn[i]) for i in ex) < 1e-3 * max(ex.values())
+
+
+def test_knn_with_codes_onehots_and_nominals_matches_brute_force(spark):
+    """Columns of few values, hot vectors and all three kinds of distance."""
+    import random
+
+    from attrition.operators.neighbors import knn
+    rng = random.Random(3)
+    rows = []
+    for i in range(260):
+        c = rng.randrange(3)
+        rows.append((i, rng.random(), rng.random() if i % 4 else 0.5, c / 2, float(c == 1), rng.choice("abc")))
+    rows += [(1000 + i, 0.25, 0.5, 0.5, 1.0, "a") for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, code double, hot double, nom string")
+    for metric, nominal, penalty in (("euclidean", [], 0.0), ("manhattan", [], 0.0), ("euclidean", ["nom"], 0.04), ("euclidean", ["nom"], 9.0)):
+        got = {}
+        for r in knn(df, df, "id", "id", ["x", "y", "code", "hot"], 4, metric, nominal, penalty, self_join=True).collect():
+            got.setdefault(r["id"], []).append((r["rank"], r["nkey"]))
+        for a in rows:
+            def d(b, a=a):
+                diffs = [abs(u - v) for u, v in zip(a[1:5], b[1:5])]
+                s = sum(x * x for x in diffs) if metric == "euclidean" else sum(diffs)
+                return s + (penalty if nominal and a[5] != b[5] else 0.0)
+            want = sorted((round(d(b), 12), b[0]) for b in rows if b[0] != a[0])[:4]
+            mine = [n for _, n in sorted(got[a[0]])]
+            by_id = {b[0]: b for b in rows}
+            assert [round(d(by_id[n]), 12) for n in mine] == [w for w, _ in want]
