@@ -11,8 +11,7 @@
    customers and for churned customers only.
 
 How much work a run does is an argument.  The defaults are the workload's own
-settings; the registered queries name the smaller ``*_QUERY`` budgets, so that
-all of them together run in minutes on one machine.
+settings, and the registered queries run with them.
 """
 
 from __future__ import annotations
@@ -63,14 +62,6 @@ class SegmentationBudget:
     forest: dict = field(default_factory=lambda: {"n_estimators": 213, "max_depth": 29, "min_samples_leaf": 9})
 
 
-COMPARISON_QUERY = ComparisonBudget(
-    folds=2, forest={"n_estimators": 20, "max_depth": 6}, svm={"C": 1000.0, "n_components": 20},
-    boosting={"n_estimators": 5, "learning_rate": 0.1, "max_depth": 3}, xgb_style={"n_estimators": 5, "learning_rate": 0.3, "max_depth": 4},
-    leafwise_style={"n_estimators": 5, "learning_rate": 0.1, "num_leaves": 9, "min_child_samples": 20},
-    weighted_style={"n_estimators": 5, "learning_rate": 0.1, "depth": 4})
-ENSEMBLE_QUERY = EnsembleBudget(trials=10, n_estimators=(10, 30), max_depth=(3, 8), boosting={"n_estimators": 10, "learning_rate": 0.05, "depth": 4})
-SEGMENTATION_QUERY = SegmentationBudget(k_max=6, forest={"n_estimators": 20, "max_depth": 6})
-
 FEATS = ["c_acctbal", "n_orders", "spend", "n_prio"]
 NOMINAL = ["r_name", "c_mktsegment"]
 
@@ -228,14 +219,14 @@ def segmentation(spark, sf_dir, seed: int = 42, budget: SegmentationBudget | Non
 
 @query("comparison_pipeline", ops="entry 1: S1 C2 C4 E1 E2 E5 D1 R1 M1-M9 V2 V4 V5 V9 V10")
 def comparison_pipeline(spark, sf_dir):
-    return comparison(spark, sf_dir, budget=COMPARISON_QUERY)
+    return comparison(spark, sf_dir)
 
 
 @query("ensemble_pipeline", ops="entry 2: S2 D1 E4 R1 R3 T2 T3 V6 M3 M7 P7 V8 M13")
 def ensemble_pipeline(spark, sf_dir):
-    return ensemble(spark, sf_dir, budget=ENSEMBLE_QUERY)
+    return ensemble(spark, sf_dir)
 
 
 @query("segmentation_pipeline", ops="entry 3: M12 V12 M10 A7 A8 A9 A12 A13 A14 A15")
 def segmentation_pipeline(spark, sf_dir):
-    return segmentation(spark, sf_dir, budget=SEGMENTATION_QUERY)
+    return segmentation(spark, sf_dir)
