@@ -69,7 +69,8 @@ def attribution_by_value(att: DataFrame, bins: int = 10) -> DataFrame:
 
 def sampled_shapley(model, rows: DataFrame, background: DataFrame, key: str, features: list[str],
                     n_perm: int = 8, seed: int = 42, score_col: str = "probability") -> DataFrame:
-    """X1 (any model): sampled Shapley values ``key, feature, phi``.
+    """X1 (any model): sampled Shapley values ``key, feature, phi, se``, with the
+    standard error of each (null for ``n_perm`` 1).
 
     ``rows`` are the rows to explain (e.g. a D2 sample); ``background`` is a
     table of reference rows, of which ``n_perm`` are picked by hash order."""
@@ -101,5 +102,6 @@ def sampled_shapley(model, rows: DataFrame, background: DataFrame, key: str, fea
             .agg((F.sum(F.when(F.col("with_j") == 1, F.col("f")))
                   - F.sum(F.when(F.col("with_j") == 0, F.col("f")))).alias("d")))
     names = F.array(*[F.lit(f) for f in features])
-    return (diff.groupBy(key, "fi").agg(F.avg("d").alias("phi"))
-            .select(key, F.element_at(names, F.col("fi") + 1).alias("feature"), "phi"))
+    se = F.stddev_samp("d") / F.sqrt(F.count("d"))
+    return (diff.groupBy(key, "fi").agg(F.avg("d").alias("phi"), se.alias("se"))
+            .select(key, F.element_at(names, F.col("fi") + 1).alias("feature"), "phi", "se"))

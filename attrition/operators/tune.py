@@ -241,12 +241,14 @@ def compare(candidates: dict[str, Candidate], train: DataFrame, test: DataFrame,
 
 def leaderboard(models: dict[str, Callable[[], object]], train: DataFrame, test: DataFrame, key,
                 label: str, threshold: float = 0.5, parallelism: int = 4) -> DataFrame:
-    """Fit every model (concurrently), one metrics row each."""
+    """Fit every model (concurrently), one metrics row each.  A model is an
+    estimator, or a :class:`Candidate` where MLlib has none."""
     from attrition.operators.models import score
 
     def run(name):
-        model = models[name]().fit(train)
-        return name, evaluate_row(score(model, test, key, label), label, threshold)
+        made = models[name]()
+        pred = made.predict(train, test) if isinstance(made, Candidate) else score(made.fit(train), test, key, label)
+        return name, evaluate_row(pred, label, threshold)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         res = list(pool.map(run, sorted(models)))

@@ -4,7 +4,8 @@ SQL-checkable: the seeded search mechanics (F6/T2/O2) over the ensemble of
 two formula scores, and exact linear attributions (X1–X4).  Rows-only: the
 MLlib fits (M1–M12), cross-validation (V9), grid and random search (T1–T3),
 the leaderboard (V10) and sampled Shapley values (X1), on the documents ⋈
-labels view whose label is learnable.
+labels view whose label is learnable.  Tree counts, depths, rounds and search
+ranges are the workload's own (the budgets of the workflows).
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attrition.functions.hashing import duckdb_uniform, hash_uniform
-from attrition.operators import explain, metrics, models, resample, split, tune
+from attrition.operators import encode, explain, metrics, models, neighbors, resample, split, tune
+from attrition.plans.pipelines import ComparisonBudget, EnsembleBudget, SegmentationBudget
 from attrition.plans.q_neighbors import FEAT_SQL, FEATS, features
 from attrition.plans.registry import query
 from attrition.session import cut_lineage
@@ -118,6 +120,7 @@ def attribution_by_value(spark, sf_dir):
 
 # --- MLlib fits on the document view (rows-only) --------------------------------------
 
+COMPARISON, ENSEMBLE, SEGMENTATION = ComparisonBudget(), EnsembleBudget(), SegmentationBudget()
 DOC_FEATS = ["log_len", "non_letter_share", "n_words", "digit_share", "distinct_ratio"]
 
 
@@ -163,33 +166,33 @@ def fit_tree_log2(spark, sf_dir):
 @query("fit_forest", ops="M3 M11")
 def fit_forest(spark, sf_dir):
     return _fit_eval(spark, sf_dir, "forest",
-                     lambda n, tr: models.pipeline(DOC_FEATS, models.forest(20, 6, 1, "sqrt")))
+                     lambda n, tr: models.pipeline(DOC_FEATS, models.forest(**COMPARISON.forest)))
 
 
 @query("fit_gbt", ops="M4 M11")
 def fit_gbt(spark, sf_dir):
     return _fit_eval(spark, sf_dir, "gbt",
-                     lambda n, tr: models.pipeline(DOC_FEATS, models.boosting(10, 0.1, 3, 1, 0.8)))
+                     lambda n, tr: models.pipeline(DOC_FEATS, models.boosting(**COMPARISON.boosting, subsample=0.8)))
 
 
 @query("fit_gbt_weighted", ops="M5 P7")
 def fit_gbt_weighted(spark, sf_dir):
     return _fit_eval(spark, sf_dir, "gbt_xgb_style",
                      lambda n, tr: models.pipeline(DOC_FEATS, models.boosting_xgb_style(
-                         10, 0.1, 4, 0.8, 0.8, weight_col="weight")), {0: 1.0, 1: 2.0})
+                         **COMPARISON.xgb_style, subsample=0.8, colsample_bytree=0.8, weight_col="weight")), {0: 1.0, 1: 2.0})
 
 
 @query("fit_gbt_leafwise", ops="M6")
 def fit_gbt_leafwise(spark, sf_dir):
     return _fit_eval(spark, sf_dir, "gbt_leafwise_style",
                      lambda n, tr: models.pipeline(DOC_FEATS, models.boosting_leafwise_style(
-                         10, 0.1, num_leaves=15, min_child_samples=5)))
+                         **COMPARISON.leafwise_style)))
 
 
 @query("fit_gbt_nominal", ops="M7 P7")
 def fit_gbt_nominal(spark, sf_dir):
     return _fit_eval(spark, sf_dir, "gbt_nominal",
-                     lambda n, tr: models.nominal_boosting_pipeline(DOC_FEATS, ["lang", "source"], 10, 0.05, 4, weight_col="weight",
+                     lambda n, tr: models.nominal_boosting_pipeline(DOC_FEATS, ["lang", "source"], weight_col="weight", **ENSEMBLE.boosting,
                                                                     max_levels=models.most_levels(tr, ["lang", "source"])), {0: 0.32, 1: 0.68})
 
 
@@ -215,7 +218,7 @@ def fit_poly_svc(spark, sf_dir):
 @query("importances", ops="M12 O1")
 def importances(spark, sf_dir):
     tr, _ = _doc_split(spark, sf_dir)
-    model = models.pipeline(DOC_FEATS, models.forest(20, 6)).fit(tr)
+    model = models.pipeline(DOC_FEATS, models.forest(**SEGMENTATION.forest)).fit(tr)
     return models.importances(model, DOC_FEATS)
 
 
@@ -237,12 +240,21 @@ def cv_scores(spark, sf_dir):
     return fold_summary(long, ["metric"], "value")
 
 
+#: The workload's own forest (100 trees of 20 levels) and smaller ones beside it.
+FOREST_GRID = {"maxDepth": [3, 5, COMPARISON.forest["max_depth"]], "numTrees": [10, 20, COMPARISON.forest["n_estimators"]], "minInstancesPerNode": []}
+FOREST_SPACE = {"n_estimators": tune.Draw("int", *ENSEMBLE.n_estimators), "max_depth": tune.Draw("int", *ENSEMBLE.max_depth),
+                "min_samples_leaf": tune.Draw("int", 1, 10), "max_features": tune.Draw("categorical", choices=("sqrt", "log2"))}
+#: Background rows of each sampled Shapley value.  A row's differences lie in
+#: [-1, 1], so its standard error is at most 1 / sqrt(400) = 0.05; the measured one is in the result.
+N_PERM = 400
+
+
 @query("grid_search", ops="T1 T3")
 def grid_search(spark, sf_dir):
     tr, _ = _doc_split(spark, sf_dir)
     tr = split.kfold_hash(tr, "doc_id", 5)
-    pipe = models.pipeline(DOC_FEATS, models.forest(10, 4))
-    _, table = tune.grid_search(pipe, {"maxDepth": [3, 5], "numTrees": [10, 20], "minInstancesPerNode": []},
+    pipe = models.pipeline(DOC_FEATS, models.forest(**COMPARISON.forest))
+    _, table = tune.grid_search(pipe, FOREST_GRID,
                                 tr, "label", "fold", parallelism=4, num_folds=5)
     return table
 
@@ -250,13 +262,12 @@ def grid_search(spark, sf_dir):
 @query("random_search", ops="T2 T3 G3 F6")
 def random_search(spark, sf_dir):
     tr, te = _doc_split(spark, sf_dir)
-    space = {"n_estimators": tune.Draw("int", 5, 20), "max_depth": tune.Draw("int", 2, 6),
-             "max_features": tune.Draw("categorical", choices=("sqrt", "log2"))}
+    tr = cut_lineage(metrics.with_weights(tr, "label", "balanced", "weight"))
 
     def make(p):
-        return models.pipeline(DOC_FEATS, models.forest(p["n_estimators"], p["max_depth"], 1, p["max_features"]))
+        return models.pipeline(DOC_FEATS, models.forest(**p, weight_col="weight"))
 
-    table, _ = tune.random_search(make, space, 20, tr, te, "doc_id", "label",
+    table, _ = tune.random_search(make, FOREST_SPACE, ENSEMBLE.trials, tr, te, "doc_id", "label",
                                   tune.sweep_objective("f1", min_precision=0.5, min_recall=0.8),
                                   seed=42, parallelism=4)
     return table
@@ -265,18 +276,37 @@ def random_search(spark, sf_dir):
 @query("leaderboard", ops="V10 T3")
 def leaderboard(spark, sf_dir):
     tr, te = _doc_split(spark, sf_dir)
-    n = tr.count()
-    return tune.leaderboard({
-        "logreg": lambda: models.pipeline(DOC_FEATS, models.logistic(1.0, n, 100)),
-        "forest": lambda: models.pipeline(DOC_FEATS, models.forest(20, 6)),
-        "gbt": lambda: models.pipeline(DOC_FEATS, models.boosting(10, 0.1, 3)),
-    }, tr, te, "doc_id", "label")
+    tr = cut_lineage(metrics.with_weights(tr, "label", COMPARISON.class_weights, "weight"))
+    return tune.leaderboard(_board(tr), tr, te, "doc_id", "label")
+
+
+def _board(tr):
+    """The nine models of the comparison, for the training rows ``tr``."""
+    b, n = COMPARISON, tr.count()
+
+    def nearest(rows, held):
+        scale = encode.fit_minmax(rows, DOC_FEATS).transform
+        p = neighbors.knn_classify(scale(rows), scale(held), "doc_id", "label", DOC_FEATS, **b.knn)
+        return held.select("doc_id", "label").join(p, "doc_id")
+
+    return {
+        "logreg": lambda: models.pipeline(DOC_FEATS, models.logistic(n=n, **b.logistic)),
+        "tree": lambda: models.pipeline(DOC_FEATS, models.tree(**b.tree)),
+        "forest": lambda: models.pipeline(DOC_FEATS, models.forest(**b.forest)),
+        "knn": lambda: tune.Candidate(b.knn, nearest),
+        "svm": lambda: models.svc_pipeline(DOC_FEATS, "rbf", n=n, scaling=models.standard_constants(tr, DOC_FEATS), **b.svm),
+        "gbt": lambda: models.pipeline(DOC_FEATS, models.boosting(**b.boosting)),
+        "gbt_xgb_style": lambda: models.pipeline(DOC_FEATS, models.boosting_xgb_style(**b.xgb_style)),
+        "gbt_leafwise_style": lambda: models.pipeline(DOC_FEATS, models.boosting_leafwise_style(**b.leafwise_style)),
+        "gbt_weighted_style": lambda: models.nominal_boosting_pipeline(DOC_FEATS, [], weight_col="weight", **b.weighted_style),
+    }
 
 
 @query("shapley_sampled", ops="X1 X2 D2")
 def shapley_sampled(spark, sf_dir):
     tr, te = _doc_split(spark, sf_dir)
-    model = models.pipeline(DOC_FEATS, models.forest(20, 6)).fit(tr)
+    model = models.pipeline(DOC_FEATS, models.forest(**COMPARISON.forest)).fit(tr)
     sample = split.sample_n(te, "doc_id", 500)
-    phi = explain.sampled_shapley(model, sample, tr, "doc_id", DOC_FEATS, n_perm=8)
-    return explain.mean_abs_attribution(phi)
+    phi = explain.sampled_shapley(model, sample, tr, "doc_id", DOC_FEATS, n_perm=N_PERM)
+    error = phi.groupBy("feature").agg(F.sqrt(F.avg(F.col("se") * F.col("se"))).alias("row_se"))
+    return explain.mean_abs_attribution(phi).join(error, "feature").orderBy(F.desc("mean_abs_phi"), "feature")
