@@ -10,9 +10,14 @@ preformatted text as it stands, table cells aligned in columns.
 Invisible are: head matter, scripts, styles, templates, fallback content of
 embedded media, ``hidden`` elements, closed dialogs, all but the summary of closed
 details, inline styles ``display:none`` and ``visibility:hidden``, and elements
-that a one-part selector (tag, .class, #id) of the page's own style sheets sets to
-``display:none``.
+that a one-part selector (tag, .class, #id) of the page's own style sheets ``display:none``.
 
+Formulas (math) are inline text, without their annotations.  Of inline pictures
+(svg) the labels (``text``) and HTML inside ``foreignObject`` are shown where the
+picture stands; titles, descriptions and definitions are not, nor text that only
+a ``use`` element repeats from them.
+
+Both passes
 Both passes use explicit stacks of at most ``MAX_DEPTH``; time and memory are
 linear in the page (table padding is bounded by ``MAX_PAD`` per cell).
 
@@ -42,7 +47,13 @@ MAX_DEPTH = 512
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title".split())
-INVISIBLE = frozenset("head script style template noscript title meta link base iframe object video audio canvas map datalist noembed noframes svg math".split())
+INVISIBLE = frozenset("head script style template noscript title meta link base iframe object video audio canvas map datalist noembed noframes".split())
+#: Inside an svg, text shows within the first only, and nothing of the second shows.
+SVG_SHOWN = frozenset("text foreignobject".split())
+SVG_UNSHOWN = frozenset("desc defs metadata symbol clippath mask marker pattern".split())
+MATH_UNSHOWN = frozenset("annotation annotation-xml mphantom".split())
+#: Parts that browsers draw apart.
+SPACED = frozenset("text mtr mtd".split())
 BLANK_AROUND = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dl figure ul ol menu table fieldset".split())
 BLOCK = BLANK_AROUND | frozenset("html body address article aside center details dialog dd div dt figcaption footer form header hgroup hr legend li main nav search section summary caption option optgroup tr tbody thead tfoot".split())
 #: A start tag closes an open paragraph.
@@ -62,6 +73,10 @@ IMPLIED = {
     "tfoot": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("table",)),
     "body": (("head",), ()),
 }
+#: Inside these elements of an svg or formula stands HTML again.
+INTEGRATION = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
+#: A start tag of HTML that ends an open svg or formula.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: End tags and implied ends of paragraphs don't reach past these.
 SCOPE = frozenset("td th caption table html body template button".split())
 
@@ -119,6 +134,16 @@ def build_tree(html: str) -> Node:
         if found is not None:
             cut(found)
 
+    def foreign() -> int:
+        """The place of the open svg or formula that a tag here belongs to, or 0."""
+        if opened["svg"] or opened["math"]:
+            for n in range(len(stack) - 1, 0, -1):
+                if stack[n].name in ("svg", "math"):
+                    return n
+                if stack[n].name in INTEGRATION:
+                    break
+        return 0
+
     def end(name: str) -> None:
         """Close the innermost open element of that name, if the scope allows."""
         if not opened[name]:
@@ -141,6 +166,12 @@ def build_tree(html: str) -> Node:
             stack[-1].children.append(html[at:m.start()])
         at = m.end()
         if m[2] is None:
+            if m[0].startswith("<![CDATA[") and (foreign() or stack[-1].name in INTEGRATION and (opened["svg"] or opened["math"])):
+                stop = html.find("]]>", m.start())
+                stop = len(html) if stop < 0 else stop
+                stack[-1].children.append(html[m.start() + 9:stop].replace("&", "&amp;"))
+                at = stop + 3
+                continue
             if m[0].startswith("<!--") and not m[0].endswith(("-->", "--!>")):
                 break  # a comment without end hides the rest
             continue
@@ -155,6 +186,10 @@ def build_tree(html: str) -> Node:
             continue
         if name == "html":
             continue
+        within = foreign()
+        if within and name in BREAKOUT:
+            cut(within)
+            within = 0
         if name in CLOSES_P:
             close_through(("p",), SCOPE)
         if name in IMPLIED:
@@ -163,6 +198,8 @@ def build_tree(html: str) -> Node:
             cut(len(stack) - 1)
         node = Node(name, m[3])
         stack[-1].children.append(node)
+        if m[3].endswith("/") and (within or name in ("svg", "math")):
+            continue  # these may close themselves
         if name in RAW:
             close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
             stop = close.start() if close else len(html)
@@ -332,7 +369,8 @@ def render(html: str | None) -> str:
     hidden = hidden_selectors(root)
     page = Lines()
     outs, tables, lists = [page], [], []
-    pre = 0
+    pre = formulas = 0
+    drawn: list[bool] = []  # for each open svg, and part of one that shows text: whether it does
     # (node, parent, leaving)
     work: list[tuple[Node | str, Node | None, bool]] = [(root, None, False)]
     while work:
@@ -341,12 +379,20 @@ def render(html: str | None) -> str:
         if isinstance(node, str):
             if parent.name == "details" and "open" not in parent.attributes():
                 continue
+            if drawn and not drawn[-1]:
+                continue
             out.text(unescape(node) if "&" in node and parent.name not in ("xmp",) else node, bool(pre))
             continue
         name = node.name
         if not leaving:
             if not visible(node, parent, hidden):
                 continue
+            if drawn and name in SVG_UNSHOWN or formulas and name in MATH_UNSHOWN:
+                continue
+            if (drawn or name == "svg") and node.attrs:
+                a = node.attributes()
+                if a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse"):
+                    continue
             if name == "br":
                 out.need(1, force=True)
                 continue
@@ -356,6 +402,11 @@ def render(html: str | None) -> str:
             if name in VOID:
                 continue
             work.append((node, parent, True))
+            if name == "svg" or drawn and name in SVG_SHOWN:
+                drawn.append(name != "svg")
+            formulas += name == "math"
+            if (drawn or formulas) and name in SPACED:
+                out.text(" ", False)
             if name == "table":
                 out.need(1)
                 tables.append(_Table())
@@ -385,8 +436,16 @@ def render(html: str | None) -> str:
                 out.need(2 if name in BLANK_AROUND else 1)
             if name in ("pre", "textarea", "xmp"):
                 pre += 1
-            work += [(child, node, False) for child in reversed(node.children)]
+            children = node.children
+            if name == "switch" and drawn:  # the first alternative
+                children = [x for x in children if isinstance(x, Node)][:1]
+            work += [(child, node, False) for child in reversed(children)]
             continue
+        if (drawn or formulas) and name in SPACED:
+            out.text(" ", False)
+        formulas -= name == "math"
+        if name == "svg" or drawn and name in SVG_SHOWN:
+            drawn.pop()
         if name in ("pre", "textarea", "xmp"):
             pre -= 1
         if name == "table":

@@ -27,6 +27,30 @@ def test_layout(html, text):
     assert h.render(html) == text
 
 
+FOREIGN = [
+    ("<p>if <math><mi>x</mi><mo>&lt;</mo><mn>2</mn></math> then", "if x<2 then"),
+    ("<math><semantics><mi>y</mi><annotation encoding=tex>\\y</annotation></semantics></math>z", "yz"),
+    ("<annotation>kept</annotation>", "kept"), ("<math><mphantom><mi>q</mi></mphantom><mspace/><mi>r</mi></math>", "r"),
+    ("<math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr><mtr><mtd>3</mtd></mtr></mtable></math>", "1 2 3"),
+    ("a<svg viewBox='0 0 9 9'><title>T</title><desc>D</desc><defs><text>no</text></defs> stray "
+     "<g><text x=1>Sales</text><text>in <tspan>May</tspan></text></g><path d='M0'/></svg>b", "a Sales in May b"),
+    ("<svg><defs/><style/><text>on</text></svg>c", "on c"), ("<svg><foreignObject><p>one<p>two</foreignObject></svg>", "one\n\ntwo"),
+    ("<svg><switch><foreignObject>first</foreignObject><text>second</text></switch></svg>", "first"),
+    ("<svg><text display=none>a</text><text style='visibility:hidden'>b</text><text><![CDATA[1 < 2 &amp;]]></text></svg>", "1 < 2 &amp;"),
+    ("<svg><g><p>outside", "outside"), ("<svg/>x", "x"), ("<text>plain</text>", "plain"), ("<svg hidden><text>a</text></svg>b", "b"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), FOREIGN)
+def test_formulas_and_picture_labels(html, text):
+    assert h.render(html) == text
+
+
+@pytest.mark.parametrize("unit", ["<svg>", "<svg><text>", "<math><mi>", "<svg><g>", "<svg><![CDATA[", "<svg><foreignObject><p>"])
+def test_hostile_foreign_pages_stay_linear(unit):
+    test_hostile_pages_stay_linear(unit)
+
+
 @pytest.mark.parametrize("unit", ["<div>", "<p><b>", "<", '<a "', "<a b='", "<!--", "</p>", "<table><tr><td>", "<ul><li>", "<details>", "&", "<td>", "a<br>"])
 def test_hostile_pages_stay_linear(unit):
     began = time.process_time()
