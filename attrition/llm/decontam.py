@@ -11,6 +11,11 @@ that term, moved back by its place in the phrase, are the candidate starts, and
 each further term, next rarest first, keeps those of them that its own moved
 list contains.  A phrase with a term that the segment lacks ends at once.
 
+Proximity finds passages with words put in or moved: a window matches near a
+place where every one of its terms stands within ``SLOP`` words of its rarest
+term, in any order, in one document.  Exact matches are among them.  The
+contamination rule reads exact matches only.
+
 The benchmark is brought to the tasks in blocks of at most ``BLOCK_BYTES`` of
 text, one pass over the index for each block, so a large benchmark costs more
 passes and never more memory.
@@ -36,6 +41,8 @@ from pyspark.sql import functions as F
 from attrition.llm.common import arrow_map, stored
 
 WINDOW = 13
+#: Proximity in words: 12 to the other end of a window, and four words put in
+SLOP = WINDOW + 3
 SEGMENT_WORDS = 400_000
 #: Text of benchmark items held by a task at a time.
 BLOCK_BYTES = 16 << 20
@@ -145,6 +152,8 @@ class Segment:
         order = np.argsort(counts, kind="stable")
         found = self.postings(places[order[0]]).astype(np.int64)
         for k in order[1:]:
+            if not len(found):
+                return found
             doc = self.doc_of(found)
             low = np.maximum(found - slop, self.doc_starts[doc])
             high = np.minimum(found + slop, self.doc_starts[doc + 1] - 1)
@@ -231,14 +240,20 @@ def search_index(index: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id",
-                  item_text: str = "text", item: str = "item_id", window: int = WINDOW) -> DataFrame:
-    """(key, n_words, n_hit, items): one row per document."""
+                  item_text: str = "text", item: str = "item_id", window: int = WINDOW, slop: int | None = None) -> DataFrame:
+    """(key, n_words, n_hit, items): one row per document.  With ``slop`` also
+    ``near_items``, the items of which a window is found by proximity."""
     index = build_index(docs, text, key)
     found = stored(search_index(index, benchmark, item_text, item, window), "decontam-matches")
     listed = index.select("segment", F.posexplode("docs").alias("ord", "d")).select("segment", "ord", "d.key", "d.n_words")
-    return listed.join(found, ["segment", "ord"], "left").select(
-        "key", "n_words", F.coalesce(F.size("words"), F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(F.array_sort("items"), F.array().cast("array<string>")).alias("items"))
+    none = F.array().cast("array<string>")
+    out = ["key", "n_words", F.coalesce(F.size("words"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.array_sort("items"), none).alias("items")]
+    rows = listed.join(found, ["segment", "ord"], "left")
+    if slop is not None:
+        near = stored(search_index(index, benchmark, item_text, item, window, slop), "decontam-near")
+        rows = rows.join(near.select("segment", "ord", F.col("items").alias("near")), ["segment", "ord"], "left")
+        out.append(F.coalesce(F.array_sort("near"), none).alias("near_items"))
+    return rows.select(*out)
 
 
 def contaminated(n_words: Column, n_hit: Column) -> Column:
@@ -256,9 +271,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text")
 
 
 def contamination_table(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document with the digest of its items."""
-    got = contamination(docs, benchmark)
+    """One row per document with the digest of its items, and the number of items
+    found in it by proximity."""
+    got = contamination(docs, benchmark, slop=SLOP)
     return got.select(
         F.col("key").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"))
+        contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"))

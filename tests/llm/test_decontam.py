@@ -91,3 +91,38 @@ def test_proximity(spark):
     near = d.search_index(index, bench, slop=5)
     names = index.select("segment", d.F.posexplode("docs").alias("ord", "d")).select("segment", "ord", "d.key")
     assert sorted(r.key for r in names.join(near, ["segment", "ord"]).collect()) == [1, 2]
+
+
+def test_table_counts_items_by_proximity(spark):
+    words = [f"b{i}" for i in range(13)]
+    item, put_in = " ".join(words), " ".join([*words[:6], "extra", *words[6:]])
+    moved, apart = " ".join([*words[1:], words[0]]), " ".join([*words[:6], *["pad"] * 30, *words[6:]])
+    df = spark.createDataFrame(list(enumerate([item, put_in, moved, apart, "clean", None])), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item, "own"), (2, item + " tail", "own")], ITEMS)
+    rows = {r.doc_id: r for r in d.contamination_table(df, bench).collect()}
+    assert [rows[k].n_near_items for k in range(6)] == [2, 2, 2, 0, 0, 0]
+    assert [rows[k].n_items for k in range(6)] == [2, 0, 0, 0, 0, 0]
+
+
+def test_proximity_holds_all_exact_matches_and_matches_brute_force(spark):
+    docs, items = planted()
+    bench = spark.createDataFrame([(*x, "own") for x in items], ITEMS)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = []
+    for k, t in docs:
+        w, names = d.item_words(t.encode()), set()
+        for item, text in items:
+            v = d.item_words(text.encode() if text is not None else None)
+            size = min(d.WINDOW, len(v))
+            for i in range(len(v) - size + 1 if v else 0):
+                terms = set(v[i:i + size])
+                # around one of the terms, whichever is the rarest in the corpus of one segment
+                if any(terms <= set(w[max(0, p - 5):p + 6]) for p in range(len(w)) if w[p] in terms):
+                    names.add("" if item is None else str(item))
+        want.append((k, names))
+    got_near = {r.key: (set(r["items"]), set(r.near_items)) for r in d.contamination(df, bench, slop=5).collect()}
+    for k, names in want:
+        exact, near = got_near[k]
+        assert near <= names
+    wide = {r.key: (set(r["items"]), set(r.near_items)) for r in d.contamination(df, bench, slop=d.SLOP).collect()}
+    assert all(exact <= near for exact, near in wide.values()) and any(exact != near for exact, near in wide.values())
