@@ -77,8 +77,9 @@ def with_ledger(docs: DataFrame, out: str, text: str = "text", rules: tuple[Rule
     Repeated windows: all 3-word windows are hashed to 64 bits, the position
     takes the low bits (as many as the text needs), and one primitive sort
     brings equal windows together: no rows are exploded and nothing is
-    shuffled."""
-    t, w, h, s, low, d, m = (free_name(docs, f"__{x}") for x in ("text", "words", "win", "sorted", "low", "dups", "meas"))
+    shuffled.  The windows so found are then sorted by their words, and only
+    those with equal words count, so the count is exact at any length."""
+    t, w, h, s, low, c, d, m = (free_name(docs, f"__{x}") for x in ("text", "words", "win", "sorted", "low", "cand", "dups", "meas"))
     keep = [F.col(f"`{c}`") for c in docs.columns]
     step = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(t))
     step = step.select(*keep, t, words(F.col(t)).alias(w))
@@ -99,8 +100,19 @@ def with_ledger(docs: DataFrame, out: str, text: str = "text", rules: tuple[Rule
             return y.isNotNull() & (x.bitwiseXOR(y) >= 0) & same(x, y)
         return near(i - 1) | near(i + 1)
 
-    step = step.select(*keep, t, w, F.transform(
-        F.filter(s, twin), lambda x: x.bitwiseAND(F.col(low))).alias(d))
+    def by_words(x: Column) -> Column:
+        i = x.bitwiseAND(F.col(low)).cast("int")
+        return F.struct(*[F.get(w, i + k).alias(f"w{k}") for k in range(3)], i.cast("long").alias("i"))
+
+    step = step.select(*keep, t, w, F.sort_array(F.transform(F.filter(s, twin), by_words)).alias(c))
+
+    def equal(x: Column, i: Column) -> Column:
+        def near(k: Column) -> Column:
+            y = F.get(c, k)
+            return y["w0"].eqNullSafe(x["w0"]) & y["w1"].eqNullSafe(x["w1"]) & y["w2"].eqNullSafe(x["w2"])
+        return near(i - 1) | near(i + 1)
+
+    step = step.select(*keep, t, w, F.transform(F.filter(c, equal), lambda x: x["i"]).alias(d))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
     covered = F.array_union(F.array_union(F.col(d), F.transform(d, lambda x: x + 1)), F.transform(d, lambda x: x + 2))
     # exploding one struct keeps a filter on the ledger from being pushed, and its

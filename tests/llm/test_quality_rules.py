@@ -69,3 +69,14 @@ def test_empty_table(spark):
 def test_plan_is_native_and_without_shuffle(spark):
     plan = q.quality_table(awkward(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_windows_of_equal_hash_bits_are_told_apart_by_their_words(spark):
+    """Two windows whose hashes agree in the bits that a text of 600,000 words leaves."""
+    words = [f"u{i}" for i in range(600_000)]
+    words[100:103], words[300_000:300_003] = ["k5940854", "x", "y"], ["k12172494", "x", "y"]
+    row = q.quality_table(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).first()
+    assert (row.n_words, row.n_repeat_words) == (600_000, 0)
+    words[400_000:400_003] = ["k5940854", "x", "y"]
+    row = q.quality_table(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).first()
+    assert row.n_repeat_words == 6
