@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrition.llm import bin_packing, decontam, html_layout, line_spread, lm_score, quality_rules, secret_scan, simhash_dups, token_counts, warc_index
+from attrition.llm import bin_packing, conversation_repair, decontam, html_layout, line_spread, lm_score, quality_rules, secret_scan, simhash_dups, token_counts, warc_index
 from attrition.plans.registry import Query
 from attrition.sources.tables import read_table as load
 
@@ -142,6 +142,11 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage and its cheapest repair."""
+    return conversation_repair.repair_table(load(spark, sf_dir, "conversations"))
+
+
 QUERIES = [
     Query("op1_quality_rules", op1_quality_rules, OP1_SQL),
     Query("op2_token_counts", op2_token_counts, None),
@@ -153,4 +158,5 @@ QUERIES = [
     Query("op8_bin_packing", op8_bin_packing, None),
     Query("op9_html_layout", op9_html_layout, None),
     Query("op10_decontam", op10_decontam, OP10_SQL),
+    Query("op11_conversation_repair", op11_conversation_repair, None),
 ]
