@@ -23,6 +23,8 @@ COLUMNS = {
     "op10": {"doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"},
     "op11": {"conv_id": "bigint", "gaps": "bigint", "blank": "bigint", "duplicate": "bigint", "truncated": "bigint", "illegal": "bigint",
              "cost": "bigint", "audit": "string", "repaired_sha256": "string"},
+    "op12": {"doc_id": "bigint", "n_runs": "bigint", "start": "bigint", "length": "bigint", "period": "bigint", "exponent_milli": "bigint",
+             "runs_sha256": "string", "collapsed_sha256": "string"},
 }
 
 
