@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrition.llm import bin_packing, conversation_repair, decontam, html_layout, line_spread, lm_score, periodic_runs, quality_rules, secret_scan, simhash_dups, token_counts, warc_index
+from attrition.llm import bin_packing, conversation_repair, decontam, html_layout, line_spread, lm_score, periodic_runs, quality_rules, secret_scan, simhash_dups, token_counts, url_filter, warc_index
 from attrition.plans.registry import Query
 from attrition.sources.tables import read_table as load
 
@@ -152,6 +152,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.runs_table(load(spark, sf_dir, "documents"))
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return url_filter.verdict_table(load(spark, sf_dir, "pages"))
+
+
 QUERIES = [
     Query("op1_quality_rules", op1_quality_rules, OP1_SQL),
     Query("op2_token_counts", op2_token_counts, None),
@@ -165,4 +170,5 @@ QUERIES = [
     Query("op10_decontam", op10_decontam, OP10_SQL),
     Query("op11_conversation_repair", op11_conversation_repair, None),
     Query("op12_periodic_runs", op12_periodic_runs, None),
+    Query("op13_url_filter", op13_url_filter, None),
 ]

@@ -25,6 +25,7 @@ COLUMNS = {
              "cost": "bigint", "audit": "string", "repaired_sha256": "string"},
     "op12": {"doc_id": "bigint", "n_runs": "bigint", "start": "bigint", "length": "bigint", "period": "bigint", "exponent_milli": "bigint",
              "runs_sha256": "string", "collapsed_sha256": "string"},
+    "op13": {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"},
 }
 
 
