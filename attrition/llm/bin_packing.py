@@ -187,6 +187,8 @@ def pack(loose: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_P
     n = loose.count()
     shards = max(1, -(-n // shard_pieces))
     dealt = loose.select("row", F.col("length").cast("int").alias("length"), F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"))
+    # by shards: a shard's lengths are few bytes and much work
+    dealt = dealt.repartition(shards, "shard")
 
     def seed(shard: int, island: int, epoch: int) -> np.random.Generator:
         return np.random.default_rng([shard, island, epoch])
@@ -213,7 +215,8 @@ def pack(loose: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_P
     state = stored(dealt.groupBy("shard").applyInPandas(begin, _STATE), "packing-islands")
     for number in range(epochs):
         guests = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("elite").alias("guest"))
-        state = stored(state.join(guests, ["shard", "island"]).groupBy("shard", "island").applyInPandas(epoch_of(number), _STATE), "packing-islands")
+        both = state.join(guests, ["shard", "island"]).repartition(shards * islands, "shard", "island")
+        state = stored(both.groupBy("shard", "island").applyInPandas(epoch_of(number), _STATE), "packing-islands")
 
     def place(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         """The best island's packing, as a place for every row."""

@@ -48,6 +48,9 @@ BLANK = " \t\n\x0b\x0c\r"
 #: A block has at least 2 ** LEAST_SHIFT places.
 LEAST_SHIFT = 5
 
+#: Rows that a task solves.
+TASK_UNITS = 1 << 15
+
 #: For each state: the initial that may follow and the state after it; ``s`` may come first only.
 EXPECTED = ("u", "u", "a", "u")
 AFTER = (2, 2, 3, 2)
@@ -122,10 +125,16 @@ def _blocks(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = F.when(F.col("blank") | F.col("again"), GONE).when(F.col("cut"), CUT).otherwise(OPEN)
     named = units.join(totals.select(F.col("c").alias("tc"), "conv", shift.alias("shift")), F.col("c").eqNullSafe(F.col("tc")))
     unit = F.struct("at", F.substring("r", 1, 1).alias("initial"), kind.alias("kind"), "n")
-    blocks = named.groupBy("conv", F.expr("shiftright(at, shift)").alias("block")).agg(F.sort_array(F.collect_list(unit)).alias("units"))
+    # by rows: a block's units are few bytes and much work
+    named = named.withColumn("block", F.expr("shiftright(at, shift)")).repartition(_tasks(units), "conv", "block")
+    blocks = named.groupBy("conv", "block").agg(F.sort_array(F.collect_list(unit)).alias("units"))
     return stored(blocks, "repair-blocks"), totals
 
 
+def _tasks(units: DataFrame) -> int:
+    return units.count() // TASK_UNITS + 1
+
+
 def back(later: list[int], unit: Unit) -> list[int]:
     """Costs of finishing from each state before a unit, from those after it."""
     initial, kind, n = unit
@@ -311,10 +320,11 @@ def repair(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     blocks, totals = _blocks(units)
     points = _checkpoints(_matrices(blocks))
     ends = points.select("conv", F.explode("ends").alias("e")).select("conv", "e.block", "e.vector")
-    blocks = stored(blocks.join(ends, ["conv", "block"]), "repair-points")
+    tasks = _tasks(units)
+    blocks = stored(blocks.join(ends, ["conv", "block"]).repartition(tasks, "conv", "block"), "repair-points")
     entries = _entries(blocks)
     states = entries.select("conv", F.explode("states").alias("e")).select("conv", "e.block", "e.state")
-    edits = _edits(blocks.join(states, ["conv", "block"]))
+    edits = _edits(blocks.join(states, ["conv", "block"]).repartition(tasks, "conv", "block"))
     closing = F.when(F.col("last") == 2, "a").when(F.col("last") == 1, "ua").otherwise("")
     letters = F.transform(F.sort_array(F.collect_list(F.struct("block", "audit"))), lambda b: b["audit"])
     ended = edits.groupBy("conv").agg(F.array_join(letters, "").alias("audit")).join(

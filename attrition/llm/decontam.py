@@ -11,10 +11,11 @@ that term, moved back by its place in the phrase, are the candidate starts, and
 each further term, next rarest first, keeps those of them that its own moved
 list contains.  A phrase with a term that the segment lacks ends at once.
 
-Proximity finds passages with words put in or moved: a window matches near a
-place where every one of its terms stands within ``SLOP`` words of its rarest
-term, in any order, in one document.  Exact matches are among them.  The
-contamination rule reads exact matches only.
+Proximity finds passages with words put in or moved: a window matches a document
+that has its words, each as often as the window has it and in any order, within
+``SLACK`` words more than the window is long.  Exact matches are among them; an item
+of one word is near wherever it stands.  Both searches take one pass over the index.
+The contamination rule reads exact matches only.
 
 The benchmark is brought to the tasks in blocks of at most ``BLOCK_BYTES`` of
 text, one pass over the index for each block, so a large benchmark costs more
@@ -41,8 +42,8 @@ from pyspark.sql import functions as F
 from attrition.llm.common import arrow_map, stored
 
 WINDOW = 13
-#: Proximity in words: 12 to the other end of a window, and four words put in
-SLOP = WINDOW + 3
+#: Words that proximity allows between those of a window.
+SLACK = 4
 SEGMENT_WORDS = 400_000
 #: Text of benchmark items held by a task at a time.
 BLOCK_BYTES = 16 << 20
@@ -146,26 +147,38 @@ class Segment:
         found = found[found >= 0]
         return found[self.doc_of(found) == self.doc_of(found + len(places) - 1)]
 
-    def near(self, places: np.ndarray, counts: np.ndarray, slop: int) -> np.ndarray:
-        """Positions of the rarest term with every other term of the set within
-        ``slop`` words of it in the same document."""
-        order = np.argsort(counts, kind="stable")
-        found = self.postings(places[order[0]]).astype(np.int64)
-        for k in order[1:]:
+    def near(self, places: np.ndarray, counts: np.ndarray, slack: int) -> np.ndarray:
+        """Documents with a stretch of ``slack`` words more than the terms that contains
+        each term as often as it is given."""
+        terms, times = np.unique(places, return_counts=True)
+        own = {p: self.postings(p) for p in terms.tolist()}
+        often = dict(zip(terms.tolist(), times.tolist(), strict=True))
+        order = sorted(own, key=lambda p: (len(own[p]), p))
+        length = len(places) + slack
+        found = own[order[0]].astype(np.int64)
+        for p in order[1:]:
+            doc = self.doc_of(found)
+            low = np.maximum(found - length + 1, self.doc_starts[doc])
+            high = np.minimum(found + length, self.doc_starts[doc + 1])
+            found = found[np.searchsorted(own[p], low) < np.searchsorted(own[p], high)]
             if not len(found):
                 return found
-            doc = self.doc_of(found)
-            low = np.maximum(found - slop, self.doc_starts[doc])
-            high = np.minimum(found + slop, self.doc_starts[doc + 1] - 1)
-            own = self.postings(places[k])
-            found = found[np.searchsorted(own, low) < np.searchsorted(own, high, side="right")]
-        return found
+        doc = np.repeat(self.doc_of(found), length)
+        starts = (found[:, None] - np.arange(length)[None, :]).ravel()
+        ok = starts >= self.doc_starts[doc]
+        starts, doc = starts[ok], doc[ok]
+        for p in order:
+            at = np.searchsorted(own[p], starts) + often[p] - 1
+            last = own[p][np.minimum(at, len(own[p]) - 1)]
+            ok = (at < len(own[p])) & (last < np.minimum(starts + length, self.doc_starts[doc + 1]))
+            starts, doc = starts[ok], doc[ok]
+        return np.unique(doc)
 
 
 class Queries:
     """A block of items: their windows as rows of term numbers, by window length."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int, slop: int | None = None) -> None:
+    def __init__(self, items: list[tuple[str, bytes | None]], window: int, slack: int | None = None) -> None:
         number: dict[int, int] = {}
         by_size: dict[int, dict[tuple, set[str]]] = defaultdict(lambda: defaultdict(set))
         for item, text in items:
@@ -173,26 +186,27 @@ class Queries:
             size = min(window, len(w))
             for i in range(len(w) - size + 1 if w else 0):
                 by_size[size][tuple(w[i:i + size])].add(item)
-        self.slop = slop
+        self.slack = slack
         self.terms = np.array(list(number), dtype=np.uint64)
         self.windows = [(size, np.array(list(rows), dtype=np.int64), list(rows.values())) for size, rows in by_size.items()]
 
-    def search(self, seg: Segment) -> Iterator[tuple[np.ndarray, int, set[str]]]:
-        """(positions, words covered from each, items) of each window that occurs."""
+    def search(self, seg: Segment) -> Iterator[tuple[np.ndarray, int, np.ndarray, set[str]]]:
+        """(positions, words covered from each, documents found by proximity, items) of
+        each window that occurs in either way."""
         at, n = seg.places(self.terms)
+        none = np.zeros(0, np.int64)
         for size, rows, items in self.windows:
             for r in np.nonzero(n[rows].min(axis=1) > 0)[0]:
-                terms = rows[r]
-                if self.slop is None:
-                    found, covers = seg.phrase(at[terms], n[terms]), size
-                else:
-                    found, covers = seg.near(at[terms], n[terms], self.slop), 1
-                if len(found):
-                    yield found, covers, items[r]
+                places, counts = at[rows[r]], n[rows[r]]
+                found = seg.phrase(places, counts)
+                near = none if self.slack is None else seg.near(places, counts, self.slack)
+                if len(found) or len(near):
+                    yield found, size, near, items[r]
 
 
 def _matches(index: DataFrame, queries: Queries) -> DataFrame:
-    """(segment, ord, words, items): numbers of the words hit in a document, and the items."""
+    """(segment, ord, words, items, near): numbers of the words hit in a document, the
+    items that hit them, and those found by proximity."""
     shared = index.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,27 +216,30 @@ def _matches(index: DataFrame, queries: Queries) -> DataFrame:
                 seg = Segment(*parts)
                 hit = np.zeros(int(seg.doc_starts[-1]), bool)
                 items: dict[int, set[str]] = defaultdict(set)
-                for found, covers, names in shared.value.search(seg):
+                close: dict[int, set[str]] = defaultdict(set)
+                for found, covers, near, names in shared.value.search(seg):
                     for k in range(covers):
                         hit[found + k] = True
                     for d in np.unique(seg.doc_of(found)).tolist():
                         items[d] |= names
-                out: dict[str, list] = {"segment": [], "ord": [], "words": [], "items": []}
-                for d, names in items.items():
+                    for d in near.tolist():
+                        close[d] |= names
+                out: dict[str, list] = {"segment": [], "ord": [], "words": [], "items": [], "near": []}
+                for d in sorted(items.keys() | close.keys()):
                     a, b = seg.doc_starts[d:d + 2]
-                    for k, v in zip(out, (ident, d, np.nonzero(hit[a:b])[0].astype(np.int32), sorted(names)), strict=True):
+                    for k, v in zip(out, (ident, d, np.nonzero(hit[a:b])[0].astype(np.int32), sorted(items[d]), sorted(close[d])), strict=True):
                         out[k].append(v)
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
-                    ("segment", pa.int64()), ("ord", pa.int32()), ("words", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]))
+                    ("segment", pa.int64()), ("ord", pa.int32()), ("words", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string()))]))
 
-    return arrow_map(index.select("segment", "terms", "starts", "positions", "doc_starts"), run, "segment bigint, ord int, words array<int>, items array<string>")
+    return arrow_map(index.select("segment", "terms", "starts", "positions", "doc_starts"), run,
+                     "segment bigint, ord int, words array<int>, items array<string>, near array<string>")
 
 
 def search_index(index: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW,
-                 slop: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(segment, ord, words, items) for each document that holds a window of an
-    item: the exact phrase, or with ``slop`` its terms in any order near the
-    rarest of them."""
+                 slack: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(segment, ord, words, items, near) for each document that holds a window of an
+    item: the exact phrase, and with ``slack`` its words in any order close together."""
     rows = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{text}`").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(total // block_bytes) + 1
@@ -231,29 +248,25 @@ def search_index(index: DataFrame, benchmark: DataFrame, text: str = "text", ite
     for b in range(blocks):
         items = [(r.item, bytes(r.text) if r.text is not None else None)
                  for r in rows.where(block == b).select("item", F.col("text").cast("binary").alias("text")).toLocalIterator()]
-        one = _matches(index, Queries(items, window, slop))
+        one = _matches(index, Queries(items, window, slack))
         found = one if found is None else found.unionByName(one)
     if blocks == 1:
         return found
-    return found.groupBy("segment", "ord").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"),
-                                               F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return found.groupBy("segment", "ord").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("words", "items", "near")])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id",
-                  item_text: str = "text", item: str = "item_id", window: int = WINDOW, slop: int | None = None) -> DataFrame:
-    """(key, n_words, n_hit, items): one row per document.  With ``slop`` also
+                  item_text: str = "text", item: str = "item_id", window: int = WINDOW, slack: int | None = None) -> DataFrame:
+    """(key, n_words, n_hit, items): one row per document.  With ``slack`` also
     ``near_items``, the items of which a window is found by proximity."""
     index = build_index(docs, text, key)
-    found = stored(search_index(index, benchmark, item_text, item, window), "decontam-matches")
+    found = stored(search_index(index, benchmark, item_text, item, window, slack), "decontam-matches")
     listed = index.select("segment", F.posexplode("docs").alias("ord", "d")).select("segment", "ord", "d.key", "d.n_words")
     none = F.array().cast("array<string>")
     out = ["key", "n_words", F.coalesce(F.size("words"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.array_sort("items"), none).alias("items")]
-    rows = listed.join(found, ["segment", "ord"], "left")
-    if slop is not None:
-        near = stored(search_index(index, benchmark, item_text, item, window, slop), "decontam-near")
-        rows = rows.join(near.select("segment", "ord", F.col("items").alias("near")), ["segment", "ord"], "left")
+    if slack is not None:
         out.append(F.coalesce(F.array_sort("near"), none).alias("near_items"))
-    return rows.select(*out)
+    return listed.join(found, ["segment", "ord"], "left").select(*out)
 
 
 def contaminated(n_words: Column, n_hit: Column) -> Column:
@@ -263,17 +276,18 @@ def contaminated(n_words: Column, n_hit: Column) -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without contaminated rows, columns unchanged.  The verdict depends
-    on the text alone, so texts are matched by their hash."""
+    on the text alone, so texts are matched by their SHA-256."""
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select(F.xxhash64(f"`{text}`").alias("k"), F.col(f"`{text}`").alias("t"))
+    own = F.sha2(F.col(f"`{text}`").cast("string"), 256)
+    keyed = docs.select(own.alias("k"), F.col(f"`{text}`").alias("t"))
     bad = contamination(keyed, benchmark, "t", "k").where(contaminated(F.col("n_words"), F.col("n_hit"))).select(F.col("key").alias("__k")).distinct()
-    return docs.join(bad, F.xxhash64(f"`{text}`") == F.col("__k"), "left_anti").select(*cols)
+    return docs.join(bad, own == F.col("__k"), "left_anti").select(*cols)
 
 
 def contamination_table(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document with the digest of its items, and the number of items
     found in it by proximity."""
-    got = contamination(docs, benchmark, slop=SLOP)
+    got = contamination(docs, benchmark, slack=SLACK)
     return got.select(
         F.col("key").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),

@@ -66,7 +66,7 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "t
     bad = stored(boilerplate_lines(hashes, min_sites, lg_k), "line-boilerplate")
     gone, k, th, cut = (free_name(docs, f"__{x}") for x in ("gone", "key", "text_hash", "cut"))
     per_line = hashes.drop("site").join(bad, ["h1", "h2"]).groupBy("key", "text_hash", "h1", "h2", "first_key").agg(
-        F.collect_list("pos").alias("at"))
+        F.collect_set("pos").alias("at"))
     dropped = F.when(F.col("key").eqNullSafe(F.col("first_key")), F.array_remove("at", F.array_min("at"))).otherwise(F.col("at"))
     per_doc = per_line.groupBy(F.col("key").alias(k), F.col("text_hash").alias(th)).agg(
         F.flatten(F.collect_list(dropped)).alias(gone))

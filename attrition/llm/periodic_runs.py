@@ -47,6 +47,8 @@ TIMES = 4
 BOUNDARIES = 8
 #: Words that a task works on at a time, whole documents; a longer document is worked on alone.
 GROUP_WORDS = 1 << 18
+#: Words of tiles that a task solves.
+TASK_WORDS = 1 << 20
 #: Pairs of a boundary and a period compared at a time.
 _PAIRS = 1 << 20
 #: Fragments of a document and period are stitched in stretches of so many tiles first.
@@ -239,7 +241,10 @@ def periodic_runs(docs: DataFrame, text: str = "text", key: str = "doc_id", dige
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     cut = stored(arrow_map(rows, _cut(to_arrow_type(kind), digests),
                            f"rid bigint, key {name}, whole string, words string, p bigint, low bigint, core bigint, bits bigint, ids binary"), "runs-tiles")
-    tiles = cut.where("p IS NOT NULL").select("rid", "p", "low", "core", "bits", "ids").repartition("rid", "p", "core")
+    tiles = cut.where("p IS NOT NULL").select("rid", "p", "low", "core", "bits", "ids")
+    # by words: a tile of 16 P words takes its time by them
+    tasks = (tiles.agg(F.sum("p")).first()[0] or 0) * 2 * BOUNDARIES // TASK_WORDS + 1
+    tiles = tiles.repartition(tasks, "rid", "p", "core")
     fragments = arrow_map(tiles, _fragments, "rid bigint, q bigint, stretch bigint, a bigint, b bigint")
     runs = _stitch(_stitch(fragments, ["rid", "q", "stretch"]).drop("stretch"), ["rid", "q"]).where(
         (F.col("b") - F.col("a") >= LEAST_WORDS) & (F.col("b") - F.col("a") >= TIMES * F.col("q")))

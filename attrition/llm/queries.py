@@ -134,12 +134,24 @@ sizes AS (SELECT DISTINCT size FROM bw),
 dw AS (
   SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS x FROM (
     SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM d CROSS JOIN sizes WHERE len(w) >= size)),
+win AS (SELECT row_number() OVER (ORDER BY item, size, x) AS wid, item, size, string_split(x, ' ') AS w FROM bw),
+term AS (SELECT wid, size, t, count(*) AS times FROM (SELECT wid, size, unnest(w) AS t FROM win) GROUP BY ALL),
+terms AS (SELECT wid, count(*) AS n FROM term GROUP BY wid),
+place AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM d),
+maybe AS (SELECT doc_id, wid FROM (SELECT DISTINCT doc_id, t FROM place) JOIN term USING (t) JOIN terms USING (wid) GROUP BY doc_id, wid, n HAVING count(*) = n),
+occ AS (SELECT doc_id, wid, t, times, size, i FROM maybe JOIN term USING (wid) JOIN place USING (doc_id, t)),
+full_stretch AS (SELECT doc_id, wid, a FROM (
+    SELECT s.doc_id, s.wid, s.i AS a, o.t FROM occ s JOIN occ o ON s.doc_id = o.doc_id AND s.wid = o.wid AND o.i BETWEEN s.i AND s.i + s.size + 3
+    GROUP BY s.doc_id, s.wid, s.i, o.t, o.times HAVING count(*) >= o.times)
+  JOIN terms USING (wid) GROUP BY doc_id, wid, a, n HAVING count(*) = n),
+near AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM full_stretch JOIN win USING (wid) GROUP BY doc_id),
 m AS (SELECT doc_id, i, dw.size, item FROM dw JOIN bw ON dw.size = bw.size AND dw.x = bw.x),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + size - 1)) AS p FROM m) GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  coalesce(n_near, 0) AS n_near_items
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

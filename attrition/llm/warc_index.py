@@ -49,6 +49,8 @@ GZIP_LEVEL = 6
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: Compressed bytes of records that a task reads back.
+FETCH_BYTES = 32 << 20
 CAPTURE = "surt string, url string, page_id {key}, file string, offset bigint, length bigint"
 
 
@@ -276,11 +278,13 @@ def look_up(index: CaptureIndex, urls: DataFrame, url: str = "url") -> DataFrame
                                            for c, k in zip(columns, kinds, strict=True)], names=names)
 
     keys = arrow_map(urls.select(surt(F.col(f"`{url}`").cast("string")).alias("surt")).distinct(), route, "surt string, number int")
-    return arrow_map(keys.repartition("number").sortWithinPartitions("number", "surt"), search, CAPTURE.format(key=index.key))
+    # by files, not by the few bytes of the keys, which say nothing of what a task reads
+    return arrow_map(keys.repartition(max(1, len(index.files)), "number").sortWithinPartitions("number", "surt"), search, CAPTURE.format(key=index.key))
 
 
-def fetch(index: CaptureIndex, captures: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Range-reads the records of ``captures``, in file order, and parses them:
+def fetch(index: CaptureIndex, captures: DataFrame, with_payload: bool = True, fetch_bytes: int = FETCH_BYTES) -> DataFrame:
+    """Range-reads the records of ``captures``, in file order, about ``fetch_bytes`` of
+    them a task, and parses them:
     (page_id, url, record_type, refers_to, payload_bytes, payload_digest[, payload]).
     A revisit's size and digest are those its headers state of the full payload."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +312,9 @@ def fetch(index: CaptureIndex, captures: DataFrame, with_payload: bool = True) -
                     ("page_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()),
                     ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]))
 
-    ordered = captures.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    wanted = stored(captures.select("file", "offset", "length"), "warc-captures")
+    tasks = (wanted.agg(F.sum("length")).first()[0] or 0) // fetch_bytes + 1
+    ordered = wanted.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     got = arrow_map(ordered, run, "page_id string, url string, record_type string, refers_to string, payload_bytes bigint, payload_digest string, payload binary")
     got = got.withColumns({c: F.col(c).cast(index.key) for c in ("page_id", "refers_to")})
     return got if with_payload else got.drop("payload")

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import random
 
 from attrition.llm import decontam as d
@@ -88,7 +90,7 @@ def test_proximity(spark):
     docs = [(1, "alpha x x beta x gamma"), (2, "gamma beta alpha"), (3, "alpha x x x x x x x beta gamma"), (4, "alpha beta")]
     index = d.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
     bench = spark.createDataFrame([(1, "alpha beta gamma", "own")], ITEMS)
-    near = d.search_index(index, bench, slop=5)
+    near = d.search_index(index, bench, slack=3).where("size(near) > 0")
     names = index.select("segment", d.F.posexplode("docs").alias("ord", "d")).select("segment", "ord", "d.key")
     assert sorted(r.key for r in names.join(near, ["segment", "ord"]).collect()) == [1, 2]
 
@@ -104,25 +106,27 @@ def test_table_counts_items_by_proximity(spark):
     assert [rows[k].n_items for k in range(6)] == [2, 0, 0, 0, 0, 0]
 
 
-def test_proximity_holds_all_exact_matches_and_matches_brute_force(spark):
+def test_proximity_matches_brute_force(spark):
     docs, items = planted()
+    docs = [*docs, (9001, "a cat saw the dog"), (9002, "the cat the dog the the"), (9003, "the the x the the y z cat")]
+    items = [*items, (9001, "the the the the cat")]
     bench = spark.createDataFrame([(*x, "own") for x in items], ITEMS)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    want = []
-    for k, t in docs:
-        w, names = d.item_words(t.encode()), set()
-        for item, text in items:
-            v = d.item_words(text.encode() if text is not None else None)
-            size = min(d.WINDOW, len(v))
-            for i in range(len(v) - size + 1 if v else 0):
-                terms = set(v[i:i + size])
-                # around one of the terms, whichever is the rarest in the corpus of one segment
-                if any(terms <= set(w[max(0, p - 5):p + 6]) for p in range(len(w)) if w[p] in terms):
-                    names.add("" if item is None else str(item))
-        want.append((k, names))
-    got_near = {r.key: (set(r["items"]), set(r.near_items)) for r in d.contamination(df, bench, slop=5).collect()}
-    for k, names in want:
-        exact, near = got_near[k]
-        assert near <= names
-    wide = {r.key: (set(r["items"]), set(r.near_items)) for r in d.contamination(df, bench, slop=d.SLOP).collect()}
-    assert all(exact <= near for exact, near in wide.values()) and any(exact != near for exact, near in wide.values())
+    for slack in (0, 2, d.SLACK):
+        want = {}
+        for k, t in docs:
+            w, names = d.item_words(t.encode() if t is not None else None), set()
+            for item, text in items:
+                v = d.item_words(text.encode() if text is not None else None)
+                size = min(d.WINDOW, len(v))
+                for i in range(len(v) - size + 1 if v else 0):
+                    need = Counter(v[i:i + size])
+                    if any(need <= Counter(w[p:p + size + slack]) for p in range(len(w)) if w[p] in need):
+                        names.add("" if item is None else str(item))
+            want.setdefault(k, []).append(sorted(names))
+        rows = d.contamination(df, bench, slack=slack).collect()
+        got = {}
+        for r in rows:
+            got.setdefault(r.key, []).append(list(r.near_items))
+            assert set(r["items"]) <= set(r.near_items)
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}

@@ -53,3 +53,9 @@ def test_columns_clashes_and_empty(spark):
     assert out.columns == [*docs.columns, "n_removed"] and out.count() == docs.count()
     assert ls.drop_boilerplate(empty(spark), 2).count() == 0
     assert ls.drop_boilerplate(awkward(spark), 1).where("doc_id = 6").first().text.count("\n") == 899
+
+
+def test_removed_lines_of_a_repeated_row_count_once(spark):
+    rows = [(i, f"own {i}\nshared\nshared", f"s{i}") for i in range(1, 5)] + [(2, "own 2\nshared\nshared", "s2")]
+    got = ls.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), 3, removed="n").collect()
+    assert sorted((r.doc_id, r.n, r.text) for r in got) == [(1, 1, "own 1\nshared"), (2, 2, "own 2"), (2, 2, "own 2"), (3, 2, "own 3"), (4, 2, "own 4")]

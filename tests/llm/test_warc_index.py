@@ -66,3 +66,13 @@ def test_surt(spark):
 
 def test_empty(spark):
     assert w.archive_table(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_records_are_read_back_by_several_tasks(spark):
+    """However few bytes the pointers have, the records' own bytes set the number of tasks."""
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}.example/{i}", "x" * 300 + str(i)) for i in range(400)], "page_id long, url string, html string")
+    index = w.archive(pages)
+    captures = w.look_up(index, pages)
+    total = captures.agg({"length": "sum"}).first()[0]
+    got = w.fetch(index, captures, fetch_bytes=total // 6)
+    assert got.count() == 400 and got.rdd.getNumPartitions() >= 6
