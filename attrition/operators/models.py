@@ -9,7 +9,7 @@ re-expressed as an MLlib estimator with its hyper-parameters translated:
 * ``min_samples_leaf``      → ``minInstancesPerNode``;
 * ``max_features``          → ``featureSubsetStrategy`` (``sqrt``, ``log2``, a fraction);
 * class weights / ``scale_pos_weight`` → a ``weightCol`` (P7);
-* ``num_leaves`` (leaf-wise boosting) → ``maxDepth = ceil(log2(num_leaves))``;
+* leaf-wise boosting with L1 and L2 terms → :mod:`boost`;
 * nominal columns in boosting → ``StringIndexer`` + categorical splits;
 * kernel SVM                → random Fourier features (rbf) or a polynomial
   expansion feeding ``LinearSVC``.
@@ -23,15 +23,21 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, RandomForestClassifier)
 from pyspark.ml.feature import PolynomialExpansion, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attrition.operators import boost
+
 MAX_DEPTH = 30
+#: Sums of split candidates that a pass over the rows may collect in a task.
+FOREST_MB = 1024
 
 
 def checked_depth(depth: int) -> int:
@@ -77,8 +83,9 @@ def forest(n_estimators: int = 100, max_depth: int = 10, min_samples_leaf: int =
            max_features: str = "sqrt", weight_col: str | None = None, label: str = "label",
            seed: int = 42) -> RandomForestClassifier:
     """M3."""
+    # deep trees: more nodes a pass, and rows that know their node
     est = RandomForestClassifier(numTrees=n_estimators, maxDepth=checked_depth(max_depth),
-                                 minInstancesPerNode=min_samples_leaf,
+                                 minInstancesPerNode=min_samples_leaf, maxMemoryInMB=FOREST_MB,
                                  featureSubsetStrategy=str(max_features), seed=seed, labelCol=label)
     if weight_col:
         est.setWeightCol(weight_col)
@@ -108,14 +115,19 @@ def boosting_xgb_style(n_estimators: int = 100, learning_rate: float = 0.1, max_
     return boosting(n_estimators, learning_rate, max_depth, 1, subsample, frac, weight_col, **kw)
 
 
-def boosting_leafwise_style(n_estimators: int = 100, learning_rate: float = 0.1, num_leaves: int = 31,
-                            min_child_samples: int = 20, subsample: float = 1.0,
-                            colsample_bytree: float = 1.0, weight_col: str | None = None, **kw) -> GBTClassifier:
-    """M6: leaf count → depth ceil(log2(num_leaves)); L1/L2 terms have no
-    counterpart in MLlib's trees."""
-    depth = max(1, math.ceil(math.log2(max(num_leaves, 2))))
-    frac = "all" if colsample_bytree >= 1.0 else str(colsample_bytree)
-    return boosting(n_estimators, learning_rate, depth, min_child_samples, subsample, frac, weight_col, **kw)
+def leafwise(n_estimators: int = 100, learning_rate: float = 0.1, num_leaves: int = 31, max_depth: int = 0,
+             min_child_samples: int = 20, min_child_weight: float = 1e-3, reg_alpha: float = 0.0, reg_lambda: float = 0.0,
+             subsample: float = 1.0, colsample_bytree: float = 1.0, seed: int = 42) -> boost.Boosting:
+    """M6: best-first trees with L1 and L2 terms (:mod:`boost`)."""
+    return boost.Boosting(n_estimators, learning_rate, num_leaves, max_depth, min_child_samples, min_child_weight, reg_alpha, reg_lambda,
+                          subsample, colsample_bytree, seed=seed)
+
+
+def levelwise(n_estimators: int = 100, learning_rate: float = 0.3, max_depth: int = 6, reg_alpha: float = 0.0, reg_lambda: float = 1.0,
+              min_child_weight: float = 1.0, subsample: float = 1.0, colsample_bytree: float = 1.0, seed: int = 42) -> boost.Boosting:
+    """M4, M5, M7 on numbers: all leaves of a level are split, L2 term ``reg_lambda``."""
+    return boost.Boosting.level_wise(max_depth, rounds=n_estimators, learning_rate=learning_rate, min_child_weight=min_child_weight, reg_alpha=reg_alpha,
+                                     reg_lambda=reg_lambda, subsample=subsample, colsample=colsample_bytree, seed=seed)
 
 
 def nominal_boosting_pipeline(numeric: list[str], nominal: list[str], n_estimators: int = 100,
@@ -174,6 +186,26 @@ def rff_stage(features: list[str], gamma: float, n_components: int = 100, seed:
         VectorAssembler(inputCols=[f"__rff{j}" for j in range(n_components)], outputCol=out)])
 
 
+def rff_vectors(df: DataFrame, features: list[str], scaling: dict[str, tuple[float, float]], gamma: float | None = None,
+                n_components: int = 100, seed: int = 42, out: str = "features") -> DataFrame:
+    """The columns of :func:`rff_stage` over standardised features as one vector column,
+    computed in Arrow batches: a hundred cosines of all features are too much for one
+    generated method."""
+    rng = random.Random(seed)
+    sd = math.sqrt(2.0 * (gamma if gamma else 1.0 / len(features)))
+    draws = [([rng.gauss(0.0, sd) for _ in features], rng.uniform(0.0, 2 * math.pi)) for _ in range(n_components)]
+    weights, shift = np.array([w for w, _ in draws]).T, np.array([b for _, b in draws])
+
+    @F.pandas_udf("array<double>")
+    def cosines(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(math.sqrt(2.0 / n_components) * np.cos(np.stack(x.to_list()) @ weights + shift)))
+
+    scaled = F.array(*[(F.col(f).cast("double") - scaling[f][0]) / scaling[f][1] for f in features])
+    return df.withColumn(out, array_to_vector(cosines(scaled)))
+
+
 def svc_pipeline(features: list[str], kernel: str = "rbf", C: float = 1.0, n: int = 1,
                  gamma: float | None = None, degree: int = 3, label: str = "label",
                  n_components: int = 100, seed: int = 42,

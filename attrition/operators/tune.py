@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attrition.functions.hashing import hash_uniform
-from attrition.operators import metrics
+from attrition.operators import boost, metrics
+from attrition.session import cut_lineage
 
 
 # --- F6 draws ---------------------------------------------------------------
@@ -132,6 +133,35 @@ def random_search(make_estimator: Callable[[dict], object], space: dict[str, Dra
     return table, {"trial": best_i, "params": params[best_i], "value": best_v, "threshold": best_t}
 
 
+def halving_search(make_estimator: Callable[[dict], object], space: dict[str, Draw], n_trials: int, train: DataFrame, valid: DataFrame, key, label: str,
+                   objective: Callable[[DataFrame], tuple[float, float]], resource: str = "n_estimators", keep: int = 3, rungs: int = 3,
+                   seed: int = 42, parallelism: int = 4) -> tuple[DataFrame, dict, object]:
+    """T2 by successive halving: all trials start with a share ``keep ** -(rungs - 1)`` of
+    their own ``resource`` (trees, rounds); on each rung the best ``1 / keep`` of them go on
+    with ``keep`` times as much, the last rung with all of it.  Returns the table (trial,
+    rung, resource, params, value, threshold), the winner and its fitted model: the best
+    trial of the last rung, the first on ties."""
+    from attrition.operators.models import score
+    params = trials(space, n_trials, seed)
+    alive, rows, best = list(range(n_trials)), [], None
+    for rung in range(rungs):
+        share = keep ** -(rungs - 1 - rung)
+
+        def run(i: int):
+            own = params[i] | {resource: max(1, round(params[i][resource] * share))}
+            model = make_estimator(own).fit(train)
+            return i, own, model, *objective(score(model, valid, key, label))
+
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            done = sorted(pool.map(run, alive), key=lambda r: (-r[3], r[0]))
+        rows += [(i, rung, int(own[resource]), {k: str(v) for k, v in params[i].items()}, value, thr) for i, own, _, value, thr in done]
+        best = done[0]
+        alive = sorted(r[0] for r in done[:max(1, math.ceil(len(done) / keep))])
+    table = train.sparkSession.createDataFrame(rows, "trial int, rung int, resource int, params map<string,string>, value double, threshold double")
+    i, own, model, value, thr = best
+    return table, {"trial": i, "params": own, "value": value, "threshold": thr}, model
+
+
 # --- T1 grid search with k-fold CV ----------------------------------------------
 
 def grid_search(pipeline, grid: dict, train: DataFrame, label: str = "label", fold_col: str = "fold",
@@ -204,10 +234,12 @@ def evaluate_row(pred: DataFrame, label: str, threshold: float = 0.5) -> dict:
 
 @dataclass(frozen=True)
 class Candidate:
-    """A model of the comparison: its settings, and a function from training and
-    test rows to scored test rows (key, label, ``p``, ``pred``)."""
+    """A model of the comparison: its settings, and a function from training rows and
+    rows to score to scored rows (key, label, ``p``, ``pred``).  ``predict_all`` does
+    the same for all fits at once, told apart by a column ``fit`` in rows and result."""
     params: dict
     predict: Callable[[DataFrame, DataFrame], DataFrame]
+    predict_all: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None
 
 
 def estimator(params: dict, make: Callable[[DataFrame], object], key, label: str) -> Candidate:
@@ -216,24 +248,75 @@ def estimator(params: dict, make: Callable[[DataFrame], object], key, label: str
     return Candidate(params, lambda tr, te: score(make(tr).fit(tr), te, key, label))
 
 
+def boosted(params: dict, p: boost.Boosting, features: list[str], key: str, label: str, weight: str | None = None) -> Candidate:
+    """Candidate of :mod:`boost`: all fits grow in the same passes."""
+    def all_fits(train: DataFrame, held: DataFrame, fits: int) -> DataFrame:
+        return boost.score_many(boost.fit_many(train, key, features, label, p, weight, "fit", fits), held, key, label, "fit")
+
+    def one(train: DataFrame, held: DataFrame) -> DataFrame:
+        return boost.score_many(boost.fit_many(train, key, features, label, p, weight), held, key, label)
+
+    return Candidate(params, one, all_fits)
+
+
+#: Training rows of a partition of the stored fits.
+FIT_ROWS = 1 << 16
+
+
+def all_fits(train: DataFrame, test: DataFrame, fold_col: str, folds: int, resample: Callable[[DataFrame], DataFrame] | None = None,
+             parallelism: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Training rows and rows to score of every fit, stored once: fit ``f`` trains on the
+    other folds and scores fold ``f``; fit ``folds`` trains on all rows and scores
+    ``test``.  ``resample`` sees the training rows of one fit only."""
+    def rows(f: int) -> DataFrame:
+        own = (train if f == folds else train.where(F.col(fold_col) != f)).drop(fold_col)
+        own = own if resample is None else resample(own)
+        own = own.withColumn("fit", F.lit(f))
+        return cut_lineage(own.repartition(max(1, own.count() // FIT_ROWS)))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        parts = list(pool.map(rows, range(folds + 1)))
+    trained = parts[0]
+    for more in parts[1:]:
+        trained = trained.unionByName(more)
+    columns = [c for c in test.columns if c in train.columns and c != fold_col]
+    held = train.select(*columns, F.col(fold_col).cast("int").alias("fit")).unionByName(test.select(*columns, F.lit(folds).alias("fit")))
+    return trained, cut_lineage(held.repartition(max(1, held.count() // FIT_ROWS)))
+
+
 def compare(candidates: dict[str, Candidate], train: DataFrame, test: DataFrame, label: str, fold_col: str = "fold",
-            folds: int = 5, threshold: float = 0.5, parallelism: int = 4) -> DataFrame:
+            folds: int = 5, threshold: float = 0.5, parallelism: int = 4, resample: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row per model with its settings, the mean and population std
-    of its cross-validated accuracy on the training rows, and all hold-out metrics.
-    Fits run concurrently."""
-    def accuracy(c: Candidate, f: int) -> float:
-        pred = c.predict(train.where(F.col(fold_col) != f), train.where(F.col(fold_col) == f))
-        return pred.agg(F.avg((F.col(label) == (F.col("p") >= threshold).cast("int")).cast("double"))).first()[0]
+    of its cross-validated accuracy, and all hold-out metrics.  Training rows of each
+    fit are resampled after the folds are made, so no synthetic row has a parent in
+    the fold that scores it.  Fits run concurrently, over tables stored once."""
+    fit_rows, held_rows = all_fits(train, test, fold_col, folds, resample, parallelism)
+
+    def accuracy(pred: DataFrame) -> dict[int, float]:
+        right = (F.col(label) == (F.col("p") >= threshold).cast("int")).cast("double")
+        return {r.fit: r.a for r in pred.groupBy("fit").agg(F.avg(right).alias("a")).collect()}
+
+    def one(c: Candidate, f: int):
+        pred = c.predict(fit_rows.where(F.col("fit") == f).drop("fit"), held_rows.where(F.col("fit") == f).drop("fit")).withColumn("fit", F.lit(f))
+        return accuracy(pred) if f < folds else evaluate_row(pred, label, threshold)
+
+    def every(c: Candidate):
+        pred = cut_lineage(c.predict_all(fit_rows, held_rows, folds + 1))
+        return [accuracy(pred.where(F.col("fit") < folds)), evaluate_row(pred.where(F.col("fit") == folds), label, threshold)]
 
+    # the longest first: a boosting fit is a chain of passes
+    order = sorted(candidates, key=lambda n: (candidates[n].predict_all is None, -int(candidates[n].params.get("n_estimators", 0)), n))
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        cv = {(n, f): pool.submit(accuracy, c, f) for n, c in candidates.items() for f in range(folds)}
-        held = {n: pool.submit(lambda c=c: evaluate_row(c.predict(train, test), label, threshold)) for n, c in candidates.items()}
+        jobs = {n: [pool.submit(every, candidates[n])] if candidates[n].predict_all else
+                [pool.submit(one, candidates[n], f) for f in range(folds + 1)] for n in order}
         rows = []
-        for n, c in sorted(candidates.items()):
-            scores = [x for f in range(folds) if (x := cv[n, f].result()) is not None]
+        for n in sorted(candidates):
+            got = jobs[n][0].result() if candidates[n].predict_all else [j.result() for j in jobs[n]]
+            by_fold = {f: a for part in got[:-1] for f, a in part.items()}
+            scores = [by_fold[f] for f in sorted(by_fold) if by_fold[f] is not None]
             mean = sum(scores) / len(scores) if scores else None
             std = math.sqrt(sum((x - mean) ** 2 for x in scores) / len(scores)) if scores else None
-            rows.append((n, {k: str(v) for k, v in c.params.items()}, mean, std, *[held[n].result()[m] for m in METRIC_COLS]))
+            rows.append((n, {k: str(v) for k, v in candidates[n].params.items()}, mean, std, *[got[-1][m] for m in METRIC_COLS]))
     return train.sparkSession.createDataFrame(
         rows, "model string, params map<string,string>, cv_mean double, cv_std double, tn bigint, fp bigint, fn bigint, tp bigint, "
         + ", ".join(f"{c} double" for c in METRIC_COLS[4:]))

@@ -1,10 +1,10 @@
 """The three end-to-end workflows, composed from the operators.
 
 1. model comparison: clean → encode → split → scale (train-fitted) →
-   SMOTE on train only → nine classifiers, each cross-validated and scored
-   on the hold-out;
+   folds → SMOTE on each fit's training rows only → nine classifiers, each
+   cross-validated and scored on the hold-out;
 2. ensemble: train / validation / unlabelled split → an encoded branch
-   (SMOTE, forest random search with a constrained threshold sweep) and a
+   (SMOTE, forest search by successive halving with a constrained threshold sweep) and a
    nominal branch (SMOTE-NC, nominal boosting with class weights) → the
    weight × threshold grid on validation → scoring of the unlabelled set;
 3. segmentation: importances → elbow → k-means → cluster profiles, for all
@@ -28,6 +28,9 @@ from attrition.session import cut_lineage
 from attrition.sources.views import churn_view
 
 
+#: The settings in the three budgets below are the workload's own.
+
+
 @dataclass(frozen=True)
 class ComparisonBudget:
     """Settings of the nine models, by the parameter names of :mod:`models`."""
@@ -40,9 +43,11 @@ class ComparisonBudget:
     boosting: dict = field(default_factory=lambda: {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3})
     xgb_style: dict = field(default_factory=lambda: {"n_estimators": 100, "learning_rate": 0.3, "max_depth": 6})
     leafwise_style: dict = field(default_factory=lambda: {
-        "n_estimators": 730, "learning_rate": 0.01435834368105083, "num_leaves": 9, "min_child_samples": 106,
-        "subsample": 0.841433063340509, "colsample_bytree": 0.9187535635349607})
-    weighted_style: dict = field(default_factory=lambda: {"n_estimators": 111, "learning_rate": 0.02678152407579277, "depth": 8})
+        "n_estimators": 730, "max_depth": 13, "learning_rate": 0.01435834368105083, "num_leaves": 9, "min_child_samples": 106,
+        "min_child_weight": 2.6604198671232178, "subsample": 0.841433063340509, "colsample_bytree": 0.9187535635349607,
+        "reg_alpha": 5.834179034203318, "reg_lambda": 1.4776579289686835})
+    weighted_style: dict = field(default_factory=lambda: {
+        "n_estimators": 111, "learning_rate": 0.02678152407579277, "max_depth": 8, "reg_lambda": 0.0008386712970316092})
     class_weights: dict = field(default_factory=lambda: {0: 0.35, 1: 0.65})
 
 
@@ -71,6 +76,13 @@ def _clean_churn(spark, sf_dir) -> DataFrame:
     return clean.dedup_keep_first(ch, FEATS + NOMINAL + ["exited"], "c_custkey").drop("c_name")
 
 
+def _by_rows(df: DataFrame) -> DataFrame:
+    """Stored once, in as many partitions as its rows need: each of the many passes of a
+    fit starts a task per partition."""
+    df = cut_lineage(df)
+    return cut_lineage(df.repartition(max(1, df.count() // tune.FIT_ROWS)))
+
+
 def comparison(spark, sf_dir, seed: int = 42, budget: ComparisonBudget | None = None) -> DataFrame:
     """One row per model: settings, cross-validated accuracy, hold-out metrics."""
     b = budget or ComparisonBudget()
@@ -81,13 +93,15 @@ def comparison(spark, sf_dir, seed: int = 42, budget: ComparisonBudget | None =
     # the segment's code is scaled to [0, 1] too, so that no code outweighs the measures
     codes = encode.fit_minmax(prep.transform(train), ["c_mktsegment"])
     feats = FEATS + ["c_mktsegment"] + oh
-    tr = codes.transform(prep.transform(train)).select("c_custkey", *feats, "exited")
+    tr = codes.transform(prep.transform(train)).select(F.col("c_custkey").cast("string").alias("row_key"), *feats, F.col("exited").alias("label"))
     te = codes.transform(prep.transform(test)).select(F.col("c_custkey").cast("string").alias("row_key"), *feats, F.col("exited").alias("label"))
-    tr = resample.smote(tr, "c_custkey", "exited", feats, k=5, seed=seed).select(
-        F.concat_ws("-", "c_custkey", "syn_idx").alias("row_key"), *feats, F.col("exited").alias("label"))
-    tr = split.kfold_hash(metrics.with_weights(tr, "label", b.class_weights, "weight"), "row_key", b.folds, seed)
-    tr, te = cut_lineage(tr), cut_lineage(te)
-    n = tr.count()
+    tr = cut_lineage(split.kfold_hash(tr, "row_key", b.folds, seed))
+
+    def oversampled(rows: DataFrame) -> DataFrame:
+        """Of one fit's training rows: the folds are made before, as in :func:`tune.cv_scores`."""
+        made = resample.smote(rows.select("row_key", *feats, "label"), "row_key", "label", feats, k=5, seed=seed)
+        made = made.select(F.concat_ws("-", "row_key", "syn_idx").alias("row_key"), *feats, "label")
+        return metrics.with_weights(made, "label", b.class_weights, "weight")
 
     def candidate(params: dict, make) -> tune.Candidate:
         return tune.estimator(params, make, "row_key", "label")
@@ -95,23 +109,29 @@ def comparison(spark, sf_dir, seed: int = 42, budget: ComparisonBudget | None =
     def simple(params: dict, build) -> tune.Candidate:
         return candidate(params, lambda rows: models.pipeline(feats, build(**params)))
 
+    def grown(params: dict, build, weight: str | None = None) -> tune.Candidate:
+        return tune.boosted(params, build(**params), feats, "row_key", "label", weight)
+
     def nearest(rows: DataFrame, held: DataFrame) -> DataFrame:
         p = neighbors.knn_classify(rows, held, "row_key", "label", feats, **b.knn)
         return held.select("row_key", "label").join(p, "row_key")
 
+    def kernel_machine(rows: DataFrame, held: DataFrame) -> DataFrame:
+        constants = models.standard_constants(rows, feats)
+        mapped = [cut_lineage(models.rff_vectors(x, feats, constants, n_components=b.svm["n_components"])) for x in (rows, held)]
+        return models.score(models.linear_svc(b.svm["C"], mapped[0].count()).fit(mapped[0]), mapped[1], "row_key", "label")
+
     return tune.compare({
-        "logistic": simple(b.logistic, lambda **o: models.logistic(n=n, **o)),
+        "logistic": candidate(b.logistic, lambda rows: models.pipeline(feats, models.logistic(n=rows.count(), **b.logistic))),
         "tree": simple(b.tree, models.tree),
         "forest": simple(b.forest, models.forest),
         "knn": tune.Candidate(b.knn, nearest),
-        "svm": candidate(b.svm, lambda rows: models.svc_pipeline(
-            feats, "rbf", n=n, scaling=models.standard_constants(rows, feats), **b.svm)),
-        "boosting": simple(b.boosting, models.boosting),
-        "xgb_style": simple(b.xgb_style, models.boosting_xgb_style),
-        "leafwise_style": simple(b.leafwise_style, models.boosting_leafwise_style),
-        "weighted_style": candidate(b.weighted_style, lambda rows: models.nominal_boosting_pipeline(
-            feats, [], weight_col="weight", **b.weighted_style)),
-    }, tr, te, "label", folds=b.folds)
+        "svm": tune.Candidate(b.svm, kernel_machine),
+        "boosting": grown(b.boosting, lambda **o: models.levelwise(reg_lambda=0.0, min_child_weight=0.0, **o)),
+        "xgb_style": grown(b.xgb_style, models.levelwise),
+        "leafwise_style": grown(b.leafwise_style, models.leafwise),
+        "weighted_style": grown(b.weighted_style, models.levelwise, "weight"),
+    }, tr, te, "label", folds=b.folds, resample=oversampled)
 
 
 def ensemble(spark, sf_dir, seed: int = 42, budget: EnsembleBudget | None = None) -> DataFrame:
@@ -133,8 +153,8 @@ def ensemble(spark, sf_dir, seed: int = 42, budget: EnsembleBudget | None = None
     feats = FEATS + NOMINAL
     tr_a = resample.smote(encoded(train).select("c_custkey", *feats, "exited"), "c_custkey", "exited",
                           feats, k=5, seed=seed).withColumn("label", F.col("exited"))
-    tr_a = cut_lineage(metrics.with_weights(tr_a, "label", "balanced", "weight"))
-    va_a = encoded(valid).withColumn("label", F.col("exited"))
+    tr_a = _by_rows(metrics.with_weights(tr_a, "label", "balanced", "weight"))
+    va_a = _by_rows(encoded(valid).withColumn("label", F.col("exited")))
     space = {"n_estimators": tune.Draw("int", *b.n_estimators), "max_depth": tune.Draw("int", *b.max_depth),
              "min_samples_leaf": tune.Draw("int", 1, 10),
              "max_features": tune.Draw("categorical", choices=("sqrt", "log2"))}
@@ -142,16 +162,15 @@ def ensemble(spark, sf_dir, seed: int = 42, budget: EnsembleBudget | None = None
     def make(p):
         return models.pipeline(feats, models.forest(p["n_estimators"], p["max_depth"], p["min_samples_leaf"],
                                                     p["max_features"], weight_col="weight"))
-    _, best = tune.random_search(make, space, b.trials, tr_a, va_a, "c_custkey", "label",
-                                 tune.sweep_objective("f1", min_precision=0.5, min_recall=0.8), seed=seed)
-    rf = make(best["params"]).fit(tr_a)
+    _, _, rf = tune.halving_search(make, space, b.trials, tr_a, va_a, "c_custkey", "label",
+                                   tune.sweep_objective("f1", min_precision=0.5, min_recall=0.8), seed=seed, parallelism=8)
 
     # branch B: raw nominal columns, SMOTE-NC, nominal boosting with class weights
     scale = prep.scaler.transform            # the same train-fitted min-max constants
     tr_b = resample.smote(scale(train.select("c_custkey", *FEATS, *NOMINAL, "exited")),
                           "c_custkey", "exited", FEATS, k=5, seed=seed, nominal=NOMINAL)
-    tr_b = cut_lineage(metrics.with_weights(tr_b.withColumn("label", F.col("exited")), "label",
-                                            {0: 0.32, 1: 0.68}, "weight"))
+    tr_b = _by_rows(metrics.with_weights(tr_b.withColumn("label", F.col("exited")), "label",
+                                         {0: 0.32, 1: 0.68}, "weight"))
     gb = models.nominal_boosting_pipeline(FEATS, NOMINAL, weight_col="weight", max_levels=models.most_levels(tr_b, NOMINAL),
                                           **b.boosting).fit(tr_b)
 

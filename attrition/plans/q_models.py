@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attrition.functions.hashing import duckdb_uniform, hash_uniform
-from attrition.operators import encode, explain, metrics, models, neighbors, resample, split, tune
+from attrition.operators import boost, encode, explain, metrics, models, neighbors, resample, split, tune
 from attrition.plans.pipelines import ComparisonBudget, EnsembleBudget, SegmentationBudget
 from attrition.plans.q_neighbors import FEAT_SQL, FEATS, features
 from attrition.plans.registry import query
@@ -137,7 +137,11 @@ def _fit_eval(spark, sf_dir, name: str, make, weighted: dict | str | None = None
     if weighted is not None:
         tr = metrics.with_weights(tr, "label", weighted, "weight")
     model = make(tr.count(), tr).fit(tr)
-    r = tune.evaluate_row(models.score(model, te, "doc_id", "label"), "label", 0.5)
+    return _report(spark, name, models.score(model, te, "doc_id", "label"))
+
+
+def _report(spark, name: str, pred):
+    r = tune.evaluate_row(pred, "label", 0.5)
     cols = tune.METRIC_COLS
     schema = "model string, tn bigint, fp bigint, fn bigint, tp bigint, " + \
         ", ".join(f"{c} double" for c in cols[4:])
@@ -184,9 +188,9 @@ def fit_gbt_weighted(spark, sf_dir):
 
 @query("fit_gbt_leafwise", ops="M6")
 def fit_gbt_leafwise(spark, sf_dir):
-    return _fit_eval(spark, sf_dir, "gbt_leafwise_style",
-                     lambda n, tr: models.pipeline(DOC_FEATS, models.boosting_leafwise_style(
-                         **COMPARISON.leafwise_style)))
+    tr, te = _doc_split(spark, sf_dir)
+    models_ = boost.fit_many(tr, "doc_id", DOC_FEATS, "label", models.leafwise(**COMPARISON.leafwise_style))
+    return _report(spark, "gbt_leafwise_style", boost.score_many(models_, te, "doc_id", "label"))
 
 
 @query("fit_gbt_nominal", ops="M7 P7")
@@ -297,8 +301,8 @@ def _board(tr):
         "svm": lambda: models.svc_pipeline(DOC_FEATS, "rbf", n=n, scaling=models.standard_constants(tr, DOC_FEATS), **b.svm),
         "gbt": lambda: models.pipeline(DOC_FEATS, models.boosting(**b.boosting)),
         "gbt_xgb_style": lambda: models.pipeline(DOC_FEATS, models.boosting_xgb_style(**b.xgb_style)),
-        "gbt_leafwise_style": lambda: models.pipeline(DOC_FEATS, models.boosting_leafwise_style(**b.leafwise_style)),
-        "gbt_weighted_style": lambda: models.nominal_boosting_pipeline(DOC_FEATS, [], weight_col="weight", **b.weighted_style),
+        "gbt_leafwise_style": lambda: tune.boosted(b.leafwise_style, models.leafwise(**b.leafwise_style), DOC_FEATS, "doc_id", "label"),
+        "gbt_weighted_style": lambda: tune.boosted(b.weighted_style, models.levelwise(**b.weighted_style), DOC_FEATS, "doc_id", "label", "weight"),
     }
 
 

@@ -8,12 +8,15 @@ code runs in tests on ``local[*]`` and on a cluster.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPING = threading.Lock()
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -80,6 +83,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         df.unpersist()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package where they would not find it: not
+    installed and not on the search path that executors inherit.  Spark's own
+    file server hands it out, once per application."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    on_path = root in map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))
+    sc = spark.sparkContext
+    with _SHIPPING:                   # fits run in threads
+        if on_path or "site-packages" in root or any("attrition_package" in f for f in sc.listFiles):
+            return
+        folder = tempfile.mkdtemp(prefix="attrition-ship-")
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, "attrition_package"), "zip", root, "attrition"))
+
+
 def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A unique path under the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark)

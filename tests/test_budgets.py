@@ -2,7 +2,7 @@
 
 import pytest
 
-from attrition.operators import tune
+from attrition.operators import models, tune
 from attrition.plans import pipelines, q_models
 
 
@@ -31,12 +31,18 @@ def _built(monkeypatch, name):
     return made[0]
 
 
-@pytest.mark.parametrize(("name", "rounds", "depth"), [("fit_gbt", 100, 3), ("fit_gbt_weighted", 100, 6), ("fit_gbt_leafwise", 730, 4)])
+@pytest.mark.parametrize(("name", "rounds", "depth"), [("fit_gbt", 100, 3), ("fit_gbt_weighted", 100, 6)])
 def test_boosting_queries_have_the_workloads_rounds(spark, monkeypatch, name, rounds, depth):
     est = _built(monkeypatch, name)(1, None).getStages()[-1]
     assert (est.getMaxIter(), est.getMaxDepth()) == (rounds, depth)
 
 
+def test_leafwise_model_has_the_workloads_settings():
+    p = models.leafwise(**pipelines.ComparisonBudget().leafwise_style)
+    assert (p.rounds, p.num_leaves, p.max_depth, p.min_child_samples) == (730, 9, 13, 106)
+    assert round(p.reg_alpha, 3) == 5.834 and round(p.reg_lambda, 3) == 1.478
+
+
 def test_forest_query_has_the_workloads_trees(spark, monkeypatch):
     est = _built(monkeypatch, "fit_forest")(1, None).getStages()[-1]
     assert (est.getNumTrees(), est.getMaxDepth()) == (100, 20)
