@@ -8,16 +8,18 @@ own, blank lines around paragraphs and headings, list markers with indentation,
 preformatted text as it stands, table cells aligned in columns.
 
 Invisible are: head matter, scripts, styles, templates, fallback content of
-embedded media, ``hidden`` elements, closed dialogs, all but the summary of closed
-details, inline styles ``display:none`` and ``visibility:hidden``, and elements
-that a one-part selector (tag, .class, #id) of the page's own style sheets ``display:none``.
+embedded media, all but the summary of closed details, and what the page's own
+styles (``page_styles``) hide: ``display:none`` with all it holds, ``visibility``
+hidden or collapse until an element inside is visible again.  ``hidden`` elements
+and closed dialogs are not displayed unless the page's styles display them.
+Of form fields the value is text, save those of passwords, ticks, sliders,
+colours, files and pictures.
 
 Formulas (math) are inline text, without their annotations.  Of inline pictures
 (svg) the labels (``text``) and HTML inside ``foreignObject`` are shown where the
 picture stands; titles, descriptions and definitions are not, nor text that only
 a ``use`` element repeats from them.
 
-Both passes
 Both passes use explicit stacks of at most ``MAX_DEPTH``; time and memory are
 linear in the page (table padding is bounded by ``MAX_PAD`` per cell).
 
@@ -37,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attrition.llm.common import arrow_map
+from attrition.llm.page_styles import Styles
 
 #: Cells wider than this start the next cell without padding.
 MAX_PAD = 60
@@ -51,6 +54,8 @@ INVISIBLE = frozenset("head script style template noscript title meta link base
 #: Inside an svg, text shows within the first only, and nothing of the second shows.
 SVG_SHOWN = frozenset("text foreignobject".split())
 SVG_UNSHOWN = frozenset("desc defs metadata symbol clippath mask marker pattern".split())
+#: Input elements whose value is not text on the page.
+VALUE_UNSHOWN = frozenset("hidden password checkbox radio file image color range".split())
 MATH_UNSHOWN = frozenset("annotation annotation-xml mphantom".split())
 #: Parts that browsers draw apart.
 SPACED = frozenset("text mtr mtd".split())
@@ -84,10 +89,6 @@ _TOKEN = re.compile(r"<!--(?:>|->)|<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)"
                     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>|</[^A-Za-z>][^>]*>", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
-_ONE_PART = re.compile(r"[.#]?[A-Za-z_][\w-]*\Z")
-_COMMENT = re.compile(r"/\*.*?\*/", re.S)
 
 
 class Node:
@@ -211,34 +212,36 @@ def build_tree(html: str) -> Node:
     return root
 
 
-def hidden_selectors(root: Node) -> frozenset[str]:
-    """One-part selectors that the page's style sheets hide."""
-    out: set[str] = set()
+def read_styles(root: Node) -> Styles:
+    """The page's style sheets, in order."""
+    styles = Styles()
     stack: list[Node] = [root]
     while stack:
         node = stack.pop()
         if node.name == "style":
-            for m in _RULE.finditer(_COMMENT.sub("", "".join(x for x in node.children if isinstance(x, str)))):
-                if re.search(r"(?:^|;)\s*display\s*:\s*none\b", m[2], re.I):
-                    out.update(s for s in map(str.strip, m[1].split(",")) if _ONE_PART.match(s))
+            styles.add_sheet("".join(x for x in node.children if isinstance(x, str)), node.attributes().get("media", ""))
         else:
-            stack += [x for x in node.children if isinstance(x, Node)]
-    return frozenset(out)
+            stack += [x for x in reversed(node.children) if isinstance(x, Node)]
+    return styles
 
 
-def visible(node: Node, parent: Node | None, hidden: frozenset[str]) -> bool:
+def displayed(node: Node, parent: Node | None, styles: Styles, drawn: bool, seen: bool) -> tuple[bool, bool]:
+    """(whether an element is displayed, whether its own text is visible); ``seen``:
+    whether its parent's is."""
     if node.name in INVISIBLE:
-        return False
-    if hidden and node.name in hidden:
-        return False
+        return False, False
     if parent is not None and parent.name == "details" and node.name != "summary" and "open" not in parent.attributes():
-        return False
-    if not node.attrs:
-        return node.name != "dialog"
-    a = node.attributes()
-    if "hidden" in a or node.name == "dialog" and "open" not in a or _HIDING.search(a.get("style", "")):
-        return False
-    return not hidden or "#" + a.get("id", "") not in hidden and hidden.isdisjoint("." + c for c in a.get("class", "").split())
+        return False, False
+    if not node.attrs and not styles.rules:
+        return node.name != "dialog", seen
+    a = node.attributes() if node.attrs else {}
+    said = styles.of(node.name, a)
+    if drawn:
+        said = {k: a[k].strip().lower() for k in ("display", "visibility") if k in a} | said
+    away = "hidden" in a or node.name == "dialog" and "open" not in a
+    shown = said.get("display", "none" if away else "") != "none"
+    visibility = said.get("visibility", "inherit")
+    return shown, seen if visibility in ("inherit", "unset", "revert") else visibility not in ("hidden", "collapse")
 
 
 class Lines:
@@ -366,10 +369,11 @@ def render(html: str | None) -> str:
     if not html:
         return ""
     root = build_tree(html)
-    hidden = hidden_selectors(root)
+    styles = read_styles(root)
     page = Lines()
     outs, tables, lists = [page], [], []
     pre = formulas = 0
+    seen = [True]  # for each open element, whether its text is visible
     drawn: list[bool] = []  # for each open svg, and part of one that shows text: whether it does
     # (node, parent, leaving)
     work: list[tuple[Node | str, Node | None, bool]] = [(root, None, False)]
@@ -379,29 +383,31 @@ def render(html: str | None) -> str:
         if isinstance(node, str):
             if parent.name == "details" and "open" not in parent.attributes():
                 continue
-            if drawn and not drawn[-1]:
+            if drawn and not drawn[-1] or not seen[-1]:
                 continue
             out.text(unescape(node) if "&" in node and parent.name not in ("xmp",) else node, bool(pre))
             continue
         name = node.name
         if not leaving:
-            if not visible(node, parent, hidden):
+            shown, visible = displayed(node, parent, styles, bool(drawn) or name == "svg", seen[-1])
+            if not shown:
                 continue
             if drawn and name in SVG_UNSHOWN or formulas and name in MATH_UNSHOWN:
                 continue
-            if (drawn or name == "svg") and node.attrs:
-                a = node.attributes()
-                if a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse"):
-                    continue
             if name == "br":
                 out.need(1, force=True)
                 continue
             if name == "hr":
                 out.need(1)
                 continue
+            if name == "input" and visible and node.attrs:
+                a = node.attributes()
+                if a.get("type", "").strip().lower() not in VALUE_UNSHOWN:
+                    out.text(a.get("value", ""), False)
             if name in VOID:
                 continue
             work.append((node, parent, True))
+            seen.append(visible)
             if name == "svg" or drawn and name in SVG_SHOWN:
                 drawn.append(name != "svg")
             formulas += name == "math"
@@ -425,10 +431,10 @@ def render(html: str | None) -> str:
                 lists.append([name, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
             elif name == "li":
                 if lists and lists[-1][0] == "ol":
-                    out.mark(f"{lists[-1][1]}. ")
+                    out.mark(f"{lists[-1][1]}. " if visible else "")
                     lists[-1][1] += 1
                 else:
-                    out.mark("- ")
+                    out.mark("- " if visible else "")
             elif name == "dd":
                 out.need(1)
                 out.indent.append("  ")
@@ -441,6 +447,7 @@ def render(html: str | None) -> str:
                 children = [x for x in children if isinstance(x, Node)][:1]
             work += [(child, node, False) for child in reversed(children)]
             continue
+        seen.pop()
         if (drawn or formulas) and name in SPACED:
             out.text(" ", False)
         formulas -= name == "math"
