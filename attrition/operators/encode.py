@@ -8,13 +8,16 @@ so a fitted pipeline can be persisted and applied to new or streaming data.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, StringIndexer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attrition.functions.hashing import hash_uniform
+
 MAX_LEVELS = 10_000
 
 
@@ -154,3 +157,46 @@ def fit_prep(train: DataFrame, label_cols: list[str] = (), one_hot_cols: list[st
     if scale_cols:
         scaler = (fit_minmax if scale == "minmax" else fit_standard)(train, list(scale_cols))
     return Prep(label_model, list(label_cols), ohs, scaler)
+
+
+ROWS_PER_BUCKET = 1_000_000
+
+
+def ordered_target_stats(df: DataFrame, key, label: str, nominal: list[str], prior_weight: float = 1.0, seed: int = 42,
+                         buckets: int | None = None) -> DataFrame:
+    """M7: each nominal column ``c`` gets ``c__ts``, the mean label of the rows of its
+    level that come before it in a hash order of the keys, drawn to the overall mean
+    ``p``: (Σ labels before + prior_weight · p) / (rows before + prior_weight).  No row
+    sees its own label.
+
+    The order is cut into buckets of about ``ROWS_PER_BUCKET`` rows.  Sums before a row
+    are those of the level's earlier buckets (one row per level and bucket) and a window
+    inside (level, bucket), so a level that holds a third of all rows is no hot group.
+    A null is a level of its own; a null label counts neither as a row nor in the sums."""
+    keys = [key] if isinstance(key, str) else list(key)
+    if buckets is None:
+        buckets = max(1, math.ceil(df.count() / ROWS_PER_BUCKET))
+    prior = df.agg(F.avg(F.col(label).cast("double"))).first()[0]
+    out = df.withColumn("__u", hash_uniform(seed, *keys, F.lit("order"))).withColumn("__b", F.floor(F.col("__u") * buckets))
+    y = F.coalesce(F.col(label).cast("double"), F.lit(0.0))
+    one = F.col(label).isNotNull().cast("long")
+    for c in nominal:
+        earlier = Window.partitionBy(c).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        zero = F.lit(0)
+        totals = (out.groupBy(c, "__b").agg(F.sum(y).alias("__s"), F.sum(one).alias("__n"))
+                  .select(F.col(c).alias("__level"), F.col("__b").alias("__bucket"), F.coalesce(F.sum("__s").over(earlier), zero).alias("__s0"),
+                          F.coalesce(F.sum("__n").over(earlier), zero).alias("__n0")))
+        within = Window.partitionBy(c, "__b").orderBy("__u", *keys).rowsBetween(Window.unboundedPreceding, -1)
+        inside = out.withColumn("__s1", F.coalesce(F.sum(y).over(within), zero)).withColumn("__n1", F.coalesce(F.sum(one).over(within), zero))
+        both = inside.join(totals, F.col(c).eqNullSafe(F.col("__level")) & (F.col("__b") == F.col("__bucket")))
+        value = (F.col("__s0") + F.col("__s1") + F.lit(prior_weight) * F.lit(prior)) / (F.col("__n0") + F.col("__n1") + F.lit(prior_weight))
+        out = both.withColumn(f"{c}__ts", value).drop("__s0", "__n0", "__s1", "__n1", "__level", "__bucket")
+    return out.drop("__u", "__b")
+
+
+def target_stats(df: DataFrame, label: str, nominal: str, prior_weight: float = 1.0) -> DataFrame:
+    """(level, stat) over all training rows: what rows to be scored are encoded by.  A
+    level that training never saw is the overall mean, the caller's ``coalesce``."""
+    prior = df.agg(F.avg(F.col(label).cast("double"))).first()[0]
+    return df.groupBy(nominal).agg(((F.sum(F.col(label).cast("double")) + F.lit(prior_weight) * F.lit(prior))
+                                    / (F.count(label) + F.lit(prior_weight))).alias(f"{nominal}__ts"))

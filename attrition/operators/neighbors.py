@@ -195,8 +195,9 @@ class _Grid:
 
 def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, features: list[str], k: int,
         metric: str = "euclidean", nominal: list[str] = (), nominal_penalty: float = 0.0,
-        self_join: bool = False, grid_dims: int = 4, per_cell: int = 2) -> DataFrame:
-    """k nearest reference rows for every query row.
+        self_join: bool = False, grid_dims: int = 4, per_cell: int = 2, within: list[str] = ()) -> DataFrame:
+    """k nearest reference rows for every query row, among those that agree with it in
+    the (non-null) columns ``within``.
 
     Returns ``qkey, rank (1..k), nkey, dist`` where ``dist`` is the metric
     distance (euclidean: square root of the ranked squared distance).
@@ -205,17 +206,18 @@ def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, features: list[s
     """
     spark = query.sparkSession
     nominal = list(nominal)
-    cols = list(features) + nominal
+    within = list(within)
+    cols = list(features) + nominal + within
     kk = k + 1 if self_join else k
     # the query rows are read once (they are needed again to expand the result)
     qrows = cut_lineage(query.select(F.col(qkey).alias("__qid"),
                                      *[F.col(c).cast("double").alias(c) for c in features],
-                                     *[F.col(c) for c in nominal]))
+                                     *[F.col(c) for c in nominal + within]))
     if self_join:
         refs = qrows.withColumnRenamed("__qid", "__id")
     else:
         refs = ref.select(F.col(rkey).alias("__id"), *[F.col(c).cast("double").alias(c) for c in features],
-                          *[F.col(c) for c in nominal])
+                          *[F.col(c) for c in nominal + within])
     dv = cut_lineage(_compress(refs, "__id", cols, k + 1))
     stats = dv.agg(F.count(F.lit(1)).alias("__n"),
                    *[F.approx_count_distinct(f).alias(f) for f in features]).first()
@@ -229,8 +231,8 @@ def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, features: list[s
         # first among vectors that agree in every column of few values: whatever
         # differs there is at least ``step`` away
         step = min([_least_step(dv, f, metric) for f in few] + ([nominal_penalty] if nominal else []))
-        combos = dv.agg(F.approx_count_distinct(F.struct(*few, *nominal))).first()[0] or 1
-        own = _Grid(dv, qv, [f for f in features if f not in few], cols, stats, n_dv / combos, grid_dims, per_cell, [*few, *nominal])
+        combos = dv.agg(F.approx_count_distinct(F.struct(*few, *nominal, *within))).first()[0] or 1
+        own = _Grid(dv, qv, [f for f in features if f not in few], cols, stats, n_dv / combos, grid_dims, per_cell, [*few, *nominal, *within])
         seed = own.rings(kk, dist)
         near = (seed.groupBy("qvid").agg(F.count(F.lit(1)).alias("__n"), F.max("__rank").alias("__worst"))
                 .where((F.col("__n") == kk) & (F.col("__worst") < step)).select("qvid"))
@@ -238,7 +240,8 @@ def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, features: list[s
         found.append(own.boxes(seed.join(near, "qvid", "left_semi"), kk, dist, metric))
         left = cut_lineage(qv.join(near, "qvid", "left_anti"))
     if not left.isEmpty():
-        grid = _Grid(dv, left, features, cols, stats, n_dv, grid_dims, per_cell, [])
+        parts = (dv.agg(F.approx_count_distinct(F.struct(*within))).first()[0] or 1) if within else 1
+        grid = _Grid(dv, left, features, cols, stats, n_dv / parts, grid_dims, per_cell, within)
         found.append(grid.boxes(grid.rings(kk, dist), kk, dist, metric))
     vec_nn = found[0]
     for more in found[1:]:

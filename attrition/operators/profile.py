@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attrition.functions.hashing import TWO_32, hash_text
 from attrition.operators.quantiles import exact_percentiles, grouped_percentiles
 
 
@@ -191,6 +192,36 @@ def group_mean_ci(df: DataFrame, group: str, col: str, z: float = 1.96) -> DataF
                     (F.col("mean") + half).alias("ci_hi"))
 
 
+#: Poisson(1): the chance of at most 0, 1, 2, … draws (beyond the last: one more).
+POISSON_CDF = [sum(math.exp(-1) / math.factorial(i) for i in range(n + 1)) for n in range(13)]
+
+
+def bootstrap_mean_ci(df: DataFrame, key: str, group: str, col: str, n_boot: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """Group mean with a percentile bootstrap interval.
+
+    Replicate ``r`` takes a row Poisson(1) times; the count is read from the hash of
+    (seed, key, r), four replicates a hash.  A replicate's sums add up map-side, so
+    one pass makes all replicates: groups × ``n_boot`` rows are shuffled, whatever the
+    size of the table.  Null values are left out; a replicate that takes no row of a
+    group has no mean there."""
+    quads = (n_boot + 3) // 4
+    rows = df.select(F.col(key).alias("__key"), F.col(group).alias("__group"), F.col(col).cast("double").alias("__x")).where(F.col("__x").isNotNull())
+    hashed = (rows.withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(quads - 1))))
+              .withColumn("__h", F.md5(hash_text(seed, "__key", "__q"))))
+    draws = F.array(*[F.conv(F.substring("__h", 8 * i + 1, 8), 16, 10).cast("bigint") / F.lit(TWO_32) for i in range(4)])
+    each = hashed.select("__group", "__x", "__q", F.posexplode(draws).alias("__i", "__u"))
+    times = sum([(F.col("__u") >= F.lit(c)).cast("int") for c in POISSON_CDF[1:]], (F.col("__u") >= F.lit(POISSON_CDF[0])).cast("int"))
+    sums = (each.select("__group", "__x", (F.col("__q") * 4 + F.col("__i")).alias("__r"), times.alias("__t"))
+            .where((F.col("__r") < n_boot) & (F.col("__t") > 0))
+            .groupBy("__group", "__r").agg((F.sum(F.col("__t") * F.col("__x")) / F.sum("__t")).alias("__mean")))
+    ends = sums.groupBy("__group").agg(*[F.percentile("__mean", F.lit(p)).alias(n)
+                                         for n, p in (("ci_lo", (1 - level) / 2), ("ci_hi", (1 + level) / 2))],
+                                       F.count(F.lit(1)).alias("n_boot"))
+    means = rows.groupBy("__group").agg(F.avg("__x").alias("mean"), F.count(F.lit(1)).alias("n"))
+    return (means.join(ends.withColumnRenamed("__group", "__g"), F.col("__group").eqNullSafe(F.col("__g")), "left")
+            .select(F.col("__group").alias(group), "mean", "n", "ci_lo", "ci_hi", "n_boot"))
+
+
 def pair_bins(df: DataFrame, cols: list[str], bins: int = 10, hue: str | None = None) -> DataFrame:
     """2-D equal-width bin counts for every pair of columns (optionally
     per hue value): the data behind a scatter-matrix, with bounded size."""

@@ -3,17 +3,22 @@ W2, W3, J5, A7–A9, G1)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attrition.functions.hashing import hash_uniform
 from attrition.session import cut_lineage
 
 MAX_CENTRES = 10_000
+SUM_TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
 
 
 def assign_nearest(df: DataFrame, features: list[str], centres: list[list[float]],
@@ -68,6 +73,55 @@ def elbow_curve(df: DataFrame, features: list[str], k_max: int = 10, seed: int =
     return df.sparkSession.createDataFrame(rows, "k int, sse double")
 
 
+def kmeans_all_k(df: DataFrame, key, features: list[str], k_max: int = 10, seed: int = 42, max_iter: int = 300) -> tuple[DataFrame, dict[int, list[list[float]]]]:
+    """M10 + V12: k-means for every k = 1..k_max at once.
+
+    The first centres of k are the k rows with the smallest hash of the key (the same
+    rows for all k).  One scan per iteration moves the centres of all k; a task sends
+    at most k_max · (k_max + 1) / 2 rows of sums.  A centre without rows stays where it is.  Ends when no centre
+    moves.  Rows with a null feature are left out.  Returns (k, sse) and the centres."""
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = cut_lineage(df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features]).na.drop(subset=features))
+    first = [[r[f] for f in features] for r in rows.orderBy(hash_uniform(seed, *keys), *keys).limit(k_max).collect()]
+    ks = range(1, min(k_max, len(first)) + 1)
+    if not first:
+        return df.sparkSession.createDataFrame([], "k int, sse double"), {}
+    centres = {k: np.array(first[:k]) for k in ks}
+    for _ in range(max_iter):
+        moved = False
+        for r in _centre_sums(rows, features, centres).collect():
+            new = np.array(r["sums"]) / r["n"]
+            # the order in which tasks' sums arrive may change the last bits
+            moved = moved or not np.allclose(new, centres[r["k"]][r["i"]], rtol=1e-12, atol=0.0)
+            centres[r["k"]][r["i"]] = new
+        if not moved:
+            break
+    sse = _centre_sums(rows, features, centres).groupBy("k").agg(F.sum("sse").alias("sse"))
+    return sse, {k: c.tolist() for k, c in centres.items()}
+
+
+def _centre_sums(rows: DataFrame, features: list[str], centres: dict[int, np.ndarray]) -> DataFrame:
+    """(k, i, n, sse, sums) of the rows nearest to centre i of k, the lowest index on
+    ties.  Each task adds up its own rows first."""
+    sum_types = SUM_TYPES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {k: np.zeros((len(c), 2 + len(features))) for k, c in centres.items()}
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            for k, c in centres.items():
+                d2 = sum((x[:, f, None] - c[None, :, f]) ** 2 for f in range(x.shape[1]))
+                near = d2.argmin(axis=1)
+                for n, values in enumerate([None, d2[np.arange(len(x)), near], *x.T]):
+                    totals[k][:, n] += np.bincount(near, values, minlength=len(c))
+        flat = [(k, i, int(t[0]), float(t[1]), t[2:].tolist()) for k, table in totals.items() for i, t in enumerate(table) if t[0]]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*flat, strict=True) if flat else [()] * 5, sum_types, strict=True)], names=["k", "i", "n", "sse", "sums"])
+
+    made = rows.select(*features).mapInArrow(run, "k int, i int, n bigint, sse double, sums array<double>")
+    sums = [F.sum(F.col("sums")[f]) for f in range(len(features))]
+    return made.groupBy("k", "i").agg(F.sum("n").alias("n"), F.sum("sse").alias("sse"), F.array(*sums).alias("sums"))
+
+
 def choose_k(curve: DataFrame) -> DataFrame:
     """W2 + W3 over a (k, sse) curve.
 
