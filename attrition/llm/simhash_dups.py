@@ -5,13 +5,14 @@ its word shingles.  Two fingerprints at ``MAX_BITS`` = 2 or fewer differing
 bits share at least 6 of their 8 positional bytes (position, value).
 
 A posting list of one positional byte holds 1/256 of all fingerprints, and its
-pairs grow with the square of the corpus.  The index therefore posts the
-intersections that the guarantee allows: the bytes form four pairs, two
-differing bits touch at most two pairs, so the two untouched pairs (six ways to
-choose them, four positional bytes each) are equal and the documents meet in
-that posting.  For each pair met there, the shared positional bytes of the whole
-fingerprint are tallied, pairs that reach the minimum of 6 are kept, and the
-differing bits are counted.
+pairs grow with the square of the corpus.  The index therefore posts four
+positional bytes at a time: the 14 sets of four positions whose numbers XOR to
+zero (a Steiner system: any three positions lie in exactly one set).  A pair is
+tallied by aggregation over the postings it meets in.  Two fingerprints that
+differ in at most two bytes meet in at least 3 postings; with three differing bytes
+it is exactly one, with four at most one, beyond that none.  So the tally alone
+tells 6 or more shared bytes from fewer: pairs that reach the minimum of 3 are
+kept, and their differing bits are counted.
 
 Postings of more than ``MAX_POSTING`` fingerprints (groups of near copies) emit
 no pairs.  Each fingerprint of such a posting emits itself and its 64 one-bit
@@ -45,6 +46,8 @@ MAX_BITS = 2
 SEED = 42
 #: Larger postings are linked through one-bit variants, which is just as exact.
 MAX_POSTING = 32
+#: The positions of the bytes that are posted together.
+POSTED = [p for p in combinations(range(8), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0]
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _BYTE_AT = (np.arange(8, dtype=np.int64) * 256)[None, :]
@@ -77,13 +80,22 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
     return arrow_map(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), run, f"key {kind}, fp bigint")
 
 
-def _shared_bytes(a: Column, b: Column) -> Column:
-    """Tally of the positions at which both fingerprints have the same byte."""
-    x = a.bitwiseXOR(b)
-    total = F.lit(0)
-    for i in range(8):
-        total = total + (x.bitwiseAND(F.lit((0xFF << (8 * i)) - (1 << 64 if i == 7 else 0)).cast("long")) == 0).cast("int")
-    return total
+def min_meetings(differing: int) -> int:
+    """Postings that two fingerprints share at least if ``differing`` of their bytes differ."""
+    return min(sum(not set(t) & set(p) for p in POSTED) for t in combinations(range(8), differing))
+
+
+def _postings(fp: Column) -> Column:
+    def mask(positions: tuple) -> int:
+        m = sum(0xFF << (8 * i) for i in positions)
+        return m - (1 << 64) if m >= 1 << 63 else m
+    return F.array(*[F.struct(F.lit(n).alias("way"), fp.bitwiseAND(F.lit(mask(p)).cast("long")).alias("value")) for n, p in enumerate(POSTED)])
+
+
+def tally(postings: DataFrame) -> DataFrame:
+    """(a, b, meetings) of the pairs that meet in ``postings`` (fp, way, value)."""
+    return (postings.withColumnRenamed("fp", "a").join(postings.withColumnRenamed("fp", "b"), ["way", "value"])
+            .where("a > b").groupBy("a", "b").agg(F.count("*").alias("meetings")))
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, max_posting: int = MAX_POSTING) -> DataFrame:
@@ -92,15 +104,12 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, max_posting: int = MAX_POSTI
     if max_bits not in (0, 2):
         raise ValueError("max_bits is 2, or 0 for equal fingerprints only")
     fp = F.col("fp")
-    pair = [F.lit((0xFFFF << (16 * i)) - (1 << 64 if i == 3 else 0)).cast("long") for i in range(4)]
-    posts = F.array(*[F.struct(F.lit(n).alias("way"), fp.bitwiseAND(pair[i].bitwiseOR(pair[j])).alias("value"))
-                      for n, (i, j) in enumerate(combinations(range(4), 2))])
-    index = fps.select("fp", F.explode(posts).alias("p")).select("fp", "p.way", "p.value")
+    index = fps.select("fp", F.explode(_postings(fp)).alias("p")).select("fp", "p.way", "p.value")
     sizes = index.groupBy("way", "value").agg(F.count("*").alias("n")).where("n > 1")
     met = stored(index.join(sizes, ["way", "value"]), "simhash-postings")
-    short = met.where(F.col("n") <= max_posting).select("fp", "way", "value")
-    pairs = (short.withColumnRenamed("fp", "a").join(short.withColumnRenamed("fp", "b"), ["way", "value"])
-             .where("a > b").where(_shared_bytes(F.col("a"), F.col("b")) >= 8 - max_bits)
+    # a pair that also meets in a longer posting may miss the minimum here; the variants link it
+    pairs = (tally(met.where(F.col("n") <= max_posting).select("fp", "way", "value"))
+             .where(F.col("meetings") >= min_meetings(max_bits))
              .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b"))
     hot = met.where(F.col("n") > max_posting).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(64 if max_bits else 0)])

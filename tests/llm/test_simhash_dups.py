@@ -102,6 +102,28 @@ def test_byte_index_finds_every_pair_within_two_bits(spark):
     assert len(components_of(spark, three)) == 2
 
 
+def test_tally_of_meetings_chooses_the_candidates(spark):
+    """Pairs with 8 - d shared bytes, in every choice of positions: the tally keeps
+    those with d of 2 or less and drops the others, which do meet in postings."""
+    assert len(s.POSTED) == 14 and [s.min_meetings(d) for d in range(4)] == [14, 7, 3, 1]
+    rng = random.Random(8)
+    rows, differing = [], {}
+    for d in range(1, 6):
+        for places in combinations(range(8), d):
+            a = rng.getrandbits(64)
+            b = a
+            for p in places:
+                b ^= rng.randrange(1, 256) << (8 * p)
+            a, b = (x - (1 << 64) if x >= 1 << 63 else x for x in (a, b))
+            rows += [(a,), (b,)]
+            differing[max(a, b), min(a, b)] = d
+    index = spark.createDataFrame(rows, "fp long").select("fp", s.F.explode(s._postings(s.F.col("fp"))).alias("p"))
+    met = {(r.a, r.b): r.meetings for r in s.tally(index.select("fp", "p.way", "p.value")).collect()}
+    assert all((met.get(pair, 0) >= 3) == (d <= 2) for pair, d in differing.items())
+    assert sum(met.get(pair, 0) == 1 for pair, d in differing.items() if d == 3) == 56
+    assert any(met.get(pair, 0) == 1 for pair, d in differing.items() if d == 4)
+
+
 def test_components_of_long_chain_and_hub(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 4000)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
