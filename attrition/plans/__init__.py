@@ -2,7 +2,7 @@
 
 import importlib
 
-PLAN_MODULES = ("q_profile", "q_clean", "q_prep", "q_metrics", "q_neighbors", "q_segment", "q_models", "q_boost", "q_studies", "pipelines")
+PLAN_MODULES = ("q_profile", "q_clean", "q_prep", "q_metrics", "q_neighbors", "q_segment", "q_models", "q_boost", "q_studies", "q_cart", "pipelines")
 
 
 def load_all():
