@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 from attrition.llm.common import arrow_map, byte_words, stored
 
 BLOCK_WORDS = 1_000_000
+#: Longer documents are walked in segments of this many tokens, side by side.
+SEGMENT = 512
 #: Text bytes per bucket of n-grams.
 BUCKET_BYTES = 16 << 20
 #: Weight of the word distribution in a state, as a number of observations.
@@ -220,7 +222,9 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 class Automaton:
-    """The states and arcs that one block's documents can reach."""
+    """The states and arcs that one block's documents can reach.  A state is the number of
+    the word it stands for (0: the start); ``empty`` is the last one.  Arcs of the empty
+    state are arrays over words; those of the others are sorted by (state, word)."""
 
     def __init__(self, block: Block, word_n: np.ndarray, pair_n: np.ndarray, tokens: int, types: int, mu: float = MU) -> None:
         self.block = block
@@ -228,25 +232,54 @@ class Automaton:
         self.n = np.zeros(len(block.hashes), np.int64)
         self.n[order] = word_n
         p = (self.n + 1) / (tokens + types + 1)
+        self.empty = len(block.hashes)
         self.empty_arc = np.log10(p)
         # every training document has one start and one end
         seen = self.n.copy()
         seen[0] = self.n[1]
-        self.is_state = seen > 0
-        self.failure_arc = np.log10(mu / (seen + mu))
+        # a word that training lacks leads to the empty state, which has no failure arc
+        self.state_of = np.where(seen > 0, np.arange(self.empty), self.empty)
+        self.failure_arc = np.append(np.log10(mu / (seen + mu)), 0.0)
         first = np.empty(len(block.keys), np.int64)
         first[block.pair] = np.arange(len(block.pair))
-        v, w = block.before[first], block.ids[first]
-        with np.errstate(divide="ignore"):
-            self.arc = np.where(pair_n > 0, np.log10((pair_n + mu * p[w]) / (seen[v] + mu)), np.nan)
-
-    def walk(self) -> np.ndarray:
-        """log10 probability of every token, each from the state that the token
-        before it has led to."""
-        arc = self.arc[self.block.pair]
-        state = self.block.before
-        fails = np.where(self.is_state[state], self.failure_arc[state], 0.0) + self.empty_arc[self.block.ids]
-        return np.where(np.isnan(arc), fails, arc)
+        first = first[pair_n > 0]
+        v, w = block.before[first].astype(np.int64), block.ids[first].astype(np.int64)
+        weight = np.log10((pair_n[pair_n > 0] + mu * p[w]) / (seen[v] + mu))
+        place = np.argsort((v << 32) | w)
+        self.arcs, self.arc = ((v << 32) | w)[place], weight[place]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, log10 weights): the state's own arc, or its failure arc and then
+        the empty state's arc."""
+        weight = self.failure_arc[state] + self.empty_arc[word]
+        if len(self.arcs):
+            code = (state << 32) | word
+            at = np.minimum(np.searchsorted(self.arcs, code), len(self.arcs) - 1)
+            weight = np.where(self.arcs[at] == code, self.arc[at], weight)
+        return self.state_of[word], weight
+
+    def walk(self, segment: int = SEGMENT) -> np.ndarray:
+        """log10 probability of every document, in one pass from left to right that carries
+        each one's state.  Documents advance side by side; a long one is cut into segments,
+        whose first state is reached from the empty state by the word before: any way into
+        a word ends in the same state."""
+        starts, ids = self.block.starts, self.block.ids.astype(np.int64)
+        sizes = np.diff(starts)
+        parts = -(-sizes // segment)
+        doc = np.repeat(np.arange(len(sizes)), parts)
+        within = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = starts[doc] + within * segment
+        left = np.minimum(segment, starts[doc + 1] - begin)
+        longest = np.argsort(-left, kind="stable")
+        doc, within, begin, left = doc[longest], within[longest], begin[longest], left[longest]
+        warm, _ = self.step(np.full(len(doc), self.empty), ids[np.maximum(begin - 1, 0)])
+        state = np.where(within > 0, warm, self.state_of[0])
+        total = np.zeros(len(doc))
+        going = np.searchsorted(-left, -np.arange(left[0]), side="left")
+        for t, n in enumerate(going.tolist()):
+            state, weight = self.step(state[:n], ids[begin[:n] + t])
+            total[:n] += weight
+        return np.bincount(doc, weights=total, minlength=len(sizes))
 
 
 def lm_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", mu: float = MU, block_words: int = BLOCK_WORDS,
@@ -274,7 +307,7 @@ def lm_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", mu: floa
                     [keys, pa.array(block.held), pa.array(np.diff(block.starts), pa.int64()),
                      pa.array(np.add.reduceat((auto.n[block.ids] > 0).astype(np.int64), cut), pa.int64()),
                      pa.array(np.full(len(cut), tokens, np.int64)), pa.array(np.add.reduceat(auto.empty_arc[block.ids], cut)),
-                     pa.array(np.add.reduceat(auto.walk(), cut))],
+                     pa.array(auto.walk())],
                     names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     by_block = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "word_n", "pair_n")).alias("replies"))

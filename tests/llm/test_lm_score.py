@@ -58,6 +58,30 @@ def test_many_blocks_and_buckets_give_the_same(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows, block_words=200, bucket_bytes=2000)
 
 
+def test_segments_and_one_pass_give_the_same():
+    rng = np.random.default_rng(1)
+    sizes = np.array([1, 700, 3, 64, 65, 200])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    ids = rng.integers(2, 30, starts[-1]).astype(np.int32)
+    ids[starts[1:] - 1] = 1
+    held = np.array([False, True, False, True, False, False])
+    block = m.Block(rng.integers(1, 2**63, 30).astype(np.uint64), ids, starts, held)
+    _, order = block.words()
+    auto = m.Automaton(block, block.word_counts()[order], block.pair_counts(), 1000, 25)
+    whole = auto.walk(10**6)
+    state, plain = 0, []
+    for i, w in enumerate(ids):
+        if i in starts:
+            state = auto.state_of[0]
+            plain.append(0.0)
+        nxt, weight = auto.step(np.array([state]), np.array([w], np.int64))
+        state = nxt[0]
+        plain[-1] += weight[0]
+    assert np.allclose(whole, plain)
+    for n in (1, 2, 64, 512):
+        assert np.allclose(auto.walk(n), whole)
+
+
 def test_nothing_to_train_on(spark):
     held = [k for k in range(100) if m.is_held_out(k)][:3]
     rows = [(k, "a b") for k in held]
