@@ -3,27 +3,21 @@
 Plan
 ----
 1. **Duplicate compression.**  Reference rows are grouped by their feature
-   vector; each distinct vector keeps its multiplicity and its ``k + 1``
-   smallest ids (salted two-stage top-k, so a vector shared by a third of
-   all rows never lands in one task).  Identical query rows share one
-   neighbour search.
-2. **Grid, two phases.**  Distinct reference vectors are placed in an
-   equi-depth grid over ``p`` projected dimensions (quantile edges, so
-   dense regions get narrow cells).  Phase 1 searches rings of cells around
-   each query (radius 1, 2, 4, …) only until the query holds ``k``
-   candidates; their worst distance ``D`` bounds the true k-th distance.
-   Phase 2 searches exactly the cells that meet the box ``[q − D, q + D]``
-   of the projected dimensions: any point outside it differs by more than
-   ``D`` in one coordinate, so it cannot be among the k nearest.  Both
-   phases find candidates by an **equi-join on the cell id**; a ring that
-   covers the whole grid is complete by itself, so the result is exact.
-   **Columns of few values** (nominal ones, codes, one-hots) get a search of
-   their own first: only among vectors that agree in all of them, in a grid
-   over the others.  Whatever differs in such a column is at least the
-   smallest step between its values (or the nominal penalty) away; a query
-   whose k-th distance is below that is finished, the others are searched as
-   above.  Distances that come from such columns so don't widen the box.
-3. **Expansion.**  Vector-level neighbours are expanded into ids, the query
+   vector; each distinct vector keeps its ``k + 1`` smallest ids (salted
+   two-stage top-k, so a vector shared by a third of all rows never lands in
+   one task).  Identical query rows share one neighbour search.
+2. **Cells.**  A k-d tree of at most ``MAX_CELLS`` leaves cuts the space.  Its
+   cuts come from a bounded sample of the vectors, which only decides how even
+   the cells are; every vector is then put into its cell, and each cell gets the
+   exact box of its vectors.  Nominal columns are dimensions too: two cells that
+   differ there are the penalty apart.
+3. **Search.**  Each query meets its own cell; the k-th distance D found there
+   bounds the true one.  It then meets every other cell whose box is no
+   further away than D, so no neighbour can be missed.  A query whose own cell holds
+   fewer than k vectors gets D from the boxes: the radius that surely covers k vectors.
+   Cells and their queries meet in one group each; the queries of a
+   crowded cell are dealt out over several.
+4. **Expansion.**  Vector-level neighbours are expanded into ids, the query
    itself is dropped (self-join), and ties are broken by ``(distance, id)``.
 
 Distances: ``euclidean`` (ranked on the squared distance), ``manhattan``;
@@ -33,224 +27,356 @@ per mismatch (the SMOTE-NC distance).
 
 from __future__ import annotations
 
-from itertools import product
+import math
+from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from attrition.functions.buckets import bucketize
-from attrition.session import cut_lineage
+from attrition.session import cut_lineage, ship_package
 
 SALTS = 16
-#: Numeric columns of at most so many values (codes, one-hots) are searched like nominal ones.
-FEW_VALUES = 32
-
-
-def _dist(features: list[str], nominal: list[str], metric: str, penalty: float,
-          q: str = "q_", r: str = "r_") -> Column:
-    terms = []
-    for f in features:
-        diff = F.col(f"{q}{f}") - F.col(f"{r}{f}")
-        terms.append(diff * diff if metric == "euclidean" else F.abs(diff))
-    for f in nominal:
-        terms.append(F.when(F.col(f"{q}{f}") != F.col(f"{r}{f}"), F.lit(penalty)).otherwise(F.lit(0.0)))
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out
+#: Leaves of the tree, and vectors that its cuts are drawn from.
+MAX_CELLS, TREE_ROWS = 8_192, 1 << 17
+#: Queries that meet a cell in one group, and distances held at once.
+GROUP_QUERIES, PAIRS = 1 << 16, 1 << 20
+#: Rows of a partition that tasks in Python read, and cells of a task that searches.
+TASK_ROWS, TASK_CELLS = 1 << 14, 2
+#: Types whose values are doubles as they are; others are told apart by 53 bits of a hash.
+PLAIN = (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)
 
 
 def _compress(ref: DataFrame, key: str, cols: list[str], keep: int) -> DataFrame:
-    """Distinct vectors with multiplicity and their ``keep`` smallest ids."""
+    """Distinct vectors with their ``keep`` smallest ids, the smallest being ``vid``."""
     salted = ref.select(key, *cols, (F.abs(F.xxhash64(key)) % SALTS).alias("__salt"))
     w1 = Window.partitionBy(*cols, "__salt").orderBy(key)
     stage1 = salted.withColumn("__rn", F.row_number().over(w1)).where(F.col("__rn") <= keep)
-    counts = ref.groupBy(*cols).agg(F.count(F.lit(1)).alias("mult"), F.min(key).alias("vid"))
     # at most SALTS * keep rows per vector reach this aggregate
     ids = stage1.groupBy(*cols).agg(F.slice(F.array_sort(F.collect_list(key)), 1, keep).alias("ids"))
-    return counts.join(ids, cols)
-
-
-def _edges(dv: DataFrame, dims: list[str], g: int) -> dict[str, list[float]]:
-    if g <= 1:
-        return {d: [] for d in dims}
-    probs = [i / g for i in range(1, g)]
-    row = dv.agg(*[F.percentile_approx(d, probs, 10 * g).alias(d) for d in dims]).first()
-    return {d: sorted(set(row[d] or [])) for d in dims}
-
-
-def _cells(df: DataFrame, dims: list[str], edges: dict, prefix: str = "") -> DataFrame:
-    out = df
-    for d in dims:
-        out = bucketize(out, f"{prefix}{d}", edges[d], f"__c_{d}")
-        out = out.withColumn(f"__c_{d}", F.col(f"__c_{d}").cast("int"))
-    return out
-
-
-def _cell_id(dims: list[str], sizes: dict, offs: list[Column] | None = None) -> Column:
-    cid = F.lit(0).cast("bigint")
-    stride = 1
-    for i, d in enumerate(dims):
-        c = F.col(f"__c_{d}") + (offs[i] if offs is not None else 0)
-        cid = cid + c.cast("bigint") * stride
-        stride *= sizes[d]
-    return cid
-
-
-def _shell(p: int, r_prev: int, r: int) -> list[tuple[int, ...]]:
-    return [o for o in product(range(-r, r + 1), repeat=p) if max(abs(x) for x in o) > r_prev]
-
-
-def _least_step(dv: DataFrame, feature: str, metric: str) -> float:
-    """What two different values of a column of few values add to the rank at least."""
-    w = Window.orderBy(feature)  # at most a few dozen distinct values
-    gap = dv.select(feature).distinct().select((F.col(feature) - F.lag(feature).over(w)).alias("g")).agg(F.min("g")).first()[0]
-    return gap * gap if metric == "euclidean" else gap
-
-
-class _Grid:
-    """An equi-depth grid over the reference vectors; with ``same``, vectors meet
-    only where they agree in those columns."""
-
-    def __init__(self, dv: DataFrame, qv: DataFrame, features: list[str], cols: list[str], stats, n: float,
-                 grid_dims: int, per_cell: int, same: list[str]) -> None:
-        # projection dims: the features with the most distinct values
-        self.dims = sorted(features, key=lambda f: -(stats[f] or 0))[:max(1, min(grid_dims, len(features)))]
-        g = max(1, int(round((max(n, 1) / per_cell) ** (1.0 / len(self.dims)))))
-        self.edges = _edges(dv, self.dims, g)
-        self.sizes = {d: len(self.edges[d]) + 1 for d in self.dims}
-        self.max_r = max(self.sizes.values())
-        self.same, self.cols = same, cols
-        combo = [F.xxhash64(*same).alias("__same")] if same else []
-        self.by = ["__cell"] + (["__same"] if same else [])
-        self.ref_cells = _cells(dv, self.dims, self.edges).select(
-            self._id().alias("__cell"), *combo, "vid", "ids", *[F.col(c).alias(f"r_{c}") for c in cols])
-        self.queries = cut_lineage(_cells(qv, self.dims, self.edges).select(
-            "qvid", *combo, *[F.col(c).alias(f"q_{c}") for c in cols], *[f"__c_{d}" for d in self.dims]))
-
-    def _id(self, offs: list[Column] | None = None) -> Column:
-        return _cell_id(self.dims, self.sizes, offs)
-
-    def _agree(self) -> Column:
-        """Equal hashes are checked against the columns themselves."""
-        out = F.lit(True)
-        for c in self.same:
-            out = out & F.col(f"q_{c}").eqNullSafe(F.col(f"r_{c}"))
+    return ids.withColumn("vid", F.get("ids", F.lit(0)))
+
+
+class Space(NamedTuple):
+    """What a distance is made of: numbers, then nominal columns, then columns that must
+    be equal (``within``); apart from these, columns that must differ (``apart``)."""
+
+    numbers: int
+    nominals: int
+    withins: int
+    aparts: int
+    metric: str
+    penalty: float
+
+    @property
+    def dims(self) -> int:
+        return self.numbers + self.nominals + self.withins
+
+    @property
+    def columns(self) -> list[str]:
+        return [f"x{i}" for i in range(self.dims + self.aparts)]
+
+    def steps(self) -> np.ndarray:
+        """What a mismatch in a column adds at least."""
+        return np.array([self.penalty] * self.nominals + [math.inf] * self.withins)
+
+    def beyond(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """A lower bound of the rank of whatever lies in the box."""
+        n = self.numbers
+        gap = np.maximum(np.maximum(lo[:n] - x[:, :n], x[:, :n] - hi[:n]), 0.0)
+        out = (gap * gap if self.metric == "euclidean" else gap).sum(axis=1)
+        for i, step in enumerate(self.steps(), n):
+            out = out + np.where((x[:, i] < lo[i]) | (x[:, i] > hi[i]), step, 0.0)
+        return out
+
+    def reach(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """An upper bound of the rank of whatever lies in each of the boxes, for one ``x``."""
+        n = self.numbers
+        gap = np.maximum(np.abs(x[:n] - lo[:, :n]), np.abs(x[:n] - hi[:, :n]))
+        out = (gap * gap if self.metric == "euclidean" else gap).sum(axis=1)
+        for i, step in enumerate(self.steps(), n):
+            out = out + np.where((lo[:, i] == x[i]) & (hi[:, i] == x[i]), 0.0, step)
         return out
 
-    @staticmethod
-    def _top(cand: DataFrame, kk: int) -> DataFrame:
-        w = Window.partitionBy("qvid").orderBy("__rank", "vid")
-        return cand.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= kk).drop("__rn")
-
-    def rings(self, kk: int, dist: Column) -> DataFrame:
-        """Phase 1: rings (radius 1, 2, 4, …) until every query holds kk candidates,
-        which bounds its k-th distance; a ring covering the grid is complete."""
-        carry = ["qvid", "vid", "ids", "__rank"]
-        pending, best, seeded = self.queries, None, []
-        r_prev, r = -1, 1
-        while True:
-            offsets = _shell(len(self.dims), r_prev, r)
-            off_arr = F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])
-            ex = pending.select("*", F.explode(off_arr).alias("__off"))
-            offs = [F.col("__off")[i] for i in range(len(self.dims))]
-            inside = F.lit(True)
-            for i, d in enumerate(self.dims):
-                c = F.col(f"__c_{d}") + offs[i]
-                inside = inside & (c >= 0) & (c < self.sizes[d])
-            ex = ex.where(inside).withColumn("__cell", self._id(offs)).drop("__off")
-            cand = ex.join(self.ref_cells, self.by).where(self._agree()).withColumn("__rank", dist).select(*carry)
-            if best is not None:
-                cand = cand.unionByName(best)
-            full = (F.count(F.lit(1)).over(Window.partitionBy("qvid")) == kk) | F.lit(r >= self.max_r)
-            top = cut_lineage(self._top(cand, kk).withColumn("__ok", full).withColumn("__complete", F.lit(r >= self.max_r)))
-            seeded.append(top.where("__ok").drop("__ok"))
-            pending = pending.join(top.where("__ok").select("qvid").distinct(), "qvid", "left_anti")
-            if r >= self.max_r or pending.isEmpty():
+    def ranks(self, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """Distances (euclidean: squared) of all queries and vectors; infinite where they must not meet."""
+        out = None
+        for i in range(self.dims):
+            if i < self.numbers:
+                diff = q[:, i, None] - r[None, :, i]
+                term = diff * diff if self.metric == "euclidean" else np.abs(diff)
+            else:
+                term = np.where(q[:, i, None] != r[None, :, i], self.steps()[i - self.numbers], 0.0)
+            out = term if out is None else out + term
+        for i in range(self.dims, self.dims + self.aparts):
+            out[q[:, i, None] == r[None, :, i]] = math.inf
+        return out
+
+
+class Tree(NamedTuple):
+    """Cut dimension (-1: a leaf), cut value, children by node; leaf number by node."""
+
+    dim: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    leaf: np.ndarray
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each row."""
+        at = np.zeros(len(x), dtype=np.int64)
+        while len(x):
+            inner = np.flatnonzero(self.dim[at] >= 0)
+            if not len(inner):
                 break
-            best = top.where(~F.col("__ok")).select(*carry)
-            r_prev, r = r, 2 * r
-        seed = seeded[0]
-        for part in seeded[1:]:
-            seed = seed.unionByName(part)
-        return seed
-
-    def boxes(self, seed: DataFrame, kk: int, dist: Column, metric: str) -> DataFrame:
-        """Phase 2: every reference vector within the k-th candidate distance D lies
-        in the box [q - D, q + D] of the projected dims; search exactly those cells."""
-        done = seed.where("__complete").select("qvid", "vid", "ids", "__rank")
-        radius = F.sqrt(F.max("__rank")) if metric == "euclidean" else F.max("__rank")
-        box = (seed.where(~F.col("__complete")).groupBy("qvid").agg((radius * (1 + 1e-9) + 1e-300).alias("__D"))
-               .join(self.queries.drop(*[f"__c_{d}" for d in self.dims]), "qvid"))
-        for d in self.dims:
-            box = box.withColumn(f"__lo_{d}", F.col(f"q_{d}") - F.col("__D")).withColumn(f"__hi_{d}", F.col(f"q_{d}") + F.col("__D"))
-            box = bucketize(box, f"__lo_{d}", self.edges[d], f"__blo_{d}")
-            box = bucketize(box, f"__hi_{d}", self.edges[d], f"__bhi_{d}")
-        for d in self.dims:
-            box = box.select("*", F.explode(F.sequence(F.col(f"__blo_{d}").cast("int"), F.col(f"__bhi_{d}").cast("int"))).alias(f"__c_{d}"))
-        cand = (box.withColumn("__cell", self._id()).join(self.ref_cells, self.by).where(self._agree())
-                .withColumn("__rank", dist).select("qvid", "vid", "ids", "__rank"))
-        return done.unionByName(self._top(cand, kk))
+            node = at[inner]
+            at[inner] = np.where(x[inner, self.dim[node]] <= self.cut[node], self.left[node], self.right[node])
+        return self.leaf[at]
+
+    def boxes(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Boxes of all nodes from those of the leaves (children come after their parent)."""
+        own_lo, own_hi = np.empty((len(self.dim), lo.shape[1])), np.empty((len(self.dim), lo.shape[1]))
+        for n in range(len(self.dim) - 1, -1, -1):
+            if self.dim[n] < 0:
+                own_lo[n], own_hi[n] = lo[self.leaf[n]], hi[self.leaf[n]]
+            else:
+                own_lo[n] = np.minimum(own_lo[self.left[n]], own_lo[self.right[n]])
+                own_hi[n] = np.maximum(own_hi[self.left[n]], own_hi[self.right[n]])
+        return own_lo, own_hi
+
+
+def grow(x: np.ndarray, space: Space, cells: int) -> Tree:
+    """A tree of about ``cells`` leaves with even shares of ``x``.  A node is cut at the median
+    of its widest dimension, columns that must be equal first."""
+    most = max(1.0, len(x) / max(1, cells))
+    dim, cut, left, right, leaf, leaves = [], [], [], [], [], 0
+    todo = [(np.arange(len(x)), -1, False)]
+    steps = space.steps() if space.metric != "euclidean" else np.sqrt(space.steps())
+    while todo:
+        rows, parent, is_right = todo.pop()
+        node = len(dim)
+        if parent >= 0:
+            (right if is_right else left)[parent] = node
+        for column in (dim, left, right, leaf):
+            column.append(-1)
+        cut.append(0.0)
+        if len(rows) > most:
+            own = x[rows][:, :space.dims]
+            wide = own.max(axis=0) - own.min(axis=0)
+            wide[space.numbers:] = np.where(wide[space.numbers:] > 0, steps, 0.0)
+            d = int(wide.argmax())
+            if wide[d] > 0:
+                values = own[:, d]
+                at = np.partition(values, (len(values) - 1) // 2)[(len(values) - 1) // 2]
+                if at == values.max():
+                    at = values[values < at].max()
+                dim[node], cut[node] = d, at
+                todo += [(rows[values > at], node, True), (rows[values <= at], node, False)]
+                continue
+        leaf[node], leaves = leaves, leaves + 1
+    return Tree(np.array(dim), np.array(cut), np.array(left), np.array(right), np.array(leaf))
+
+
+def _matrix(batch: pa.RecordBatch | pa.Table, names: list[str]) -> np.ndarray:
+    return np.column_stack([np.asarray(batch.column(n), dtype=float) for n in names])
+
+
+def _nearest(space: Space, q: np.ndarray, r: np.ndarray, most: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, rank) of the ``most`` nearest vectors of each query, by query, rank and the
+    vectors' order; with ``bound`` of those no further away only."""
+    found = []
+    step = max(1, PAIRS // max(1, len(r)))
+    for at in range(0, len(q) if len(r) else 0, step):
+        d = space.ranks(q[at:at + step], r)
+        top = np.full(len(d), np.inf) if bound is None else bound[at:at + step]
+        if bound is None and len(r) > most:
+            top = np.partition(d, most - 1, axis=1)[:, most - 1]
+        i, j = np.nonzero((d <= top[:, None]) & (d < np.inf))
+        rank = d[i, j]
+        order = np.lexsort((j, rank, i))
+        i, j, rank = i[order], j[order], rank[order]
+        first = np.searchsorted(i, np.arange(len(d)))
+        keep = np.arange(len(i)) - first[i] < most
+        found.append((i[keep] + at, j[keep], rank[keep]))
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+
+
+class _Cells:
+    """Reference vectors in the cells of a tree."""
+
+    def __init__(self, dv: DataFrame, space: Space, n: int, per_cell: int) -> None:
+        self.space, self.names = space, space.columns
+        share = min(1.0, TREE_ROWS / max(1, n))
+        drawn = dv.where(F.pmod(F.xxhash64(*self.names), F.lit(1 << 30)) < int(share * (1 << 30))).select(*self.names)
+        self.tree = grow(_matrix(drawn.toArrow(), self.names), space, min(MAX_CELLS, math.ceil(n / per_cell)))
+        self.tasks = math.ceil((int(self.tree.leaf.max()) + 1) / TASK_CELLS)
+        self.refs = cut_lineage(self.placed(dv))
+        dims = self.names[:space.dims]
+        by = self.refs.groupBy("cell", *self.names[space.dims:]).agg(
+            F.count("*").alias("n"), *[f(c).alias(f"{a}_{c}") for c in dims for f, a in ((F.min, "lo"), (F.max, "hi"))])
+        sure = F.sum("n") - F.max("n") if space.aparts else F.sum("n")
+        table = by.groupBy("cell").agg(sure.cast("double").alias("sure"), *[f(f"{a}_{c}").alias(f"{a}_{c}") for c in dims for f, a in ((F.min, "lo"), (F.max, "hi"))]).toArrow()
+        cells, at = int(self.tree.leaf.max()) + 1, table.column("cell").to_numpy()
+        # a cell without vectors has an empty box, which nothing is near to
+        self.sure, self.lo, self.hi = np.zeros(cells), np.full((cells, space.dims), np.inf), np.full((cells, space.dims), -np.inf)
+        self.sure[at] = table.column("sure").to_numpy()
+        self.lo[at], self.hi[at] = _matrix(table, [f"lo_{c}" for c in dims]), _matrix(table, [f"hi_{c}" for c in dims])
+
+    def placed(self, df: DataFrame) -> DataFrame:
+        """``df`` with the number of the cell."""
+        tree, names = self.tree, self.names
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = tree.place(_matrix(batch, names)) if batch.num_rows else np.zeros(0, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], names=[*batch.schema.names, "cell"])
+
+        return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("cell", T.LongType())]))
+
+    def _ids(self) -> list[T.StructField]:
+        key = self.refs.schema["vid"].dataType
+        return [T.StructField("vid", key), T.StructField("ids", T.ArrayType(key, self.refs.schema["ids"].dataType.containsNull))]
+
+    def _meet(self, queries: DataFrame, search, schema: T.StructType) -> DataFrame:
+        """Each cell with its queries in groups of about GROUP_QUERIES."""
+        crowd = {r.cell: math.ceil(r.n / GROUP_QUERIES) for r in queries.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_QUERIES).collect()}
+        parts = F.lit(1)
+        if crowd:
+            parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in crowd.items() for v in kv]), F.col("cell")), F.lit(1))
+        refs = self.refs.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        dealt = queries.withColumn("part", F.pmod(F.xxhash64("qvid"), parts).cast("int"))
+        asked, known = (df.repartition(self.tasks, "cell", "part").groupBy("cell", "part") for df in (dealt, refs))
+        return asked.cogroup(known).applyInArrow(search, schema)
+
+    def own(self, queries: DataFrame, most: int) -> DataFrame:
+        """Each query with the nearest vectors of its own cell and the rank that bounds the true ones."""
+        space, names, sure, lo, hi = self.space, self.names, self.sure, self.lo, self.hi
+        item = T.StructType([T.StructField("__rank", T.DoubleType()), *self._ids()])
+        schema = T.StructType([queries.schema["qvid"], *[queries.schema[c] for c in names], T.StructField("cell", T.LongType()),
+                               T.StructField("bound", T.DoubleType()), T.StructField("best", T.ArrayType(item))])
+
+        def surely(x: np.ndarray) -> float:
+            far = space.reach(x, lo, hi)
+            far[sure == 0] = np.inf
+            order = np.argsort(far, kind="stable")
+            at = np.searchsorted(np.cumsum(sure[order]), most)
+            return float(far[order[at]]) if at < len(order) else math.inf
+
+        def search(asked: pa.Table, known: pa.Table) -> pa.Table:
+            if known.num_rows:
+                known = known.sort_by("vid")
+            q = _matrix(asked, names)
+            i, j, rank = _nearest(space, q, _matrix(known, names), most)
+            ends = np.searchsorted(i, np.arange(len(q) + 1))
+            full = np.diff(ends) == most
+            bound = np.empty(len(q))
+            bound[full] = rank[ends[1:][full] - 1]
+            for at in np.flatnonzero(~full):
+                bound[at] = surely(q[at])
+            taken = [pa.array(rank), *[known.column(c).combine_chunks().take(pa.array(j)) for c in ("vid", "ids")]]
+            best = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(taken, names=["__rank", "vid", "ids"]))
+            return pa.table([asked.column(c) for c in ["qvid", *names, "cell"]] + [pa.array(bound), best], names=["qvid", *names, "cell", "bound", "best"])
+
+        return self._meet(queries, search, schema)
+
+    def others(self, seeded: DataFrame, most: int) -> DataFrame:
+        """(qvid, __rank, vid, ids) from all other cells that reach into the bound."""
+        space, names, tree = self.space, self.names, self.tree
+        lo, hi = tree.boxes(self.lo, self.hi)
+        asked = seeded.select("qvid", *names, "cell", "bound")
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, own, bound = _matrix(batch, names), batch.column("cell").to_numpy(), batch.column("bound").to_numpy()
+                limit = bound * (1 + 1e-9) + 1e-300
+                todo, met, cells = [(0, np.arange(len(x)))], [], []
+                while todo:
+                    node, rows = todo.pop()
+                    gap = space.beyond(x[rows], lo[node], hi[node])
+                    rows = rows[(gap <= limit[rows]) & (gap < np.inf)]
+                    if not len(rows):
+                        continue
+                    if tree.dim[node] < 0:
+                        rows = rows[own[rows] != tree.leaf[node]]
+                        met.append(rows)
+                        cells.append(np.full(len(rows), tree.leaf[node]))
+                    else:
+                        todo += [(tree.left[node], rows), (tree.right[node], rows)]
+                at = np.concatenate(met) if met else np.zeros(0, dtype=np.int64)
+                to = np.concatenate(cells) if cells else np.zeros(0, dtype=np.int64)
+                for start in range(0, len(at), GROUP_QUERIES):
+                    part = batch.take(pa.array(at[start:start + GROUP_QUERIES]))
+                    yield pa.RecordBatch.from_arrays([pa.array(to[start:start + GROUP_QUERIES], pa.int64()) if n == "cell" else part.column(n)
+                                                      for n in part.schema.names], names=part.schema.names)
+
+        def search(asked: pa.Table, known: pa.Table) -> pa.Table:
+            if known.num_rows:
+                known = known.sort_by("vid")
+            i, j, rank = _nearest(space, _matrix(asked, names), _matrix(known, names), most, asked.column("bound").to_numpy())
+            return pa.table([asked.column("qvid").combine_chunks().take(pa.array(i)), pa.array(rank),
+                             *[known.column(c).combine_chunks().take(pa.array(j)) for c in ("vid", "ids")]], names=["qvid", "__rank", "vid", "ids"])
+
+        schema = T.StructType([seeded.schema["qvid"], T.StructField("__rank", T.DoubleType()), *self._ids()])
+        return self._meet(asked.mapInArrow(walk, asked.schema), search, schema)
+
+
+def _coordinate(df: DataFrame, name: str) -> Column:
+    """A column of codes as a double."""
+    return (F.col(name) if isinstance(df.schema[name].dataType, PLAIN) else F.shiftright(F.xxhash64(name), 11)).cast("double")
+
+
+def _in_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """A stored table in no more partitions than its rows need: each starts a task in Python."""
+    return df.coalesce(max(1, math.ceil(rows / TASK_ROWS)))
 
 
 def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, features: list[str], k: int,
         metric: str = "euclidean", nominal: list[str] = (), nominal_penalty: float = 0.0,
-        self_join: bool = False, grid_dims: int = 4, per_cell: int = 2, within: list[str] = ()) -> DataFrame:
+        self_join: bool = False, per_cell: int = 1024, within: list[str] = (), apart: list[str] = ()) -> DataFrame:
     """k nearest reference rows for every query row, among those that agree with it in
-    the (non-null) columns ``within``.
+    the (non-null) columns ``within`` and differ from it in each of the columns ``apart``.
 
     Returns ``qkey, rank (1..k), nkey, dist`` where ``dist`` is the metric
     distance (euclidean: square root of the ranked squared distance).
-    Feature columns must be non-null numbers.  With ``self_join`` the query
+    Feature columns must be numbers; rows with a null or NaN meet no others.  With ``self_join`` the query
     and reference tables are the same and a row is not its own neighbour.
     """
-    spark = query.sparkSession
-    nominal = list(nominal)
-    within = list(within)
-    cols = list(features) + nominal + within
+    ship_package(query.sparkSession)
+    nominal, within, apart = list(nominal), list(within), list(apart)
+    space = Space(len(features), len(nominal), len(within), len(apart), metric, float(nominal_penalty))
+    names = space.columns
     kk = k + 1 if self_join else k
+
+    def rows(df: DataFrame, key: str, out: str) -> DataFrame:
+        codes = nominal + within + apart
+        made = [F.col(f).cast("double") for f in features] + [_coordinate(df, c) for c in codes]
+        known = df.na.drop(subset=[*features, *codes])
+        return known.select(F.col(key).alias(out), *[c.alias(n) for c, n in zip(made, names, strict=True)])
+
     # the query rows are read once (they are needed again to expand the result)
-    qrows = cut_lineage(query.select(F.col(qkey).alias("__qid"),
-                                     *[F.col(c).cast("double").alias(c) for c in features],
-                                     *[F.col(c) for c in nominal + within]))
-    if self_join:
-        refs = qrows.withColumnRenamed("__qid", "__id")
-    else:
-        refs = ref.select(F.col(rkey).alias("__id"), *[F.col(c).cast("double").alias(c) for c in features],
-                          *[F.col(c) for c in nominal + within])
-    dv = cut_lineage(_compress(refs, "__id", cols, k + 1))
-    stats = dv.agg(F.count(F.lit(1)).alias("__n"),
-                   *[F.approx_count_distinct(f).alias(f) for f in features]).first()
-    n_dv = stats["__n"]
-    dist = _dist(features, nominal, metric, nominal_penalty)
+    qrows = cut_lineage(rows(query, qkey, "__qid"))
+    refs = qrows.withColumnRenamed("__qid", "__id") if self_join else rows(ref, rkey, "__id")
+    dv = cut_lineage(_compress(refs, "__id", names, k + 1).where("vid IS NOT NULL"))
+    n_dv = dv.count()
     # distinct query vectors, materialised once and reused by every search
-    qv = cut_lineage(qrows.groupBy(*cols).agg(F.min("__qid").alias("qvid")))
-    found, left = [], qv
-    few = [f for f in features if 1 < (stats[f] or 0) <= FEW_VALUES]
-    if (few or nominal) and len(few) < len(features):
-        # first among vectors that agree in every column of few values: whatever
-        # differs there is at least ``step`` away
-        step = min([_least_step(dv, f, metric) for f in few] + ([nominal_penalty] if nominal else []))
-        combos = dv.agg(F.approx_count_distinct(F.struct(*few, *nominal, *within))).first()[0] or 1
-        own = _Grid(dv, qv, [f for f in features if f not in few], cols, stats, n_dv / combos, grid_dims, per_cell, [*few, *nominal, *within])
-        seed = own.rings(kk, dist)
-        near = (seed.groupBy("qvid").agg(F.count(F.lit(1)).alias("__n"), F.max("__rank").alias("__worst"))
-                .where((F.col("__n") == kk) & (F.col("__worst") < step)).select("qvid"))
-        near = cut_lineage(near)
-        found.append(own.boxes(seed.join(near, "qvid", "left_semi"), kk, dist, metric))
-        left = cut_lineage(qv.join(near, "qvid", "left_anti"))
-    if not left.isEmpty():
-        parts = (dv.agg(F.approx_count_distinct(F.struct(*within))).first()[0] or 1) if within else 1
-        grid = _Grid(dv, left, features, cols, stats, n_dv / parts, grid_dims, per_cell, within)
-        found.append(grid.boxes(grid.rings(kk, dist), kk, dist, metric))
-    vec_nn = found[0]
-    for more in found[1:]:
-        vec_nn = vec_nn.unionByName(more)
+    qv = cut_lineage(qrows.groupBy(*names).agg(F.min("__qid").alias("__q")).select(F.monotonically_increasing_id().alias("qvid"), *names))
+    cells = _Cells(_in_tasks(dv, n_dv), space, n_dv, per_cell)
+    seeded = cut_lineage(cells.own(cells.placed(_in_tasks(qv, qv.count())), kk))
+    vec_nn = seeded.select("qvid", F.inline("best")).select("qvid", "__rank", "vid", "ids").unionByName(cells.others(seeded, kk))
+    nearest = Window.partitionBy("qvid").orderBy("__rank", "vid")
     # k + 1 ids per distinct vector are enough for every row that has it
     first = Window.partitionBy("qvid").orderBy("__rank", "nkey")
-    ids = (vec_nn.select("qvid", "__rank", F.explode("ids").alias("nkey"))
+    ids = (vec_nn.withColumn("__n", F.row_number().over(nearest)).where(F.col("__n") <= kk)
+           .select("qvid", "__rank", F.explode("ids").alias("nkey"))
            .withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= k + 1).drop("__n"))
-    qmap = qrows.join(qv, cols).select("__qid", "qvid")
+    qmap = qrows.join(qv, names).select("__qid", "qvid")
     j = qmap.join(ids, "qvid")
     if self_join:
         j = j.where(F.col("nkey") != F.col("__qid"))

@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from attrition.operators import encode, knn_grid, newton, profile, segment
+from attrition.operators import encode, knn_grid, neighbors, newton, profile, segment
 
 
 def draws(text):
@@ -132,3 +132,23 @@ def test_ordered_target_statistics(spark, buckets):
             seen[c] = (s + y, n + 1)
     total = {q["c"]: q["c__ts"] for q in encode.target_stats(df, "y", "c", 2.0).collect()}
     assert total["hot"] == pytest.approx((seen["hot"][0] + 2 * p) / (seen["hot"][1] + 2))
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_knn_over_many_cells_with_columns_that_agree_or_differ(spark, metric):
+    """Small cells, folds that follow a feature (a query's own cell may hold no row of
+    another fold), a few crowded vectors and a null code."""
+    rng = random.Random(8)
+    rows = [(i, rng.random(), rng.random(), None) for i in range(240)]
+    rows = [(i, x, z, int(x * 3)) for i, x, z, _ in rows] + [(1000 + i, 0.5, 0.5, i % 3) for i in range(30)]
+    df = spark.createDataFrame([*rows, (2000, 0.5, 0.5, None)], "id long, x double, z double, fold int")
+    for option in ("within", "apart"):
+        got = {}
+        for r in neighbors.knn(df, df, "id", "id", ["x", "z"], 5, metric, per_cell=6, **{option: ["fold"]}).collect():
+            got.setdefault(r["id"], []).append((r["rank"], r["nkey"]))
+
+        def d(a, b):
+            gaps = [abs(u - v) for u, v in zip(a[1:3], b[1:3], strict=True)]
+            return sum(g * g for g in gaps) if metric == "euclidean" else sum(gaps)
+        want = {a[0]: [n for _, n in sorted((d(a, b), b[0]) for b in rows if (a[3] == b[3]) == (option == "within"))[:5]] for a in rows}
+        assert {k: [n for _, n in sorted(v)] for k, v in got.items()} == want
