@@ -7,14 +7,19 @@ Multi-column profiles unpivot first so that all columns go through one job.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from hashlib import md5
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attrition.functions.hashing import TWO_32, hash_text
 from attrition.operators.quantiles import exact_percentiles, grouped_percentiles
+from attrition.session import cut_lineage, ship_package
 
 
 def _long(df: DataFrame, cols: list[str], ids: list[str] | None = None,
@@ -196,24 +201,61 @@ def group_mean_ci(df: DataFrame, group: str, col: str, z: float = 1.96) -> DataF
 POISSON_CDF = [sum(math.exp(-1) / math.factorial(i) for i in range(n + 1)) for n in range(13)]
 
 
+#: Rows whose replicates one task draws, rows drawn at once, and groups whose sums it holds.
+BOOT_ROWS, BOOT_BLOCK, BOOT_GROUPS = 1 << 14, 256, 1000
+
+
+def _replicates(n_boot: int):
+    """Rows (text, group, x) to (group, r, number and sum of what replicate r takes)."""
+    ends = [f"|{q}".encode() for q in range((n_boot + 3) // 4)]
+    least = np.array(POISSON_CDF) * TWO_32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[object, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for g, (n, s) in totals.items():
+                r = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(r), kind), pa.array(r, pa.int32()), pa.array(n[r]), pa.array(s[r])], names=["__group", "__r", "__n", "__s"])
+            totals.clear()
+
+        for batch in batches:
+            kind = batch.column("__group").type
+            for at in range(0, batch.num_rows, BOOT_BLOCK):
+                part = batch.slice(at, BOOT_BLOCK)
+                texts = [t.encode() for t in part.column("__text").to_pylist()]
+                drawn = b"".join([md5(t + end).digest() for t in texts for end in ends])
+                u = np.frombuffer(drawn, ">u4").astype(float).reshape(len(texts), -1)[:, :n_boot]
+                times = np.searchsorted(least, u, side="right").astype(float)
+                x = part.column("__x").to_numpy()
+                groups = part.column("__group").to_pylist()
+                for g in set(groups):
+                    own = np.array([h == g or h is g for h in groups])
+                    n, s = totals.setdefault(g, np.zeros((2, n_boot)))
+                    n += times[own].sum(axis=0)
+                    taken, values = times[own], x[own]
+                    s += np.where(taken > 0, taken * values[:, None], 0.0).sum(axis=0)
+                if len(totals) > BOOT_GROUPS:
+                    yield from flush()
+        yield from flush()
+
+    return run
+
+
 def bootstrap_mean_ci(df: DataFrame, key: str, group: str, col: str, n_boot: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """Group mean with a percentile bootstrap interval.
 
     Replicate ``r`` takes a row Poisson(1) times; the count is read from the hash of
-    (seed, key, r), four replicates a hash.  A replicate's sums add up map-side, so
-    one pass makes all replicates: groups × ``n_boot`` rows are shuffled, whatever the
-    size of the table.  Null values are left out; a replicate that takes no row of a
-    group has no mean there."""
-    quads = (n_boot + 3) // 4
-    rows = df.select(F.col(key).alias("__key"), F.col(group).alias("__group"), F.col(col).cast("double").alias("__x")).where(F.col("__x").isNotNull())
-    hashed = (rows.withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(quads - 1))))
-              .withColumn("__h", F.md5(hash_text(seed, "__key", "__q"))))
-    draws = F.array(*[F.conv(F.substring("__h", 8 * i + 1, 8), 16, 10).cast("bigint") / F.lit(TWO_32) for i in range(4)])
-    each = hashed.select("__group", "__x", "__q", F.posexplode(draws).alias("__i", "__u"))
-    times = sum([(F.col("__u") >= F.lit(c)).cast("int") for c in POISSON_CDF[1:]], (F.col("__u") >= F.lit(POISSON_CDF[0])).cast("int"))
-    sums = (each.select("__group", "__x", (F.col("__q") * 4 + F.col("__i")).alias("__r"), times.alias("__t"))
-            .where((F.col("__r") < n_boot) & (F.col("__t") > 0))
-            .groupBy("__group", "__r").agg((F.sum(F.col("__t") * F.col("__x")) / F.sum("__t")).alias("__mean")))
+    (seed, key, r), four replicates a hash.  A task draws all replicates of a row at once
+    and adds them up, so one pass makes all replicates and no row is repeated: groups ×
+    ``n_boot`` rows a task are shuffled.  Null values are left out; a replicate that takes
+    no row of a group has no mean there."""
+    rows = cut_lineage(df.select(hash_text(seed, key).alias("__text"), F.col(group).alias("__group"), F.col(col).cast("double").alias("__x")).where(F.col("__x").isNotNull()))
+    dealt = rows.repartition(max(1, math.ceil(rows.count() / BOOT_ROWS)))
+    schema = T.StructType([rows.schema["__group"], T.StructField("__r", T.IntegerType()), T.StructField("__n", T.DoubleType()), T.StructField("__s", T.DoubleType())])
+    ship_package(df.sparkSession)
+    sums = (dealt.mapInArrow(_replicates(n_boot), schema).groupBy("__group", "__r")
+            .agg((F.sum("__s") / F.sum("__n")).alias("__mean")))
     ends = sums.groupBy("__group").agg(*[F.percentile("__mean", F.lit(p)).alias(n)
                                          for n, p in (("ci_lo", (1 - level) / 2), ("ci_hi", (1 + level) / 2))],
                                        F.count(F.lit(1)).alias("n_boot"))

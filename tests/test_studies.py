@@ -152,3 +152,30 @@ def test_knn_over_many_cells_with_columns_that_agree_or_differ(spark, metric):
             return sum(g * g for g in gaps) if metric == "euclidean" else sum(gaps)
         want = {a[0]: [n for _, n in sorted((d(a, b), b[0]) for b in rows if (a[3] == b[3]) == (option == "within"))[:5]] for a in rows}
         assert {k: [n for _, n in sorted(v)] for k, v in got.items()} == want
+
+
+def test_kmeans_scans_only_ks_that_move(spark, monkeypatch):
+    """A k whose centres rest takes no part in later scans, and a scan has few tasks."""
+    df = spark.createDataFrame([(i, float(i * i % 97), float(i % 13)) for i in range(300)], "id int, x double, z double").repartition(20)
+    seen, real = [], segment._centre_sums
+    monkeypatch.setattr(segment, "_centre_sums", lambda rows, features, centres: seen.append((sorted(centres), rows.rdd.getNumPartitions())) or real(rows, features, centres))
+    segment.kmeans_all_k(df, "id", ["x", "z"], 5)
+    assert seen[0][0] == [1, 2, 3, 4, 5] and len(seen[-2][0]) < 5 and 1 not in seen[2][0]
+    assert {tasks for _, tasks in seen} == {1}
+
+
+def test_elbow_tasks_follow_the_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i * i % 97), float(i % 13)) for i in range(300)], "x double, z double").repartition(40)
+    seen, real = [], segment.fit_kmeans
+    monkeypatch.setattr(segment, "fit_kmeans", lambda rows, *a, **o: seen.append(rows.rdd.getNumPartitions()) or real(rows, *a, **o))
+    assert segment.elbow_curve(df, ["x", "z"], 3).count() == 3
+    assert max(seen) <= segment.LEAST_TASKS
+
+
+def test_bootstrap_repeats_no_row(spark):
+    """No row per replicate; infinite values only count where they are taken; many groups."""
+    df = spark.createDataFrame([(i, i % 3, float(i) if i != 4 else float("inf")) for i in range(30)], "id int, g int, x double")
+    out = profile.bootstrap_mean_ci(df, "id", "g", "x", n_boot=40)
+    assert "Generate" not in out._jdf.queryExecution().toString()
+    assert all(r["n_boot"] == 40 and r["n"] == 10 for r in out.collect())
+    assert not any(math.isnan(r["ci_lo"]) for r in out.collect())
