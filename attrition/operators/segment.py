@@ -3,6 +3,7 @@ W2, W3, J5, A7–A9, G1)."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -18,6 +19,8 @@ from attrition.functions.hashing import hash_uniform
 from attrition.session import cut_lineage
 
 MAX_CENTRES = 10_000
+#: Rows of a task in the passes of a fit, and tasks that a pass of MLlib's is left at least.
+TASK_ROWS, LEAST_TASKS = 1 << 15, 8
 SUM_TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
 
 
@@ -61,6 +64,8 @@ def elbow_curve(df: DataFrame, features: list[str], k_max: int = 10, seed: int =
     """SSE (inertia) for k = 1..k_max; one MLlib fit per k ≥ 2, fitted
     concurrently over a materialised copy of the input."""
     clean = cut_lineage(df.select(*features).na.drop())
+    # every task of every pass reports to the driver: no more of them than the rows need
+    clean = clean.coalesce(max(LEAST_TASKS, math.ceil(clean.count() / TASK_ROWS)))
 
     def sse(k: int) -> tuple[int, float]:
         if k == 1:
@@ -77,7 +82,7 @@ def kmeans_all_k(df: DataFrame, key, features: list[str], k_max: int = 10, seed:
     """M10 + V12: k-means for every k = 1..k_max at once.
 
     The first centres of k are the k rows with the smallest hash of the key (the same
-    rows for all k).  One scan per iteration moves the centres of all k; a task sends
+    rows for all k).  One scan per iteration moves the centres of all k that still move; a task sends
     at most k_max · (k_max + 1) / 2 rows of sums.  A centre without rows stays where it is.  Ends when no centre
     moves.  Rows with a null feature are left out.  Returns (k, sse) and the centres."""
     keys = [key] if isinstance(key, str) else list(key)
@@ -86,15 +91,19 @@ def kmeans_all_k(df: DataFrame, key, features: list[str], k_max: int = 10, seed:
     ks = range(1, min(k_max, len(first)) + 1)
     if not first:
         return df.sparkSession.createDataFrame([], "k int, sse double"), {}
+    rows = rows.coalesce(max(1, math.ceil(rows.count() / TASK_ROWS)))
     centres = {k: np.array(first[:k]) for k in ks}
+    moving = set(ks)
     for _ in range(max_iter):
-        moved = False
-        for r in _centre_sums(rows, features, centres).collect():
+        sums = _centre_sums(rows, features, {k: centres[k] for k in moving}).collect()
+        moving = set()
+        for r in sums:
             new = np.array(r["sums"]) / r["n"]
             # the order in which tasks' sums arrive may change the last bits
-            moved = moved or not np.allclose(new, centres[r["k"]][r["i"]], rtol=1e-12, atol=0.0)
+            if not np.allclose(new, centres[r["k"]][r["i"]], rtol=1e-12, atol=0.0):
+                moving.add(r["k"])
             centres[r["k"]][r["i"]] = new
-        if not moved:
+        if not moving:
             break
     sse = _centre_sums(rows, features, centres).groupBy("k").agg(F.sum("sse").alias("sse"))
     return sse, {k: c.tolist() for k, c in centres.items()}
