@@ -9,16 +9,16 @@ or the end.
 URLs that the rules decide are the labelled rows: two variable-order Markov models are
 trained, one of accepted and one of blocked URLs.  A character's chance depends on the
 longest kept context before it, of at most ``ORDER`` characters; a context is kept if it
-stands before at least one of ``SHARE`` characters of the labelled sample, so there are
+stands before at least one of ``SHARE`` characters of the URLs counted, so there are
 at most 1 + ORDER * SHARE contexts.  Each chance is drawn towards the one after the next
 shorter context by ``WEIGHT`` observations, at the end towards a uniform one.
 
 The score of a URL is the log-likelihood difference (accepted less blocked) by
 character, the end being one.  Scores are calibrated on a quarter of the labelled URLs,
 which the counts leave out: a logistic curve is fitted to them, both classes weighing
-the same, and a URL is blocked if blocked is the likelier class.  Sample: about
-``SAMPLE_URLS`` labelled URLs of each verdict, chosen by hash (all, where there are
-fewer), ``SAMPLE_CHARS`` characters of each at most; scores read every whole URL.
+the same, and a URL is blocked if blocked is the likelier class.  Every distinct labelled
+URL takes part, three quarters in the counts and the others in the calibration, and
+every one whole; long ones are counted in pieces of ``PIECE`` characters.
 
 Contexts are the states of an automaton with failure links folded into its moves, one
 constant array for each of its two tables, walked from left to right by one aggregate
@@ -56,8 +56,8 @@ END = SYMBOLS - 1
 ORDER = 5
 SHARE = 400
 WEIGHT = 4.0
-SAMPLE_URLS = 20_000
-SAMPLE_CHARS = 1_000
+#: Characters of a URL that a row holds while they are counted.
+PIECE = 1_000
 #: Newton steps of the calibration, and what keeps it finite where the classes part.
 STEPS, RIDGE = 25, 1e-3
 
@@ -91,27 +91,35 @@ def fitting_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
     return out
 
 
+def _letters(url: Column) -> Column:
+    """The characters' numbers."""
+    letters = F.filter(F.split(F.coalesce(url.cast("string"), F.lit("")), ""), lambda c: c != "")
+    return F.transform(letters, lambda c: F.instr(F.lit(ALPHABET), c))
+
+
 def _symbols(url: Column) -> Column:
     """The characters' numbers, and the end."""
-    letters = F.filter(F.split(F.coalesce(url.cast("string"), F.lit("")), ""), lambda c: c != "")
-    return F.concat(F.transform(letters, lambda c: F.instr(F.lit(ALPHABET), c)), F.array(F.lit(END)))
+    return F.concat(_letters(url), F.array(F.lit(END)))
 
 
 def _sample(pages: DataFrame, url: str, rules: tuple[tuple[str, str, str], ...]) -> DataFrame:
     """(verdict, url, held): labelled URLs, each once, a quarter of them held for calibration."""
-    rows = pages.select(F.substring(F.col(f"`{url}`").cast("string"), 1, SAMPLE_CHARS).alias("url"), fitting_rule(*host_and_path(F.col(f"`{url}`")), rules).alias("rule"))
+    u = F.col(f"`{url}`")
+    rows = pages.select(u.cast("string").alias("url"), fitting_rule(*host_and_path(u), rules).alias("rule"))
     verdict = F.element_at(F.array(*[F.lit(v) for v, _, _ in rules]), F.col("rule") + 1)
     rows = rows.where("rule IS NOT NULL").select(verdict.alias("verdict"), "url").distinct()
-    sizes = {r.verdict: r.n for r in rows.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
-    place, steps = F.pmod(F.xxhash64("url"), F.lit(1 << 40)), F.lit(0)
-    for v, n in sizes.items():
-        steps = F.when(F.col("verdict") == v, F.lit(int(min(1.0, SAMPLE_URLS / n) * (1 << 40)))).otherwise(steps)
-    return rows.where(place < steps).select("verdict", "url", (F.pmod(F.xxhash64("url", F.lit("held")), F.lit(4)) == 0).alias("held"))
+    return rows.select("verdict", "url", (F.pmod(F.xxhash64("url", F.lit("held")), F.lit(4)) == 0).alias("held"))
 
 
 def _counts(sample: DataFrame) -> dict[tuple[int, ...], dict[tuple[str, int], int]]:
     """Context → (verdict, next symbol) → count, of the contexts that are kept."""
-    places = sample.select("verdict", _symbols(F.col("url")).alias("s")).select("verdict", "s", F.explode(F.sequence(F.lit(1), F.size("s"))).alias("i"))
+    last = F.floor(F.length("url") / PIECE).cast("int")
+    pieces = sample.select("verdict", "url", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    lead = F.when(F.col("piece") > 0, ORDER).otherwise(0)
+    text = F.substring(F.col("url"), F.col("piece") * PIECE + 1 - lead, lead + PIECE)
+    symbols = F.when(F.col("piece") == F.col("last"), _symbols(text)).otherwise(_letters(text))
+    places = pieces.select("verdict", symbols.alias("s"), (lead + 1).alias("at")).where(F.col("at") <= F.size("s")).select(
+        "verdict", "s", F.explode(F.sequence(F.col("at"), F.size("s"))).alias("i"))
     contexts = F.transform(F.sequence(F.lit(0), F.least(F.lit(ORDER), F.col("i") - 1)), lambda k: F.slice("s", F.col("i") - k, k))
     own = places.select("verdict", F.element_at("s", F.col("i")).alias("symbol"), F.explode(contexts).alias("context")).groupBy(
         "context", "verdict", "symbol").agg(F.count("*").alias("n"))

@@ -120,3 +120,17 @@ def test_awkward_tables(spark):
     clash = none.selectExpr("*", "'x' as v", "'y' as __rule", "'z' as rule", "'h' as host", "1 as verdict")
     assert uf.drop_blocked(clash).columns == clash.columns
     assert uf.verdict_table(clash).count() == 3
+
+
+def test_every_labelled_url_is_counted_whole(spark):
+    """More URLs of a verdict than the former sample had, and one longer than a piece on
+    whose far end a context depends."""
+    tail = "http://a.com/de/" + "x" * (3 * uf.PIECE - 16) + "Z%" * 400
+    many = spark.range(30_000).select(F.col("id").alias("page_id"), F.format_string("http://a%d.org/%d", "id", "id").alias("url"))
+    sample = uf._sample(many.unionByName(spark.createDataFrame([(-1, tail)], SCHEMA)), "url", uf.RULES).cache()
+    assert sample.count() == 30_001 and sample.where("NOT held").count() + sample.where("held").count() == 30_001
+    counts = uf._counts(sample.where("verdict = 'block'"))
+    z, percent = uf.ALPHABET.find("Z") + 1, uf.ALPHABET.find("%") + 1
+    assert counts[z,] == {("block", percent): 400}
+    assert sum(counts[()].values()) == len(tail) + 1
+    assert counts[percent, z][("block", percent)] == 399 and counts[percent,][("block", uf.END)] == 1
