@@ -198,7 +198,8 @@ def cv_scores(make_pipeline: Callable[[], object], df: DataFrame, key, label: st
         tr = df.where(F.col(fold_col) != f)
         te = df.where(F.col(fold_col) == f)
         if resample is not None:
-            tr = resample(tr)
+            # stored: a fit reads its rows several times, and each time would search neighbours again
+            tr = cut_lineage(resample(tr))
         model = make_pipeline().fit(tr)
         pred = score(model, te, key, label).persist()
         try:

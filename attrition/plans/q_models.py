@@ -230,7 +230,8 @@ def importances(spark, sf_dir):
 def cv_scores(spark, sf_dir):
     """5-fold CV of a logistic model on churn features, SMOTE inside each
     training fold; per-fold scores and their mean/std."""
-    f = split.kfold_hash(features(spark, sf_dir), "c_custkey", 5).withColumn("label", F.col("exited"))
+    # stored: every fold trains and scores on parts of it
+    f = cut_lineage(split.kfold_hash(features(spark, sf_dir), "c_custkey", 5).withColumn("label", F.col("exited")))
     n = f.count()
 
     def resample_fold(tr):

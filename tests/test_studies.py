@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from attrition.operators import encode, knn_grid, neighbors, newton, profile, segment
+from attrition.operators import encode, knn_grid, models, neighbors, newton, profile, segment, tune
 
 
 def draws(text):
@@ -179,3 +179,19 @@ def test_bootstrap_repeats_no_row(spark):
     assert "Generate" not in out._jdf.queryExecution().toString()
     assert all(r["n_boot"] == 40 and r["n"] == 10 for r in out.collect())
     assert not any(math.isnan(r["ci_lo"]) for r in out.collect())
+
+
+def test_cv_scores_resamples_each_fold_once(spark):
+    """The fit and whatever it scans read stored rows: a resampled row is made once."""
+    df = spark.createDataFrame([(i, float(i % 7), i % 2, i % 3) for i in range(60)], "id int, x double, label int, fold int")
+    made = spark.sparkContext.accumulator(0)
+
+    def resample(rows):
+        def count(batches):
+            for b in batches:
+                made.add(b.num_rows)
+                yield b
+        return rows.mapInArrow(count, rows.schema)
+
+    out = tune.cv_scores(lambda: models.pipeline(["x"], models.logistic(1.0, 60, 5)), df, "id", "label", 3, resample=resample)
+    assert out.count() == 3 and made.value == 120
