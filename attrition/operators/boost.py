@@ -284,6 +284,47 @@ def block_sums(block: tuple, p: Boosting, number: int, splits: list[list[Split]]
     return np.stack([v.reshape(wanted, n_feats, width) for v in parts], axis=1)
 
 
+class TaskSums:
+    """:func:`block_sums` of one fit's rows for one pass after the other, with the same bits:
+    gradients are kept for a round, and rows move on from the node they reached last."""
+
+    def __init__(self, block: tuple) -> None:
+        self.block, self.columns, self.number = block, np.ascontiguousarray(block[0].T), -1
+
+    def begin(self, p: Boosting, number: int) -> None:
+        _, y, w, _, h, m = self.block
+        self.number, self.known, self.x = number, 0, self.columns
+        if p.subsample < 1:
+            at = np.flatnonzero(_uniform(h, p.seed * 100_003 + number) < p.subsample)
+            y, w, m, self.x = y[at], w[at], m[at], self.columns[:, at]
+        chance = 1 / (1 + np.exp(-m))
+        self.g, self.hess, self.nodes = w * (chance - y), w * chance * (1 - chance), np.zeros(len(y), np.int32)
+
+    def __call__(self, p: Boosting, number: int, splits: list[list[Split]], slots: np.ndarray, wanted: int, width: int) -> np.ndarray:
+        if number != self.number:
+            self.begin(p, number)
+        new = splits[0][self.known:]
+        if new:
+            # nodes that split now were leaves: one step is enough
+            size = 1 + max(s.right for s in splits[0])
+            feature, cut, left = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size, np.int32)
+            for s in new:
+                feature[s.node], cut[s.node], left[s.node] = s.feature, s.bin, s.left
+            at = np.flatnonzero(feature[self.nodes] >= 0)
+            now = self.nodes[at]
+            self.nodes[at] = left[now] + (self.x[feature[now], at] > cut[now])
+            self.known = len(splits[0])
+        slot = slots[0, self.nodes]
+        at = np.flatnonzero(slot >= 0)
+        base, g, hess = slot[at] * width, self.g[at], self.hess[at]
+        out = np.empty((wanted, 3, len(self.x), width))
+        for i, x in enumerate(self.x):
+            place = base + x[at]
+            for j, v in enumerate((g, hess, None)):
+                out[:, j, i] = np.bincount(place, v, wanted * width).reshape(wanted, width)
+        return out
+
+
 def step_margins(block: tuple, trees: list[Tree]) -> tuple:
     """The block after a round."""
     x, y, w, f, h, m = block
@@ -345,14 +386,10 @@ def _fit_by_task(rows: DataFrame, p: Boosting, edges: list[tuple[float, ...]], f
         block = _block(table.sort_by("h").combine_chunks(), edges)
         fit = int(block[3][0])
         start = _start(float(block[2] @ block[1]), float(block[2].sum()))
-        state = (*block[:3], np.zeros(len(block[1]), np.int16), block[4], np.full(len(block[1]), start))
-
-        def total(*request) -> np.ndarray:
-            return block_sums(state, *request)
+        total = TaskSums((*block[:3], np.zeros(len(block[1]), np.int16), block[4], np.full(len(block[1]), start)))
 
         def step(number: int, trees: list[Tree]) -> None:
-            nonlocal state
-            state = step_margins(state, trees)
+            total.block = step_margins(total.block, trees)
 
         return pa.table({"fit": pa.array([fit], pa.int32()), "trees": [pickle.dumps((start, grow_rounds(p, edges, [fit], total, step)[0]))]})
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,24 @@ def test_halving_keeps_the_best_trials(rows):
     got = table.collect()
     assert [sum(r.rung == k for r in got) for k in range(3)] == [6, 2, 1]
     assert best["value"] == max(r.value for r in got if r.rung == 2) and best["params"]["n_estimators"] == model.stages[-1].getNumTrees
+
+
+def test_a_task_keeps_nodes_and_gradients_between_passes_with_the_same_sums():
+    r = np.random.default_rng(5)
+    n = 500
+    x = r.integers(0, 9, (n, 3)).astype(np.uint8)
+    block = (x, r.integers(0, 2, n).astype(float), r.choice([0.35, 0.65], n), np.zeros(n, np.int16), r.integers(-2**62, 2**62, n), r.normal(size=n))
+    p = boost.Boosting(rounds=4, num_leaves=6, min_child_samples=5, subsample=0.8)
+    edges = [tuple(map(float, range(8)))] * 3
+    kept, fresh = boost.TaskSums(block), [block]
+
+    def both(*request):
+        got, want = kept(*request), boost.block_sums(fresh[0], *request)
+        assert np.array_equal(got, want)
+        return got
+
+    def step(number, trees):
+        fresh[0] = kept.block = boost.step_margins(kept.block, trees)
+
+    trees = boost.grow_rounds(p, edges, [0], both, step)[0]
+    assert len(trees) == 4 and all(len(t.splits) > 1 for t in trees)
