@@ -89,12 +89,14 @@ class ForestClassifier(RandomForestClassifier):
     with the same settings and draws of its own."""
 
     def _fit(self, dataset: DataFrame):
-        label = F.col(self.getLabelCol()).cast("double")
-        n, known = dataset.agg(F.count(F.lit(1)), F.min(label.isin(0.0, 1.0))).first()
-        if n <= MLLIB_FOREST_ROWS or not known:
+        weight = self.getWeightCol() if self.isSet(self.weightCol) else None
+        sound = F.col(self.getLabelCol()).cast("double").isin(0.0, 1.0)
+        if weight:
+            sound &= F.col(weight).cast("double").between(0.0, 1e300)
+        n, sound = dataset.agg(F.count(F.lit(1)), F.min(F.coalesce(sound, F.lit(False)))).first()
+        if n <= MLLIB_FOREST_ROWS or not sound:      # other classes are MLlib's too; it refuses null labels and bad weights
             return super()._fit(dataset)
         rows, n_feats = feature_arrays(dataset, self.getFeaturesCol())
-        weight = self.getWeightCol() if self.isSet(self.weightCol) else None
         p = forests.Forest(self.getNumTrees(), self.getMaxDepth(), self.getMinInstancesPerNode(),
                            forests.subset_size(self.getFeatureSubsetStrategy(), n_feats), self.getSeed())
         return GrownForest(forests.fit(rows, "__x", n_feats, self.getLabelCol(), weight, p, n), self.getFeaturesCol())

@@ -70,3 +70,11 @@ def test_a_split_is_the_best_of_all_cuts():
     gains = {b: (gini(x >= 0) - gini(x <= b) - gini(x > b)) / w.sum() for b in range(5) if min((x <= b).sum(), (x > b).sum()) >= 7}
     gain, cut = forest.best_splits(x, np.ones(60), w0, w1, 1, 6, 7)
     assert gain[0] == pytest.approx(max(gains.values())) and cut[0] == max(gains, key=gains.get)
+
+
+@pytest.mark.parametrize("column", ["CASE WHEN id > 7 THEN label END AS label, 1.0 AS w", "label, CASE WHEN id > 7 THEN 1.0 END AS w"])
+def test_null_labels_and_weights_stay_errors(spark, monkeypatch, column):
+    monkeypatch.setattr(models, "MLLIB_FOREST_ROWS", 10)
+    bad = rows(spark, 60).selectExpr("id", *"abcd", *column.split(", "))
+    with pytest.raises(Exception, match="MUST NOT"):
+        models.pipeline(list("abcd"), models.forest(2, 3, weight_col="w")).fit(bad)
