@@ -10,12 +10,13 @@ re-expressed as an MLlib estimator with its hyper-parameters translated:
 * ``max_features``          → ``featureSubsetStrategy`` (``sqrt``, ``log2``, a fraction);
 * class weights / ``scale_pos_weight`` → a ``weightCol`` (P7);
 * leaf-wise boosting with L1 and L2 terms → :mod:`boost`;
+* forests of large tables → :mod:`forest` (same settings, own draws);
 * nominal columns in boosting → ``StringIndexer`` + categorical splits;
 * kernel SVM                → random Fourier features (rbf) or a polynomial
   expansion feeding ``LinearSVC``.
 
 Everything is fitted and scored on executors; the driver only sees model
-parameters and metric rows.
+parameters and metric rows.  The trees of MLlib's own models are among these.
 """
 
 from __future__ import annotations
