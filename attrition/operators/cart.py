@@ -144,7 +144,8 @@ def score(df: DataFrame, features: list[str], model: tuple[DataFrame, DataFrame]
     walk = df.select(F.struct(*cols).alias("row"), _vector(features), F.monotonically_increasing_id().alias("id") if p.trees > 1 else F.lit(0).alias("id"))
     walk = cut_lineage(walk) if p.trees > 1 else walk
     walk = walk.withColumn("node", F.lit(1).cast("long"))
-    walk = walk.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(p.trees - 1))) if p.trees > 1 else F.lit(0))
+    # also where there is one tree: a constant would leave the joins nothing to hash by
+    walk = walk.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(p.trees - 1))))
     way = splits.select("tree", "node", "f", "threshold")
     for _ in range(int(deepest).bit_length()):
         side = F.when(F.get("x", F.col("f")) <= F.col("threshold"), 0).otherwise(1)
