@@ -20,8 +20,9 @@ column samples are functions of the row's hash and the round.  A null or NaN fea
 goes right.
 
 A fit whose rows are no more than one task holds (``TASK_FIT_ROWS``) needs no reduction:
-its task runs the same rounds over its one block, so the fits of a cross-validation over
-a small table are one job.  Beyond that the passes are RDD jobs over arrays (mapPartitions, treeReduce): one costs a quarter of
+its task runs the same rounds over its one block, so the fits of a cross-validation
+are one job.  Rows of the same bins have the same margin, so from ``CELL_ROWS`` rows on the task sums over
+distinct rows of bins (cells), and rows are only counted, by cell, where a round samples them.  Beyond that the passes are RDD jobs over arrays (mapPartitions, treeReduce): one costs a quarter of
 the same aggregation as a DataFrame query (0.05 against 0.24 s for 20,000 rows, where
 hundreds of passes follow each other).  Margins are persisted by round and checkpointed
 now and then, so lineage stays short and a lost executor costs little."""
@@ -43,8 +44,8 @@ from attrition.session import cut_lineage, ensure_checkpoint_dir, ship_package
 
 #: Rows of a task, at least.
 TASK_ROWS = 1 << 15
-#: Rows of a fit that one task trains on alone.
-TASK_FIT_ROWS = 1 << 18
+#: Rows of a fit that one task trains on alone (34 bytes each), and from which equal ones are summed as one.
+TASK_FIT_ROWS, CELL_ROWS = 1 << 22, 1 << 15
 #: Up to so many tasks their sums go to the driver directly, beyond it through a tree.
 FLAT_TASKS = 64
 #: Rounds between checkpoints of the margins.
@@ -119,15 +120,17 @@ def descend(splits: Sequence[Split], bins: np.ndarray) -> np.ndarray:
     if not splits:
         return nodes
     size = 1 + max(s.right for s in splits)
-    feature, cut, left = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size, np.int32)
-    for s in splits:
-        feature[s.node], cut[s.node], left[s.node] = s.feature, s.bin, s.left
-    at = np.arange(len(bins))
-    while len(at):
-        now = nodes[at]
-        inner = feature[now] >= 0
-        at, now = at[inner], now[inner]
-        nodes[at] = left[now] + (bins[at, feature[now]] > cut[now])
+    feature, cut, left, depth = np.zeros(size, np.int64), np.full(size, 255, np.uint8), np.arange(size, dtype=np.int32), np.zeros(size, int)
+    for s in splits:                  # a parent before its children; a leaf leads to itself
+        feature[s.node], cut[s.node], left[s.node] = s.feature, min(s.bin, 255), s.left
+        depth[[s.left, s.right]] = depth[s.node] + 1
+    bins = np.ascontiguousarray(bins)
+    for lo in range(0, len(bins), 1 << 14):     # a piece fits the processor's cache
+        flat, at = bins[lo:lo + (1 << 14)].ravel(), nodes[lo:lo + (1 << 14)]
+        start = np.arange(len(at)) * bins.shape[1]
+        for _ in range(depth.max()):
+            at = left[at] + (flat[start + feature[at]] > cut[at])
+        nodes[lo:lo + (1 << 14)] = at
     return nodes
 
 
@@ -242,6 +245,8 @@ class _Growing:
                 break
             node = min(heap, key=lambda n: (-self.best[n][0], n))
             if node not in self.children:
+                if self.p.max_depth and self.p.num_leaves >= 1 << self.p.max_depth:
+                    return order, [n for n, b in self.best.items() if b is not None and n not in self.children]  # all will be split
                 room = self.p.num_leaves - 1 - len(order)
                 heap.sort(key=lambda n: (-self.best[n][0], n))
                 return order, [n for n in heap if n not in self.children][:room]
@@ -289,7 +294,7 @@ class TaskSums:
     gradients are kept for a round, and rows move on from the node they reached last."""
 
     def __init__(self, block: tuple) -> None:
-        self.block, self.columns, self.number = block, np.ascontiguousarray(block[0].T), -1
+        self.block, self.columns, self.number, self.count = block, np.ascontiguousarray(block[0].T), -1, None
 
     def begin(self, p: Boosting, number: int) -> None:
         _, y, w, _, h, m = self.block
@@ -314,17 +319,71 @@ class TaskSums:
             now = self.nodes[at]
             self.nodes[at] = left[now] + (self.x[feature[now], at] > cut[now])
             self.known = len(splits[0])
+        self.asked = splits[0]
         slot = slots[0, self.nodes]
         at = np.flatnonzero(slot >= 0)
-        base, g, hess = slot[at] * width, self.g[at], self.hess[at]
+        base, sums = slot[at] * width, [None if v is None else v[at] for v in (self.g, self.hess, self.count)]
         out = np.empty((wanted, 3, len(self.x), width))
         for i, x in enumerate(self.x):
             place = base + x[at]
-            for j, v in enumerate((g, hess, None)):
+            for j, v in enumerate(sums):
                 out[:, j, i] = np.bincount(place, v, wanted * width).reshape(wanted, width)
         return out
 
 
+class CellSums(TaskSums):
+    """:class:`TaskSums` over cells, the distinct rows of bins.  An atom is a cell with one label
+    and weight: what a round needs of the rows is how many of each atom take part."""
+
+    def __init__(self, block: tuple) -> None:
+        x, y, w, _, h, m = block
+        first, cell = distinct(_words(x))
+        atoms, self.atom = distinct([cell, y, w])
+        self.cell, self.y, self.w, self.h = cell[atoms], y[atoms], w[atoms], h
+        self.x, self.number, self.m, self.taken = np.ascontiguousarray(x[first].T), -1, m[first], None
+
+    def begin(self, p: Boosting, number: int) -> None:
+        self.number, self.known = number, 0
+        if p.subsample < 1 or self.taken is None:
+            atom = self.atom if p.subsample >= 1 else self.atom[_uniform(self.h, p.seed * 100_003 + number) < p.subsample]
+            self.taken = np.bincount(atom, minlength=len(self.cell)).astype(float)
+            n, weight = len(self.m), self.taken * self.w
+            self.count, self.weight, self.positive = (np.bincount(self.cell, v, n) for v in (self.taken, weight, weight * self.y))
+        chance = 1 / (1 + np.exp(-self.m))
+        self.g, self.hess, self.nodes = self.weight * chance - self.positive, self.weight * chance * (1 - chance), np.zeros(len(self.m), np.int32)
+
+    def step(self, tree: Tree) -> None:
+        """Margins after a round: a cell is in the tree's leaf that its node is or lies under."""
+        by_node, asked, splits = {s.node: s for s in self.asked}, {0: 0}, self.asked
+        for s in tree.splits:
+            own = by_node[asked[s.node]]
+            asked[s.left], asked[s.right] = own.left, own.right
+        values = np.full(1 + 2 * len(splits), np.nan)
+        for node, value in tree.values.items():
+            values[asked[node]] = value
+        for s in splits:                # parents come first
+            for child in (s.left, s.right):
+                if np.isnan(values[child]):
+                    values[child] = values[s.node]
+        self.m = self.m + values[self.nodes]
+
+
+def _words(x: np.ndarray) -> list[np.ndarray]:
+    """Rows of bytes as whole numbers, eight bytes each."""
+    wide = np.zeros((len(x), -(-x.shape[1] // 8) * 8), np.uint8)
+    wide[:, :x.shape[1]] = x
+    return list(wide.view(np.uint64).T)
+
+
+def distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each distinct tuple, in their order, and the tuple's number of each row."""
+    order = np.lexsort(columns[::-1])
+    new = np.r_[True, np.any([c[order[1:]] != c[order[:-1]] for c in columns], axis=0)][:len(order)]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
 def step_margins(block: tuple, trees: list[Tree]) -> tuple:
     """The block after a round."""
     x, y, w, f, h, m = block
@@ -380,20 +439,37 @@ def _start(y: float, w: float) -> float:
     return math.log(share / (1 - share))
 
 
-def _fit_by_task(rows: DataFrame, p: Boosting, edges: list[tuple[float, ...]], fits: int) -> list[tuple[float, list[Tree]]]:
+def _fit_by_task(rows: DataFrame, p: Boosting, edges: list[tuple[float, ...]], fits: int, cell_rows: int) -> list[tuple[float, list[Tree]]]:
     """Each fit in a task of its own, where none has more rows than one task may hold."""
+    kinds = {"x": np.uint8, "y": float, "w": float, "h": np.int64}
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, w, f, h = _block(b, edges)
+            for fit in np.unique(f).tolist():
+                at = np.flatnonzero(f == fit)
+                yield pa.RecordBatch.from_pydict({"f": pa.array([fit], pa.int32())} | {k: [a[at].tobytes()] for k, a in zip("xywh", (x, y, w, h), strict=True)})
+
     def run(table: pa.Table) -> pa.Table:
-        block = _block(table.sort_by("h").combine_chunks(), edges)
-        fit = int(block[3][0])
-        start = _start(float(block[2] @ block[1]), float(block[2].sum()))
-        total = TaskSums((*block[:3], np.zeros(len(block[1]), np.int16), block[4], np.full(len(block[1]), start)))
+        fit = table.column("f")[0].as_py()
+        x, y, w, h = (np.concatenate([np.frombuffer(v.as_buffer(), t) for v in table.column(k)]) for k, t in kinds.items())
+        del table
+        order = np.argsort(h, kind="stable")
+        x, y, w, h = x.reshape(-1, len(edges))[order], y[order], w[order], h[order]
+        start = _start(float(w @ y), float(w.sum()))
+        block = (x, y, w, np.zeros(len(y), np.int16), h, np.full(len(y), start))
+        total = CellSums(block) if len(y) >= cell_rows else TaskSums(block)
 
         def step(number: int, trees: list[Tree]) -> None:
-            total.block = step_margins(total.block, trees)
+            if len(y) >= cell_rows:
+                total.step(trees[0])
+            else:
+                total.block = step_margins(total.block, trees)
 
         return pa.table({"fit": pa.array([fit], pa.int32()), "trees": [pickle.dumps((start, grow_rounds(p, edges, [fit], total, step)[0]))]})
 
-    found = rows.repartitionByRange(fits, "f").groupBy("f").applyInArrow(run, "fit int, trees binary").collect()
+    stored = rows.mapInArrow(blocks, "f int, x binary, y binary, w binary, h binary")
+    found = stored.repartitionByRange(fits, "f").groupBy("f").applyInArrow(run, "fit int, trees binary").collect()
     got = {r["fit"]: pickle.loads(bytes(r["trees"])) for r in found}
     return [got.get(k, (0.0, [])) for k in range(fits)]
 
@@ -442,14 +518,16 @@ def _fit_by_passes(rows: DataFrame, n: int, p: Boosting, edges: list[tuple[float
 
 
 def fit_many(df: DataFrame, key: str, features: list[str], label: str, p: Boosting, weight: str | None = None, fit: str | None = None,
-             fits: int = 1, task_fit_rows: int = TASK_FIT_ROWS) -> list[Model]:
-    """One model for each value 0 … ``fits`` − 1 of the column ``fit``, on that value's rows."""
+             fits: int = 1, task_fit_rows: int = TASK_FIT_ROWS, cell_rows: int = CELL_ROWS,
+             edges: list[tuple[float, ...]] | None = None) -> list[Model]:
+    """One model for each value 0 … ``fits`` − 1 of the column ``fit``, on that value's rows.
+    ``edges``: :func:`bin_edges` of these rows, where they are known."""
     ship_package(df.sparkSession)
     ensure_checkpoint_dir(df.sparkSession)
-    edges = bin_edges(df, features, p.max_bins)
+    edges = edges or bin_edges(df, features, p.max_bins)
     rows = _rows(df, key, features, label, weight, fit)
     sizes = [r["n"] for r in rows.groupBy("f").agg(F.count("*").alias("n")).collect()]
-    found = _fit_by_task(rows, p, edges, fits) if max(sizes, default=0) <= task_fit_rows else _fit_by_passes(rows, sum(sizes), p, edges, fits)
+    found = _fit_by_task(rows, p, edges, fits, cell_rows) if max(sizes, default=0) <= task_fit_rows else _fit_by_passes(rows, sum(sizes), p, edges, fits)
     return [Model(tuple(features), tuple(edges), start, tuple(trees)) for start, trees in found]
 
 

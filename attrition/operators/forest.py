@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrition.operators.boost import _numbers, _uniform, bin_edges, to_bins
+from attrition.operators.boost import _numbers, _uniform, _words, bin_edges, distinct, to_bins
 from attrition.session import cut_lineage, ensure_checkpoint_dir, ship_package
 
 #: Rows of a stored block, and of a node that a task grows on alone.
-BLOCK_ROWS, CELL_ROWS = 1 << 15, 1 << 18
+BLOCK_ROWS, CELL_ROWS = 1 << 15, 1 << 22
 #: Rows of a block that is scored.
-HELD_ROWS = 1 << 16
+HELD_ROWS = 1 << 18
 LEAST_GAIN = 1e-10
 #: Shares are added as whole numbers of this unit: the order of the tasks does not matter.
 UNIT = 1 << 40
@@ -60,8 +60,45 @@ def subset_size(strategy: str, n: int) -> int:
     return min(n, int(s)) if s.isdigit() else max(1, math.ceil(float(s) * n))
 
 
+#: Draws by their first 12 bits; 255 where a bound of POISSON lies between.
+_LOW, _HIGH = (np.searchsorted(POISSON, (np.arange(1 << 12) + end) / (1 << 12), side=side) for end, side in ((0, "right"), (1, "left")))
+DRAWN = np.where(_LOW == _HIGH, _LOW, 255).astype(np.uint8)
+
+
 def times_drawn(h: np.ndarray, p: Forest, tree: int) -> np.ndarray:
-    return np.searchsorted(POISSON, _uniform(h, p.seed * 15_485_863 + tree), side="right")
+    out = np.empty(len(h), np.uint8)
+    for lo in range(0, len(h), 1 << 15):     # a piece fits the processor's cache
+        u = _uniform(h[lo:lo + (1 << 15)], p.seed * 15_485_863 + tree)
+        c = DRAWN[(u * (1 << 12)).astype(np.int16)]
+        open_ = np.flatnonzero(c == 255)
+        c[open_] = np.searchsorted(POISSON, u[open_], side="right")
+        out[lo:lo + (1 << 15)] = c
+    return out.astype(np.int64)
+
+
+class Rows:
+    """Rows that a task grows trees on.  Those of the same bins stay together in every tree: they are
+    summed as one (a cell) where that makes them fewer; an atom is a cell with one label and weight."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> None:
+        self.x, self.y, self.w, self.h = x, y > 0.5, w, h
+        first, cell = distinct(_words(x))
+        self.fewer = 2 * len(first) <= len(x)
+        if self.fewer:
+            atoms, self.atom = distinct([cell, self.y, w])
+            self.x, self.cell, self.y, self.w = x[first], cell[atoms], self.y[atoms], w[atoms]
+
+    def drawn(self, p: Forest, tree: int) -> tuple[np.ndarray, ...]:
+        """Bins, times drawn and weight of each class of what enters the tree."""
+        c = times_drawn(self.h, p, tree)
+        if self.fewer:
+            c = np.bincount(self.atom, c, len(self.cell))
+        w = self.w * c
+        c, w0, w1 = c.astype(float), np.where(self.y, 0.0, w), np.where(self.y, w, 0.0)
+        if self.fewer:
+            c, w0, w1 = (np.bincount(self.cell, v, len(self.x)) for v in (c, w0, w1))
+        at = np.flatnonzero(c)
+        return self.x[at], c[at], w0[at], w1[at]
 
 
 def features_of(paths: np.ndarray, n: int, p: Forest, tree: int) -> np.ndarray:
@@ -106,14 +143,15 @@ def best_splits(key: np.ndarray, c: np.ndarray, w0: np.ndarray, w1: np.ndarray,
 
 
 def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, p: Forest, width: int, tree: int, path: int = 1, depth: int = 0) -> dict[str, np.ndarray]:
-    """The tree under the node ``path`` from the rows that reach it, level after level;
-    the right child's number is the left one's + 1."""
-    c = times_drawn(h, p, tree)
-    at = np.flatnonzero(c)
-    x, c = x[at], c[at].astype(float)
-    positive = y[at] > 0.5
-    w0, w1 = np.where(positive, 0.0, w[at] * c), np.where(positive, w[at] * c, 0.0)
-    node, paths, done, levels = np.zeros(len(at), np.int64), np.array([path]), 1, []
+    """The tree under the node ``path`` from the rows that reach it."""
+    return grow_drawn(*Rows(x, y, w, h).drawn(p, tree), p, width, tree, path, depth)
+
+
+def grow_drawn(x: np.ndarray, c: np.ndarray, w0: np.ndarray, w1: np.ndarray, p: Forest, width: int, tree: int, path: int = 1, depth: int = 0) -> dict[str, np.ndarray]:
+    """The tree of rows drawn ``c`` times, level after level; the right child's number is the left one's + 1."""
+    flat, n_feats = x.ravel(), x.shape[1]
+    start = np.arange(len(x)) * n_feats      # of each row in ``flat``
+    node, paths, done, levels = np.zeros(len(x), np.int64), np.array([path]), 1, []
     while True:
         k = len(paths)
         t0, t1 = np.bincount(node, w0, k), np.bincount(node, w1, k)
@@ -123,16 +161,17 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, p: Forest,
         if depth >= p.max_depth or not mixed.any():
             break
         opened = np.flatnonzero(mixed)
-        rows = mixed[node]
-        x, c, w0, w1 = x[rows], c[rows], w0[rows], w1[rows]
+        rows = np.flatnonzero(mixed[node])
+        start, c, w0, w1 = start[rows], c[rows], w0[rows], w1[rows]
         node = (np.cumsum(mixed) - 1)[node[rows]]
-        chosen = features_of(paths[opened], x.shape[1], p, tree)
-        own = np.arange(len(node))
+        chosen = features_of(paths[opened], n_feats, p, tree).astype(np.int64)
+        first = node * width
         gain, which, where = np.full(len(opened), -np.inf), np.zeros(len(opened), np.int64), np.zeros(len(opened), np.int64)
         for j in range(chosen.shape[1]):
-            g, b = best_splits(node * width + x[own, chosen[node, j]], c, w0, w1, len(opened), width, p.min_rows)
+            own = np.ascontiguousarray(chosen[:, j])
+            g, b = best_splits(first + flat[start + own[node]], c, w0, w1, len(opened), width, p.min_rows)
             better = g > gain
-            gain[better], which[better], where[better] = g[better], chosen[better, j], b[better]
+            gain[better], which[better], where[better] = g[better], own[better], b[better]
         split = gain > LEAST_GAIN
         if not split.any():
             break
@@ -140,9 +179,9 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, p: Forest,
         feature[at], cut[at], gains[at] = which[split], where[split], gain[split]
         left[at] = done + 2 * np.arange(len(at))
         done += 2 * len(at)
-        rows = split[node]
-        x, c, w0, w1, node = x[rows], c[rows], w0[rows], w1[rows], node[rows]
-        node = 2 * (np.cumsum(split) - 1)[node] + (x[np.arange(len(node)), which[node]] > where[node])
+        rows = np.flatnonzero(split[node])
+        start, c, w0, w1, node = start[rows], c[rows], w0[rows], w1[rows], node[rows]
+        node = 2 * (np.cumsum(split) - 1)[node] + (flat[start + which[node]] > where[node])
         paths = np.stack([2 * paths[at], 2 * paths[at] + 1], axis=1).ravel()
         depth += 1
     return {name: np.concatenate([lv[name] for lv in levels]) for name in levels[0]}
@@ -197,7 +236,16 @@ class Grown:
     depths: tuple[int, ...]
     merged: dict[int, list[np.ndarray]]
     cells: DataFrame
-    importances: np.ndarray
+    by_tree: dict[int, np.ndarray]    # for each depth the features' importance in each tree
+
+    @property
+    def importances(self) -> np.ndarray:
+        return self.importances_of(self.p.trees, self.p.max_depth)
+
+    def importances_of(self, trees: int, depth: int) -> np.ndarray:
+        """Of the first trees, cut at a depth."""
+        total = self.by_tree[depth][:trees].sum(axis=0)
+        return total / total.sum() if total.sum() > 0 else total
 
 
 def _columns(df: DataFrame, x: str, n: int) -> list:
@@ -286,67 +334,92 @@ def fit(df: DataFrame, x: str, n_feats: int, label: str, weight: str | None, p:
         cell_rows: int = CELL_ROWS) -> Grown:
     """The forest of the ``n`` rows of ``df``, features in the array ``x``.  ``depths``:
     further depths at which it will be read."""
+    return fit_many(df, x, n_feats, label, weight, [p], n, [depths], cell_rows)[0]
+
+
+def fit_many(df: DataFrame, x: str, n_feats: int, label: str, weight: str | None, ps: list[Forest], n: int, depths: list[tuple[int, ...]],
+             cell_rows: int = CELL_ROWS) -> list[Grown]:
+    """Forests of the same rows (and ``max_bins``), in one pass where a task may hold the rows."""
     spark = df.sparkSession
     ship_package(spark)
     ensure_checkpoint_dir(spark)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     names = [f"x{i}" for i in range(n_feats)]
     rows = df.select(*_columns(df, x, n_feats), F.col(label).cast("double").alias("y"), w.alias("w"))
-    edges = bin_edges(rows, names, p.max_bins)
+    edges = bin_edges(rows, names, ps[0].max_bins)
     width = max(map(len, edges)) + 1
     stored = _stored(rows.withColumn("h", F.xxhash64(*rows.columns)), n, edges)
-    depths = tuple(sorted({*depths, p.max_depth}))
+    depths = [tuple(sorted({*d, p.max_depth})) for d, p in zip(depths, ps, strict=True)]
 
     def opened(row) -> tuple:
         x, y, w, h = (np.frombuffer(bytes(v), t) for v, t in zip(row, (np.uint8, float, float, np.int64), strict=True))
         return x.reshape(-1, n_feats), y, w, h
 
     blocks = stored.rdd.map(opened)
-    tops = _grow_tops(blocks, n, p, n_feats, width, cell_rows)
-    cells = []                        # (tree, path, level): numbered by place
-    for t, top in enumerate(tops):
-        for node, f in enumerate(top["feature"]):
-            if f < 0:
-                top["cell"][node] = len(cells)
-                cells.append((t, top["path"][node], top["level"][node]))
-    flat = [_arrays(t) for t in tops]
-    whole = len(cells) == p.trees     # no tree has a top: tasks take several trees and all rows
-    tasks = max(1, min(len(cells), 2 * spark.sparkContext.defaultParallelism if whole else 512))
+    tops = [_grow_tops(blocks, n, p, n_feats, width, cell_rows) for p in ps]
+    cells = []                        # (forest, tree, path, level): numbered by place
+    for i, forest in enumerate(tops):
+        for t, top in enumerate(forest):
+            for node, f in enumerate(top["feature"]):
+                if f < 0:
+                    top["cell"][node] = len(cells)
+                    cells.append((i, t, top["path"][node], top["level"][node]))
+    flat = [[_arrays(t) for t in forest] for forest in tops]
+    whole = len(cells) == sum(p.trees for p in ps)     # no tree has a top: tasks take several trees and all rows
+    tasks = max(1, min(max(p.trees for p in ps), 2 * spark.sparkContext.defaultParallelism) if whole else min(len(cells), 512))
+    shares: dict[int, list[int]] = {}
+    for cell, (_, t, _, _) in enumerate(cells):
+        shares.setdefault(t % tasks if whole else cell, []).append(cell)
 
     def sent(block) -> Iterator[tuple]:
         x, y, w, h = block
         if whole:
             yield from ((g, (-1, block)) for g in range(tasks))
             return
-        for t, top in enumerate(flat):
-            at = np.flatnonzero(times_drawn(h, p, t))
-            ends = top["cell"][descend(top, top["feature"] < 0, x[at])]
-            order = np.argsort(ends, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(ends[order])) + 1):
-                if len(part):
-                    own = at[part]
-                    yield int(ends[part[0]]), (int(ends[part[0]]), (x[own], y[own], w[own], h[own]))
+        for p, forest in zip(ps, flat, strict=True):
+            for t, top in enumerate(forest):
+                at = np.flatnonzero(times_drawn(h, p, t))
+                ends = top["cell"][descend(top, top["feature"] < 0, x[at])]
+                order = np.argsort(ends, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(ends[order])) + 1):
+                    if len(part):
+                        own = at[part]
+                        yield int(ends[part[0]]), (int(ends[part[0]]), (x[own], y[own], w[own], h[own]))
 
     def grown(item) -> Iterator[tuple]:
         key, pieces = item
         pieces = sorted((b for _, b in pieces), key=lambda b: int(b[3][0]))
-        x, y, w, h = (np.concatenate(v) for v in zip(*pieces, strict=True))
-        for cell in range(key, len(cells), tasks) if whole else [key]:
-            t, path, level = cells[cell]
-            tree = grow(x, y, w, h, p, width, t, path, level)
-            roots = [bool(leaves(tree, d)[0]) for d in depths]
-            imp = importance(tree, leaves(tree, p.max_depth), n_feats)
+        rows, drawn, last = Rows(*(np.concatenate(v) for v in zip(*pieces, strict=True))), None, None
+        del pieces
+        for cell in sorted(shares[key], key=lambda c: (cells[c][1], c)):
+            i, t, path, level = cells[cell]
+            p = ps[i]
+            if last != (p.seed, t):   # forests of the same seed draw the same rows
+                drawn, last = rows.drawn(p, t), (p.seed, t)
+            tree = grow_drawn(*drawn, p, width, t, path, level)
+            cut = [leaves(tree, d) for d in depths[i]]
+            roots, imp = [bool(leaf[0]) for leaf in cut], np.concatenate([importance(tree, leaf, n_feats) for leaf in cut])
             yield cell, bytearray(pickle.dumps(tree)), [float(v) for v in imp], roots, float(tree["w0"][0]), float(tree["w1"][0])
 
     made = blocks.flatMap(sent).groupByKey(tasks, int).flatMap(grown)
     kept = cut_lineage(spark.createDataFrame(made, "cell int, tree binary, imp array<double>, roots array<boolean>, w0 double, w1 double"))
     facts = {r["cell"]: r for r in kept.drop("tree").collect()}
+    out, low = [], 0
+    for p, forest, own in zip(ps, flat, depths, strict=True):
+        high = low + sum(int((top["cell"] >= 0).sum()) for top in forest)
+        out.append(_read(p, edges, forest, own, facts, kept.where(F.col("cell").between(low, high - 1)).select("cell", "tree")))
+        low = high
+    return out
+
 
+def _read(p: Forest, edges: list[tuple[float, ...]], flat: list[dict[str, np.ndarray]], depths: tuple[int, ...], facts: dict, cells: DataFrame) -> Grown:
+    """The forest, its leaves merged at each depth, and its importances."""
     merged: dict[int, list[np.ndarray]] = {}
-    total = np.zeros(n_feats)
+    n_feats = len(edges)
+    by_tree: dict[int, np.ndarray] = {}
     for i, d in enumerate(depths):
-        merged[d] = []
-        for top in flat:
+        merged[d], by_tree[d] = [], np.zeros((len(flat), n_feats))
+        for t, top in enumerate(flat):
             leaf = top["level"] >= d
             for node in np.flatnonzero(top["feature"] < 0):
                 r = facts.get(int(top["cell"][node]))
@@ -359,13 +432,12 @@ def fit(df: DataFrame, x: str, n_feats: int, label: str, weight: str | None, p:
                     one = top["w1"] > top["w0"]
                     leaf[node] = leaf[a] and leaf[a + 1] and one[a] == one[a + 1]
             merged[d].append(leaf)
-            if d == p.max_depth:
-                own = importance(top, leaf | (top["feature"] < 0), n_feats)
-                alive = _reached(top, leaf)
-                for node in np.flatnonzero((top["feature"] < 0) & alive & ~leaf):
-                    own = own + np.array(facts[int(top["cell"][node])]["imp"])
-                total += own / own.sum() if own.sum() > 0 else 0.0
-    return Grown(p, edges, flat, depths, merged, kept.select("cell", "tree"), total / total.sum() if total.sum() > 0 else total)
+            own = importance(top, leaf | (top["feature"] < 0), n_feats)
+            alive = _reached(top, leaf)
+            for node in np.flatnonzero((top["feature"] < 0) & alive & ~leaf):
+                own = own + np.array(facts[int(top["cell"][node])]["imp"][i * n_feats:(i + 1) * n_feats])
+            by_tree[d][t] = own / own.sum() if own.sum() > 0 else 0.0
+    return Grown(p, edges, flat, depths, merged, cells, by_tree)
 
 
 def _reached(t: dict[str, np.ndarray], leaf: np.ndarray) -> np.ndarray:
@@ -405,8 +477,10 @@ def score(g: Grown, df: DataFrame, row: str, x: str, variants: list[tuple[int, i
     def unit(cell: int) -> int:
         return cell % groups if groups else cell
 
+    most = max(trees for trees, _ in variants)
+
     def trees(r) -> Iterator[tuple]:
-        for b in range(n_blocks):
+        for b in range(n_blocks if tree_of[r["cell"]] < most else 0):
             yield unit(r["cell"]) * n_blocks + b, (r["cell"], bytes(r["tree"]))
 
     def pieces(r) -> Iterator[tuple]:
@@ -423,7 +497,11 @@ def score(g: Grown, df: DataFrame, row: str, x: str, variants: list[tuple[int, i
     def added(part) -> Iterator[tuple]:
         sums: dict[tuple[int, int], np.ndarray] = {}
         for _, (cells, rows) in part:
-            rows = list(rows)
+            rows, place = list(rows), {}
+            if whole:                 # rows of the same bins meet the same leaves
+                for i, (block, size, own, x) in enumerate(rows):
+                    first, place[block] = distinct(_words(x))
+                    rows[i] = block, len(first), own, x[first]
             for cell, blob in cells:
                 tree, t = pickle.loads(blob), tree_of[cell]
                 p1, by_depth = share(tree), {}
@@ -446,6 +524,9 @@ def score(g: Grown, df: DataFrame, row: str, x: str, variants: list[tuple[int, i
                             out += by_depth[i, depth]
                         else:
                             out[own] += by_depth[i, depth]
+            if whole:
+                yield from (((block, v), own[place[block]]) for (block, v), own in sums.items())
+                sums = {}
             if len(sums) > 64:
                 yield from sums.items()
                 sums = {}

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -90,34 +91,79 @@ class ForestClassifier(RandomForestClassifier):
     with the same settings and draws of its own."""
 
     def _fit(self, dataset: DataFrame):
-        weight = self.getWeightCol() if self.isSet(self.weightCol) else None
+        n = self._grown_rows(dataset)
+        return super()._fit(dataset) if n is None else self.fit_together([self], dataset, n)[0]
+
+    def _grown_rows(self, dataset: DataFrame) -> int | None:
+        """The rows' number where :mod:`forest` grows the trees."""
         sound = F.col(self.getLabelCol()).cast("double").isin(0.0, 1.0)
-        if weight:
-            sound &= F.col(weight).cast("double").between(0.0, 1e300)
+        if self._weight():
+            sound &= F.col(self._weight()).cast("double").between(0.0, 1e300)
         n, sound = dataset.agg(F.count(F.lit(1)), F.min(F.coalesce(sound, F.lit(False)))).first()
-        if n <= MLLIB_FOREST_ROWS or not sound:      # other classes are MLlib's too; it refuses null labels and bad weights
-            return super()._fit(dataset)
-        rows, n_feats = feature_arrays(dataset, self.getFeaturesCol())
-        p = forests.Forest(self.getNumTrees(), self.getMaxDepth(), self.getMinInstancesPerNode(),
-                           forests.subset_size(self.getFeatureSubsetStrategy(), n_feats), self.getSeed())
-        return GrownForest(forests.fit(rows, "__x", n_feats, self.getLabelCol(), weight, p, n), self.getFeaturesCol())
+        # other classes are MLlib's too; it refuses null labels and bad weights
+        return n if n > MLLIB_FOREST_ROWS and sound else None
+
+    def _weight(self) -> str | None:
+        return self.getWeightCol() if self.isSet(self.weightCol) else None
+
+    @staticmethod
+    def fit_together(forests_: list[ForestClassifier], dataset: DataFrame, n: int) -> list[GrownForest]:
+        """Forests that differ in their trees' number, depth, least rows and features alone.  Those of
+        the same least rows and features are read from the largest."""
+        one = forests_[0]
+        rows, n_feats = feature_arrays(dataset, one.getFeaturesCol())
+        kinds: dict[tuple, list[tuple[int, int]]] = {}
+        own = [(f.getMinInstancesPerNode(), forests.subset_size(f.getFeatureSubsetStrategy(), n_feats), f.getSeed()) for f in forests_]
+        for f, kind in zip(forests_, own, strict=True):
+            kinds.setdefault(kind, []).append((f.getNumTrees(), f.getMaxDepth()))
+        ps = [forests.Forest(max(t for t, _ in sizes), max(d for _, d in sizes), *kind) for kind, sizes in kinds.items()]
+        grown = forests.fit_many(rows, "__x", n_feats, one.getLabelCol(), one._weight(), ps, n, [tuple(d for _, d in sizes) for sizes in kinds.values()])
+        by_kind = dict(zip(kinds, grown, strict=True))
+        return [GrownForest(by_kind[kind], one.getFeaturesCol(), (f.getNumTrees(), f.getMaxDepth())) for f, kind in zip(forests_, own, strict=True)]
+
+
+def fit_all(estimators: list, train: DataFrame, parallelism: int = 4) -> list:
+    """The models of the estimators, fitted concurrently; forests that share their trees are grown together."""
+    last = [e.getStages()[-1] if isinstance(e, Pipeline) else None for e in estimators]
+    alike = {_without_sizes(e) if isinstance(f, ForestClassifier) else None for e, f in zip(estimators, last, strict=True)}
+    if len(estimators) > 1 and len(alike) == 1 and None not in alike:
+        before = estimators[0].getStages()[:-1]
+        rows = PipelineModel(before).transform(train)
+        n = last[0]._grown_rows(rows)
+        if n is not None:
+            return [PipelineModel([*before, m]) for m in ForestClassifier.fit_together(last, rows, n)]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return list(pool.map(lambda e: e.fit(train), estimators))
+
+
+def _without_sizes(pipe: Pipeline) -> str | None:
+    """All settings of an assembler and a forest but those that may differ in :meth:`ForestClassifier.fit_together`."""
+    if not all(isinstance(s, Transformer) for s in pipe.getStages()[:-1]):
+        return None
+    free = {"numTrees", "maxDepth", "minInstancesPerNode", "featureSubsetStrategy"}
+    return repr([(type(s), sorted((p.name, str(v)) for p, v in s.extractParamMap().items() if p.name not in free)) for s in pipe.getStages()])
 
 
 class GrownForest(Model):
-    """A forest of :mod:`forest` with the output columns of MLlib's."""
+    """A forest of :mod:`forest`, or its first trees cut at a depth, with the output columns of MLlib's."""
 
-    def __init__(self, grown: forests.Grown, features: str) -> None:
+    def __init__(self, grown: forests.Grown, features: str, size: tuple[int, int] | None = None) -> None:
         super().__init__()
         self.grown, self.features = grown, features
+        self.size = size or (grown.p.trees, grown.p.max_depth)
+
+    @property
+    def getNumTrees(self) -> int:
+        return self.size[0]
 
     @property
     def featureImportances(self) -> DenseVector:
-        return DenseVector(self.grown.importances)
+        return DenseVector(self.grown.importances_of(*self.size))
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         rows = cut_lineage(dataset.withColumn("__row", F.monotonically_increasing_id()))
-        p = forests.score(self.grown, feature_arrays(rows, self.features)[0], "__row", "__x").drop("variant")
-        trees = float(self.grown.p.trees)
+        p = forests.score(self.grown, feature_arrays(rows, self.features)[0], "__row", "__x", [self.size]).drop("variant")
+        trees = float(self.size[0])
         out = rows.join(p.withColumnRenamed("p", "__p"), "__row")
         both = F.array(1.0 - F.col("__p"), F.col("__p"))
         return (out.withColumn("rawPrediction", array_to_vector(F.transform(both, lambda v: v * trees)))

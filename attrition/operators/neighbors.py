@@ -16,7 +16,8 @@ Plan
    further away than D, so no neighbour can be missed.  A query whose own cell holds
    fewer than k vectors gets D from the boxes: the radius that surely covers k vectors.
    Cells and their queries meet in one group each; the queries of a
-   crowded cell are dealt out over several.
+   crowded cell are dealt out over several.  Vectors that a task may hold all of
+   (``WHOLE_ROWS``) are sent to groups of queries instead, where the same search runs without a shuffle a step.
 4. **Expansion.**  Vector-level neighbours are expanded into ids, the query
    itself is dropped (self-join), and ties are broken by ``(distance, id)``.
 
@@ -33,6 +34,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +48,8 @@ MAX_CELLS, TREE_ROWS = 8_192, 1 << 17
 GROUP_QUERIES, PAIRS = 1 << 16, 1 << 20
 #: Rows of a partition that tasks in Python read, and cells of a task that searches.
 TASK_ROWS, TASK_CELLS = 1 << 14, 2
+#: Vectors that a task may hold all of, from which number it does, how often they may be sent in all, and the queries met so.
+WHOLE_ROWS, WHOLE_FROM, WHOLE_PAIRS, WHOLE_QUERIES = 1 << 20, 1 << 14, 1 << 22, 1 << 23
 #: Types whose values are doubles as they are; others are told apart by 53 bits of a hash.
 PLAIN = (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)
 
@@ -327,6 +331,65 @@ class _Cells:
         return self._meet(asked.mapInArrow(walk, asked.schema), search, schema)
 
 
+def search_whole(space: Space, q: np.ndarray, r: np.ndarray, most: int, per_cell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`_nearest` over the cells of a tree of all vectors: each query's own cell bounds what it has to meet."""
+    tree = grow(r, space, math.ceil(len(r) / per_cell))
+    at, own = tree.place(r), tree.place(q)
+    order = np.argsort(at, kind="stable")
+    cells = np.split(order, np.searchsorted(at[order], np.arange(1, int(tree.leaf.max()) + 1)))
+    x = [r[c] for c in cells]
+    full = np.full(space.dims, np.inf)
+    lo, hi = tree.boxes(np.stack([v[:, :space.dims].min(axis=0, initial=np.inf) for v in x]), np.stack([v[:, :space.dims].max(axis=0, initial=-np.inf) if len(v) else -full for v in x]))
+    bound, found = np.full(len(q), np.inf), []
+
+    def meet(rows: np.ndarray, cell: int, limit: np.ndarray | None) -> None:
+        i, j, rank = _nearest(space, q[rows], x[cell], most, limit)
+        if limit is None:
+            last = np.flatnonzero(np.bincount(i, minlength=len(rows)) == most)
+            bound[rows[last]] = rank[np.searchsorted(i, last, side="right") - 1]
+        found.append((rows[i], cells[cell][j], rank))
+
+    by_cell = np.argsort(own, kind="stable")
+    for rows in np.split(by_cell, np.flatnonzero(np.diff(own[by_cell])) + 1):
+        if len(rows):
+            meet(rows, int(own[rows[0]]), None)
+    limit = bound * (1 + 1e-9) + 1e-300
+    todo = [(0, np.arange(len(q)))]
+    while todo:
+        node, rows = todo.pop()
+        rows = rows[(gap := space.beyond(q[rows], lo[node], hi[node])) <= limit[rows]] if len(rows) else rows
+        if not len(rows):
+            continue
+        if tree.dim[node] >= 0:
+            todo += [(tree.left[node], rows), (tree.right[node], rows)]
+        elif len(rows := rows[own[rows] != tree.leaf[node]]):
+            meet(rows, int(tree.leaf[node]), bound[rows])
+    i, j, rank = (np.concatenate(part) for part in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    order = np.lexsort((j, rank, i))
+    i, j, rank = i[order], j[order], rank[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < most
+    return i[keep], j[keep], rank[keep]
+
+
+def _meet_whole(queries: DataFrame, dv: DataFrame, space: Space, most: int, per_cell: int, parts: int) -> DataFrame:
+    """(qvid, __rank, vid, ids) by :func:`search_whole`: queries are dealt over ``parts`` groups, each with all vectors."""
+    names, key = space.columns, dv.schema["vid"].dataType
+
+    def search(asked: pa.Table, known: pa.Table) -> pa.Table:
+        vids = known.column("vid").combine_chunks()
+        order = pc.array_sort_indices(vids).to_numpy()      # ties go to the smaller id
+        i, j, rank = search_whole(space, _matrix(asked, names), _matrix(known, names)[order], most, per_cell)
+        taken = pa.array(order[j])
+        return pa.table([asked.column("qvid").combine_chunks().take(pa.array(i)), pa.array(rank), vids.take(taken),
+                         known.column("ids").combine_chunks().take(taken)], names=["qvid", "__rank", "vid", "ids"])
+
+    schema = T.StructType([queries.schema["qvid"], T.StructField("__rank", T.DoubleType()), T.StructField("vid", key), dv.schema["ids"]])
+    refs = dv.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = queries.withColumn("part", F.pmod(F.xxhash64("qvid"), F.lit(parts)).cast("int"))
+    asked, known = (df.repartitionByRange(parts, "part").groupBy("part") for df in (dealt, refs))
+    return asked.cogroup(known).applyInArrow(search, schema)
+
+
 def _coordinate(df: DataFrame, name: str) -> Column:
     """A column of codes as a double."""
     return (F.col(name) if isinstance(df.schema[name].dataType, PLAIN) else F.shiftright(F.xxhash64(name), 11)).cast("double")
@@ -367,9 +430,14 @@ def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, features: list[s
     n_dv = dv.count()
     # distinct query vectors, materialised once and reused by every search
     qv = cut_lineage(qrows.groupBy(*names).agg(F.min("__qid").alias("__q")).select(F.monotonically_increasing_id().alias("qvid"), *names))
-    cells = _Cells(_in_tasks(dv, n_dv), space, n_dv, per_cell)
-    seeded = cut_lineage(cells.own(cells.placed(_in_tasks(qv, qv.count())), kk))
-    vec_nn = seeded.select("qvid", F.inline("best")).select("qvid", "__rank", "vid", "ids").unionByName(cells.others(seeded, kk))
+    n_qv = qv.count()
+    if WHOLE_FROM <= n_dv <= WHOLE_ROWS and n_qv <= WHOLE_QUERIES and not (within or apart):
+        parts = max(1, min(math.ceil(n_qv / TASK_ROWS), WHOLE_PAIRS // n_dv))
+        vec_nn = _meet_whole(_in_tasks(qv, n_qv), _in_tasks(dv, n_dv), space, kk, per_cell, parts)
+    else:
+        cells = _Cells(_in_tasks(dv, n_dv), space, n_dv, per_cell)
+        seeded = cut_lineage(cells.own(cells.placed(_in_tasks(qv, n_qv)), kk))
+        vec_nn = seeded.select("qvid", F.inline("best")).select("qvid", "__rank", "vid", "ids").unionByName(cells.others(seeded, kk))
     nearest = Window.partitionBy("qvid").orderBy("__rank", "vid")
     # k + 1 ids per distinct vector are enough for every row that has it
     first = Window.partitionBy("qvid").orderBy("__rank", "nkey")

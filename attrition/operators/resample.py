@@ -18,6 +18,9 @@ from attrition.operators.neighbors import knn
 from attrition.operators.ordinal import dense_index
 from attrition.session import cut_lineage
 
+#: Rows of a partition of the copies' order, where the minority is large.
+ORDER_ROWS, MANY_ROWS = 1 << 14, 1 << 16
+
 
 def smote_need(n_minority: int, n_majority: int, ratio: float | None = None) -> int:
     """Rows to add: to balance (ratio None) or to reach ``ratio · n_majority``."""
@@ -61,7 +64,8 @@ def smote(df: DataFrame, key: str, label: str, features: list[str], k: int = 5,
         raise ValueError(f"minority class has {m} rows; at least k + 1 = {k + 1} are needed")
     penalty = nominal_penalty(minor, list(features)) if nominal else 0.0
     per, extra = divmod(need, m)
-    order = dense_index(minor.select(key, hash_uniform(seed, key, F.lit("order")).alias("__u")), ["__u", key], "__ord")
+    order = dense_index(minor.select(key, hash_uniform(seed, key, F.lit("order")).alias("__u")), ["__u", key], "__ord",
+                        m // ORDER_ROWS if m >= MANY_ROWS else None)
     ordered = minor.join(order.drop("__u"), key)
     reps = F.lit(per) + (F.col("__ord") < extra).cast("int")
     copies = (ordered.where(reps > 0)

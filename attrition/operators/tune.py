@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import threading
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -116,12 +117,12 @@ def random_search(make_estimator: Callable[[dict], object], space: dict[str, Dra
     """Seeded random search scored on a validation split.  Returns the
     trials table (trial, params, value, threshold) and the best trial
     (first on ties)."""
-    from attrition.operators.models import score
+    from attrition.operators.models import fit_all, score
     params = trials(space, n_trials, seed)
+    fitted = fit_all([make_estimator(p) for p in params], train, parallelism)
 
     def run(i: int):
-        model = make_estimator(params[i]).fit(train)
-        value, thr = objective(score(model, valid, key, label))
+        value, thr = objective(score(fitted[i], valid, key, label))
         return i, value, thr
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
@@ -141,19 +142,19 @@ def halving_search(make_estimator: Callable[[dict], object], space: dict[str, Dr
     with ``keep`` times as much, the last rung with all of it.  Returns the table (trial,
     rung, resource, params, value, threshold), the winner and its fitted model: the best
     trial of the last rung, the first on ties."""
-    from attrition.operators.models import score
+    from attrition.operators.models import fit_all, score
     params = trials(space, n_trials, seed)
     alive, rows, best = list(range(n_trials)), [], None
     for rung in range(rungs):
         share = keep ** -(rungs - 1 - rung)
+        own = [params[i] | {resource: max(1, round(params[i][resource] * share))} for i in alive]
+        fitted = fit_all([make_estimator(p) for p in own], train, parallelism)
 
-        def run(i: int):
-            own = params[i] | {resource: max(1, round(params[i][resource] * share))}
-            model = make_estimator(own).fit(train)
-            return i, own, model, *objective(score(model, valid, key, label))
+        def run(at: int):
+            return alive[at], own[at], fitted[at], *objective(score(fitted[at], valid, key, label))
 
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            done = sorted(pool.map(run, alive), key=lambda r: (-r[3], r[0]))
+            done = sorted(pool.map(run, range(len(alive))), key=lambda r: (-r[3], r[0]))
         rows += [(i, rung, int(own[resource]), {k: str(v) for k, v in params[i].items()}, value, thr) for i, own, _, value, thr in done]
         best = done[0]
         alive = sorted(r[0] for r in done[:max(1, math.ceil(len(done) / keep))])
@@ -249,10 +250,26 @@ def estimator(params: dict, make: Callable[[DataFrame], object], key, label: str
     return Candidate(params, lambda tr, te: score(make(tr).fit(tr), te, key, label))
 
 
-def boosted(params: dict, p: boost.Boosting, features: list[str], key: str, label: str, weight: str | None = None) -> Candidate:
+class SharedEdges:
+    """Bin edges of the rows that several candidates train on, found once."""
+
+    def __init__(self) -> None:
+        self.lock, self.found = threading.Lock(), {}
+
+    def of(self, train: DataFrame, features: list[str], max_bins: int) -> list[tuple[float, ...]]:
+        with self.lock:
+            key = (id(train), *features, max_bins)
+            if key not in self.found:
+                self.found[key] = train, boost.bin_edges(train, features, max_bins)    # the rows are kept: so is their id
+            return self.found[key][1]
+
+
+def boosted(params: dict, p: boost.Boosting, features: list[str], key: str, label: str, weight: str | None = None,
+            shared: SharedEdges | None = None) -> Candidate:
     """Candidate of :mod:`boost`: all fits grow in the same passes."""
     def all_fits(train: DataFrame, held: DataFrame, fits: int) -> DataFrame:
-        return boost.score_many(boost.fit_many(train, key, features, label, p, weight, "fit", fits), held, key, label, "fit")
+        edges = shared.of(train, features, p.max_bins) if shared else None
+        return boost.score_many(boost.fit_many(train, key, features, label, p, weight, "fit", fits, edges=edges), held, key, label, "fit")
 
     def one(train: DataFrame, held: DataFrame) -> DataFrame:
         return boost.score_many(boost.fit_many(train, key, features, label, p, weight), held, key, label)
@@ -261,7 +278,7 @@ def boosted(params: dict, p: boost.Boosting, features: list[str], key: str, labe
 
 
 #: Training rows of a partition of the stored fits.
-FIT_ROWS = 1 << 16
+FIT_ROWS = 1 << 17
 
 
 def all_fits(train: DataFrame, test: DataFrame, fold_col: str, folds: int, resample: Callable[[DataFrame], DataFrame] | None = None,
@@ -271,8 +288,8 @@ def all_fits(train: DataFrame, test: DataFrame, fold_col: str, folds: int, resam
     ``test``.  ``resample`` sees the training rows of one fit only."""
     def rows(f: int) -> DataFrame:
         own = (train if f == folds else train.where(F.col(fold_col) != f)).drop(fold_col)
-        own = own if resample is None else resample(own)
-        own = own.withColumn("fit", F.lit(f))
+        # stored before it is counted: either would search neighbours again
+        own = (own if resample is None else cut_lineage(resample(own))).withColumn("fit", F.lit(f))
         return cut_lineage(own.repartition(max(1, own.count() // FIT_ROWS)))
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:

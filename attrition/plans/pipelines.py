@@ -76,6 +76,12 @@ def _clean_churn(spark, sf_dir) -> DataFrame:
     return clean.dedup_keep_first(ch, FEATS + NOMINAL + ["exited"], "c_custkey").drop("c_name")
 
 
+def _in_fewer(df: DataFrame) -> DataFrame:
+    """A stored table read by as many tasks as its rows need; a small one as it is."""
+    n = df.count()
+    return df if n < tune.FIT_ROWS else df.coalesce(n // tune.FIT_ROWS)
+
+
 def _by_rows(df: DataFrame) -> DataFrame:
     """Stored once, in as many partitions as its rows need: each of the many passes of a
     fit starts a task per partition."""
@@ -86,7 +92,7 @@ def _by_rows(df: DataFrame) -> DataFrame:
 def comparison(spark, sf_dir, seed: int = 42, budget: ComparisonBudget | None = None) -> DataFrame:
     """One row per model: settings, cross-validated accuracy, hold-out metrics."""
     b = budget or ComparisonBudget()
-    ch = cut_lineage(split.split_hash(_clean_churn(spark, sf_dir), "c_custkey", 0.3, seed))
+    ch = _in_fewer(cut_lineage(split.split_hash(_clean_churn(spark, sf_dir), "c_custkey", 0.3, seed)))
     train, test = ch.where(split.in_split("train")), ch.where(split.in_split("test"))
     prep = encode.fit_prep(train, label_cols=["c_mktsegment"], one_hot_cols=["r_name"], scale_cols=FEATS)
     oh = prep.one_hots[0].names()
@@ -95,7 +101,7 @@ def comparison(spark, sf_dir, seed: int = 42, budget: ComparisonBudget | None =
     feats = FEATS + ["c_mktsegment"] + oh
     tr = codes.transform(prep.transform(train)).select(F.col("c_custkey").cast("string").alias("row_key"), *feats, F.col("exited").alias("label"))
     te = codes.transform(prep.transform(test)).select(F.col("c_custkey").cast("string").alias("row_key"), *feats, F.col("exited").alias("label"))
-    tr = cut_lineage(split.kfold_hash(tr, "row_key", b.folds, seed))
+    tr = _in_fewer(cut_lineage(split.kfold_hash(tr, "row_key", b.folds, seed)))
 
     def oversampled(rows: DataFrame) -> DataFrame:
         """Of one fit's training rows: the folds are made before, as in :func:`tune.cv_scores`."""
@@ -109,8 +115,10 @@ def comparison(spark, sf_dir, seed: int = 42, budget: ComparisonBudget | None =
     def simple(params: dict, build) -> tune.Candidate:
         return candidate(params, lambda rows: models.pipeline(feats, build(**params)))
 
+    edges = tune.SharedEdges()
+
     def grown(params: dict, build, weight: str | None = None) -> tune.Candidate:
-        return tune.boosted(params, build(**params), feats, "row_key", "label", weight)
+        return tune.boosted(params, build(**params), feats, "row_key", "label", weight, edges)
 
     def nearest(rows: DataFrame, held: DataFrame) -> DataFrame:
         p = neighbors.knn_classify(rows, held, "row_key", "label", feats, **b.knn)
@@ -139,7 +147,7 @@ def ensemble(spark, sf_dir, seed: int = 42, budget: EnsembleBudget | None = None
     ch = _clean_churn(spark, sf_dir)
     u = hash_uniform(seed, "c_custkey")
     part = F.when(u < 0.2, "score").when(u < 0.36, "valid").otherwise("train")
-    ch = cut_lineage(ch.withColumn("part", part))
+    ch = _in_fewer(cut_lineage(ch.withColumn("part", part)))
     train, valid = ch.where(F.col("part") == "train"), ch.where(F.col("part") == "valid")
     unlabelled = ch.where(F.col("part") == "score").drop("exited")
 

@@ -106,3 +106,22 @@ def test_a_task_keeps_nodes_and_gradients_between_passes_with_the_same_sums():
 
     trees = boost.grow_rounds(p, edges, [0], both, step)[0]
     assert len(trees) == 4 and all(len(t.splits) > 1 for t in trees)
+
+
+def test_rows_of_the_same_bins_are_summed_with_the_same_trees(rows):
+    twice = rows.withColumn("a", F.round("a", 1)).withColumn("c", F.round("c", 0)).withColumn("fit", F.col("fit") % 2)
+    for p in (PARAMS, boost.Boosting.level_wise(3, rounds=5, reg_lambda=1.0)):
+        args = (twice, "key", ["a", "b", "c"], "label", p, "weight", "fit", 2)
+        for x, y in zip(boost.fit_many(*args), boost.fit_many(*args, cell_rows=0), strict=True):
+            assert flat(x) == flat(y) and any(len(t.splits) > 2 for t in x.trees)
+            assert all(abs(t.values[n] - u.values[n]) < 1e-9 for t, u in zip(x.trees, y.trees, strict=True) for n in t.values)
+
+
+def test_a_level_wise_round_takes_a_pass_a_level():
+    r = np.random.default_rng(6)
+    block = (r.integers(0, 30, (3000, 4)).astype(np.uint8), r.integers(0, 2, 3000).astype(float), np.ones(3000), np.zeros(3000, np.int16),
+             np.arange(3000), np.zeros(3000))
+    total, asked = boost.CellSums(block), []
+    p = boost.Boosting.level_wise(6, rounds=1, reg_lambda=1.0)
+    trees = boost.grow_rounds(p, [tuple(map(float, range(29)))] * 4, [0], lambda *a: asked.append(a) or total(*a), None)[0]
+    assert len(trees[0].splits) > 40 and len(asked) == 6 + 1

@@ -78,3 +78,34 @@ def test_null_labels_and_weights_stay_errors(spark, monkeypatch, column):
     bad = rows(spark, 60).selectExpr("id", *"abcd", *column.split(", "))
     with pytest.raises(Exception, match="MUST NOT"):
         models.pipeline(list("abcd"), models.forest(2, 3, weight_col="w")).fit(bad)
+
+
+def test_rows_of_the_same_bins_are_summed_with_the_same_trees():
+    r = np.random.default_rng(2)
+    x, y, h = r.integers(0, 5, (4000, 3)).astype(np.uint8), r.integers(0, 2, 4000).astype(float), r.integers(-2**62, 2**62, 4000)
+    w, p = np.where(y > 0, 0.75, 0.25), forest.Forest(1, 9, 3, 2)
+    cells = forest.Rows(x, y, w, h)
+    assert cells.fewer and len(cells.x) <= 125
+    c = forest.times_drawn(h, p, 0)
+    assert np.array_equal(c, np.searchsorted(forest.POISSON, forest._uniform(h, p.seed * 15_485_863), side="right"))
+    at = np.flatnonzero(c)
+    want = forest.grow_drawn(x[at], c[at].astype(float), np.where(y > 0, 0, w * c)[at], np.where(y > 0, w * c, 0)[at], p, 5, 0)
+    got = forest.grow_drawn(*cells.drawn(p, 0), p, 5, 0)
+    assert len(got["feature"]) > 9 and all(np.array_equal(got[k], want[k]) for k in ("feature", "cut", "left", "w0", "w1"))
+
+
+def test_trials_read_their_forests_from_shared_trees(spark, monkeypatch):
+    monkeypatch.setattr(models, "MLLIB_FOREST_ROWS", 100)
+    train, held = rows(spark, 900), rows(spark, 300, seed=7)
+    sizes = [(4, 6, 2), (7, 3, 2), (5, 8, 9)]
+    made = [models.pipeline(list("abcd"), models.forest(*s)) for s in sizes]
+    grown = []
+    fit_many = forest.fit_many
+    monkeypatch.setattr(forest, "fit_many", lambda *a: grown.append(a[5]) or fit_many(*a))
+    together = models.fit_all(made, train)
+    assert [[(p.trees, p.max_depth, p.min_rows) for p in ps] for ps in grown] == [[(7, 6, 2), (5, 8, 9)]]
+    for one, est in zip(together, made, strict=True):
+        alone = est.fit(train)
+        assert np.allclose(one.stages[-1].featureImportances.toArray(), alone.stages[-1].featureImportances.toArray())
+        a, b = ({r["id"]: r["p"] for r in models.score(m, held, "id").collect()} for m in (one, alone))
+        assert a == b and len(a) == 300
