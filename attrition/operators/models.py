@@ -36,7 +36,7 @@ from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrition.operators import boost
+from attrition.operators import boost, nominal
 from attrition.operators import forest as forests
 from attrition.session import cut_lineage
 
@@ -45,6 +45,8 @@ MAX_DEPTH = 30
 FOREST_MB = 1024
 #: Training rows up to which MLlib grows a forest; its nodes are objects on the driver.
 MLLIB_FOREST_ROWS = 1 << 12
+#: Training rows up to which MLlib fits nominal boosting, a job a level.
+MLLIB_BOOSTING_ROWS = 1 << 15
 
 
 def checked_depth(depth: int) -> int:
@@ -228,6 +230,43 @@ def levelwise(n_estimators: int = 100, learning_rate: float = 0.3, max_depth: in
                                      reg_lambda=reg_lambda, subsample=subsample, colsample=colsample_bytree, seed=seed)
 
 
+class NominalBoosting(GBTClassifier):
+    """MLlib's boosting for small tables; beyond ``MLLIB_BOOSTING_ROWS`` rows :mod:`nominal` runs the same rounds
+    over the distinct rows of bins (bins cut at the rows' own quantiles, not at a sample's)."""
+
+    def _fit(self, dataset: DataFrame):
+        weight = self.getWeightCol() if self.isSet(self.weightCol) else None
+        sound = F.col(self.getLabelCol()).cast("double").isin(0.0, 1.0)
+        if weight:
+            sound &= F.col(weight).cast("double").between(0.0, 1e300)
+        n, sound = dataset.agg(F.count(F.lit(1)), F.min(F.coalesce(sound, F.lit(False)))).first()
+        rows, n_feats = feature_arrays(dataset, self.getFeaturesCol())
+        levels = [0] * n_feats
+        attrs = dataset.schema[self.getFeaturesCol()].metadata.get("ml_attr", {}).get("attrs", {})
+        for a in attrs.get("nominal", []):
+            levels[a["idx"]] = len(a["vals"]) if "vals" in a else int(a.get("num_vals", 0))
+        if n > MLLIB_BOOSTING_ROWS and sound and max(levels) <= 255:
+            p = nominal.Settings(self.getMaxIter(), self.getStepSize(), self.getMaxDepth(), self.getMinInstancesPerNode())
+            made = nominal.fit(rows, "__x", levels, self.getLabelCol(), weight, p, min(self.getMaxBins(), 255))
+            if made is not None:
+                return BoostedModel(made, self.getFeaturesCol())
+        return super()._fit(dataset)
+
+
+class BoostedModel(Model):
+    """A model of :mod:`nominal` with the output columns of MLlib's."""
+
+    def __init__(self, made: nominal.Boosted, features: str) -> None:
+        super().__init__()
+        self.made, self.features = made, features
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        out = nominal.score(self.made, feature_arrays(dataset, self.features)[0], "__x", "__m")
+        p = 1.0 / (1.0 + F.exp(-2.0 * F.col("__m")))
+        return (out.withColumn("rawPrediction", array_to_vector(F.array(-F.col("__m"), F.col("__m")))).withColumn("probability", array_to_vector(F.array(1.0 - p, p)))
+                .withColumn("prediction", (F.col("__m") > 0).cast("double")).drop("__x", "__m"))
+
+
 def nominal_boosting_pipeline(numeric: list[str], nominal: list[str], n_estimators: int = 100,
                               learning_rate: float = 0.03, depth: int = 6, weight_col: str | None = None,
                               label: str = "label", seed: int = 42, max_levels: int = 63) -> Pipeline:
@@ -237,8 +276,10 @@ def nominal_boosting_pipeline(numeric: list[str], nominal: list[str], n_estimato
     the largest number of levels (:func:`most_levels` of the training rows)."""
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep") for c in nominal]
     va = assembler(list(numeric) + [f"{c}__idx" for c in nominal])
-    gbt = boosting(n_estimators, learning_rate, depth, 1, 1.0, "all", weight_col, label=label, seed=seed,
-                   max_bins=max(32, max_levels + 1))
+    gbt = NominalBoosting(maxIter=n_estimators, stepSize=learning_rate, maxDepth=checked_depth(depth), minInstancesPerNode=1, subsamplingRate=1.0,
+                          featureSubsetStrategy="all", seed=seed, labelCol=label, maxBins=max(32, max_levels + 1))
+    if weight_col:
+        gbt.setWeightCol(weight_col)
     return Pipeline(stages=[*idx, va, gbt])
 
 
@@ -344,6 +385,33 @@ def score(model: PipelineModel, df: DataFrame, key, label: str | None = None) ->
     return out.select(*cols, p.alias("p"), F.col("prediction").cast("int").alias("pred"))
 
 
+def score_all(fitted: list, df: DataFrame, key, label: str | None = None, parallelism: int = 4) -> list[DataFrame]:
+    """:func:`score` by each of the models of :func:`fit_all`; forests read from shared trees score
+    the rows in one pass over these, and the scores are stored."""
+    last = [m.stages[-1] if isinstance(m, PipelineModel) else None for m in fitted]
+    if not fitted or not all(isinstance(m, GrownForest) for m in last) or any(m.stages[:-1] != fitted[0].stages[:-1] for m in fitted):
+        return [score(m, df, key, label) for m in fitted]
+    cols = ([key] if isinstance(key, str) else list(key)) + ([label] if label else [])
+    rows = PipelineModel(fitted[0].stages[:-1]).transform(df).select(*cols, last[0].features, F.monotonically_increasing_id().alias("__row"))
+    rows = cut_lineage(rows)
+    n = rows.count()
+    rows = rows.coalesce(max(1, n // forests.HELD_ROWS))
+    by_forest: dict[int, list[GrownForest]] = {}
+    for m in last:
+        by_forest.setdefault(id(m.grown), []).append(m)
+    sizes = {g: sorted({m.size for m in own}) for g, own in by_forest.items()}
+    arrays, known = feature_arrays(rows, last[0].features)[0], rows.drop(last[0].features)
+
+    def one(g: int) -> DataFrame:
+        scored = cut_lineage(known.join(forests.score(by_forest[g][0].grown, arrays, "__row", "__x", sizes[g]), "__row"))
+        return scored.coalesce(max(1, n * len(sizes[g]) // forests.HELD_ROWS))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        stored = dict(zip(by_forest, pool.map(one, by_forest), strict=True))
+    return [stored[id(m.grown)].where(F.col("variant") == sizes[id(m.grown)].index(m.size)).select(*cols, "p", (F.col("p") > 0.5).cast("int").alias("pred"))
+            for m in last]
+
+
 def importances(model, names: list[str]) -> DataFrame:
     """Feature importances by name, sorted (O1)."""
     tree_model = model.stages[-1] if isinstance(model, PipelineModel) else model

@@ -124,9 +124,10 @@ def _doc_features(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id", "lang", "source",
         F.log(F.col("n_chars") + 1).alias("log_len"),
-        ((F.length("text") - F.length(F.regexp_replace("text", r"\p{L}", ""))) / n_chars)
+        # a run at a time: the same text is left
+        ((F.length("text") - F.length(F.regexp_replace("text", r"\p{L}+", ""))) / n_chars)
         .alias("letter_share"),
-        ((F.length("text") - F.length(F.regexp_replace("text", r"[0-9]", ""))) / n_chars)
+        ((F.length("text") - F.length(F.regexp_replace("text", r"[0-9]+", ""))) / n_chars)
         .alias("digit_share"),
         F.size(words).cast("bigint").alias("n_words"),
         (F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1)))

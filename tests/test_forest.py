@@ -109,3 +109,5 @@ def test_trials_read_their_forests_from_shared_trees(spark, monkeypatch):
         assert np.allclose(one.stages[-1].featureImportances.toArray(), alone.stages[-1].featureImportances.toArray())
         a, b = ({r["id"]: r["p"] for r in models.score(m, held, "id").collect()} for m in (one, alone))
         assert a == b and len(a) == 300
+    for one, pred in zip(together, models.score_all(together, held, "id", "label"), strict=True):
+        assert sorted(pred.collect()) == sorted(models.score(one, held, "id", "label").collect())
