@@ -124,18 +124,17 @@ class ForestClassifier(RandomForestClassifier):
         return [GrownForest(by_kind[kind], one.getFeaturesCol(), (f.getNumTrees(), f.getMaxDepth())) for f, kind in zip(forests_, own, strict=True)]
 
 
-def fit_all(estimators: list, train: DataFrame, parallelism: int = 4) -> list:
-    """The models of the estimators, fitted concurrently; forests that share their trees are grown together."""
+def fit_all(estimators: list, train: DataFrame) -> list[PipelineModel] | None:
+    """The models of forests that :mod:`forest` grows and that share their trees; None for others,
+    which are better fitted and scored one after the other than held all at once."""
     last = [e.getStages()[-1] if isinstance(e, Pipeline) else None for e in estimators]
     alike = {_without_sizes(e) if isinstance(f, ForestClassifier) else None for e, f in zip(estimators, last, strict=True)}
-    if len(estimators) > 1 and len(alike) == 1 and None not in alike:
-        before = estimators[0].getStages()[:-1]
-        rows = PipelineModel(before).transform(train)
-        n = last[0]._grown_rows(rows)
-        if n is not None:
-            return [PipelineModel([*before, m]) for m in ForestClassifier.fit_together(last, rows, n)]
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        return list(pool.map(lambda e: e.fit(train), estimators))
+    if len(alike) != 1 or None in alike:
+        return None
+    before = estimators[0].getStages()[:-1]
+    rows = PipelineModel(before).transform(train)
+    n = last[0]._grown_rows(rows)
+    return None if n is None else [PipelineModel([*before, m]) for m in ForestClassifier.fit_together(last, rows, n)]
 
 
 def _without_sizes(pipe: Pipeline) -> str | None:
@@ -239,8 +238,9 @@ class NominalBoosting(GBTClassifier):
         sound = F.col(self.getLabelCol()).cast("double").isin(0.0, 1.0)
         if weight:
             sound &= F.col(weight).cast("double").between(0.0, 1e300)
-        n, sound = dataset.agg(F.count(F.lit(1)), F.min(F.coalesce(sound, F.lit(False)))).first()
         rows, n_feats = feature_arrays(dataset, self.getFeaturesCol())
+        sound &= F.forall("__x", lambda v: F.abs(v) < math.inf)       # MLlib refuses others; NaN counts as greater
+        n, sound = rows.agg(F.count(F.lit(1)), F.min(F.coalesce(sound, F.lit(False)))).first()
         levels = [0] * n_feats
         attrs = dataset.schema[self.getFeaturesCol()].metadata.get("ml_attr", {}).get("attrs", {})
         for a in attrs.get("nominal", []):
@@ -385,12 +385,10 @@ def score(model: PipelineModel, df: DataFrame, key, label: str | None = None) ->
     return out.select(*cols, p.alias("p"), F.col("prediction").cast("int").alias("pred"))
 
 
-def score_all(fitted: list, df: DataFrame, key, label: str | None = None, parallelism: int = 4) -> list[DataFrame]:
+def score_all(fitted: list[PipelineModel], df: DataFrame, key, label: str | None = None, parallelism: int = 4) -> list[DataFrame]:
     """:func:`score` by each of the models of :func:`fit_all`; forests read from shared trees score
     the rows in one pass over these, and the scores are stored."""
-    last = [m.stages[-1] if isinstance(m, PipelineModel) else None for m in fitted]
-    if not fitted or not all(isinstance(m, GrownForest) for m in last) or any(m.stages[:-1] != fitted[0].stages[:-1] for m in fitted):
-        return [score(m, df, key, label) for m in fitted]
+    last = [m.stages[-1] for m in fitted]
     cols = ([key] if isinstance(key, str) else list(key)) + ([label] if label else [])
     rows = PipelineModel(fitted[0].stages[:-1]).transform(df).select(*cols, last[0].features, F.monotonically_increasing_id().alias("__row"))
     rows = cut_lineage(rows)

@@ -117,13 +117,13 @@ def random_search(make_estimator: Callable[[dict], object], space: dict[str, Dra
     """Seeded random search scored on a validation split.  Returns the
     trials table (trial, params, value, threshold) and the best trial
     (first on ties)."""
-    from attrition.operators.models import fit_all, score_all
+    from attrition.operators.models import fit_all, score, score_all
     params = trials(space, n_trials, seed)
-    fitted = fit_all([make_estimator(p) for p in params], train, parallelism)
-    scored = score_all(fitted, valid, key, label, parallelism)
+    fitted = fit_all([make_estimator(p) for p in params], train)
+    scored = score_all(fitted, valid, key, label, parallelism) if fitted else None
 
     def run(i: int):
-        value, thr = objective(scored[i])
+        value, thr = objective(scored[i] if scored else score(make_estimator(params[i]).fit(train), valid, key, label))
         return i, value, thr
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
@@ -143,17 +143,18 @@ def halving_search(make_estimator: Callable[[dict], object], space: dict[str, Dr
     with ``keep`` times as much, the last rung with all of it.  Returns the table (trial,
     rung, resource, params, value, threshold), the winner and its fitted model: the best
     trial of the last rung, the first on ties."""
-    from attrition.operators.models import fit_all, score_all
+    from attrition.operators.models import fit_all, score, score_all
     params = trials(space, n_trials, seed)
     alive, rows, best = list(range(n_trials)), [], None
     for rung in range(rungs):
         share = keep ** -(rungs - 1 - rung)
         own = [params[i] | {resource: max(1, round(params[i][resource] * share))} for i in alive]
-        fitted = fit_all([make_estimator(p) for p in own], train, parallelism)
-        scored = score_all(fitted, valid, key, label, parallelism)
+        fitted = fit_all([make_estimator(p) for p in own], train)
+        scored = score_all(fitted, valid, key, label, parallelism) if fitted else None
 
         def run(at: int):
-            return alive[at], own[at], fitted[at], *objective(scored[at])
+            model = fitted[at] if fitted else make_estimator(own[at]).fit(train)
+            return alive[at], own[at], model, *objective(scored[at] if scored else score(model, valid, key, label))
 
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
             done = sorted(pool.map(run, range(len(alive))), key=lambda r: (-r[3], r[0]))

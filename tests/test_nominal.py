@@ -31,8 +31,9 @@ def test_beyond_the_limit_the_rounds_are_mllibs(spark, monkeypatch):
     assert not isinstance(fitted(train).stages[-1], models.BoostedModel)
 
 
-def test_null_labels_stay_errors(spark, monkeypatch):
+@pytest.mark.parametrize("column", ["label", "a"])
+def test_null_labels_and_features_stay_errors(spark, monkeypatch, column):
     monkeypatch.setattr(models, "MLLIB_BOOSTING_ROWS", 10)
-    bad = rows(spark, 60).withColumn("label", F.when(F.col("id") > 7, F.col("label")))
+    bad = rows(spark, 60).withColumn(column, F.when(F.col("id") > 7, F.col(column)))
     with pytest.raises(Exception):
         fitted(bad)
